@@ -120,3 +120,35 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id as a long and the text, null as empty, under fixed names."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def add_from_text(docs: DataFrame, work, schema: str, text_col: str = "text") -> DataFrame:
+    """Adds columns made from the text, one task's rows at a time; no shuffle.
+
+    work takes an iterator of string arrays and yields, for each of them in order, a list of
+    arrays of the same length in the order of schema; it may read ahead. All other columns
+    pass through whatever they are named; an added column takes the place of one with its name.
+    """
+    ship(docs.sparkSession)
+    kept_names = docs.columns
+    added = [f.name for f in docs.sparkSession.createDataFrame([], schema).schema]
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(kept_names))])
+    text_at = kept_names.index(text_col)
+    new = docs.sparkSession.createDataFrame([], schema).toDF(*[f"n{i}" for i in range(len(added))])
+    full = numbered.schema.__class__([*numbered.schema.fields, *new.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for b in batches:
+                waiting.append(b)
+                yield b.column(text_at)
+
+        for columns in work(texts()):
+            b = waiting.pop(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [f.name for f in full])
+
+    out = numbered.mapInArrow(run, full)
+    old = [F.col(f"c{i}").alias(n) for i, n in enumerate(kept_names) if n not in added]
+    return out.select(*old, *[F.col(f"n{i}").alias(n) for i, n in enumerate(added)])
