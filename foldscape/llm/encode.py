@@ -26,7 +26,6 @@ _S = "\t-\r \x85\xa0"
 #: The byte-level pre-tokenizer's pattern, written out for Latin-1.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_SPACED = re.compile(" [^ ]")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -54,45 +53,49 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
+        self.known = 0  # pieces whose ids are in the pool
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.off = np.zeros(1 << 14, dtype=np.int64)
         self.len = np.zeros(1 << 14, dtype=np.int64)
 
-    def _add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        n, k = len(self.index), len(words)
+    def _add(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + k > len(self.off):
-            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-            self.len = np.concatenate([self.len, np.zeros_like(self.len)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.off[n : n + k] = self.used + np.cumsum(lens) - lens
-        self.len[n : n + k] = lens
+        self.off[at] = self.used + np.cumsum(lens) - lens
+        self.len[at] = lens
         self.used += len(ids)
-        self.index.update(zip(words, range(n, n + k), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes pieces that aren't in the table yet."""
-        joined = [w for w in words if _SPACED.match(w)]
-        alone = [w for w in words if not _SPACED.match(w)]
+    def _learn(self) -> None:
+        """Encodes the pieces that have a number but no ids yet."""
+        words = self.index.new
+        while len(self.index) > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+            self.len = np.concatenate([self.len, np.zeros_like(self.len)])
+        spaced = np.fromiter((w[0] == " " and len(w) > 1 and w[1] != " " for w in words), dtype=bool, count=len(words))
+        joined, alone = np.flatnonzero(spaced), np.flatnonzero(~spaced)
         for i in range(0, len(joined), 2000):
-            part = joined[i : i + 2000]
+            part = [words[k] for k in joined[i : i + 2000].tolist()]
             ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = np.cumsum(self.width[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in part])) + 1
-            self._add(part, ids, np.diff(stops, prepend=0))
+            sizes = [len(w) if w.isascii() else len(w.encode()) for w in part]
+            stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1
+            self._add(joined[i : i + 2000] + self.known, ids, np.diff(stops, prepend=0))
         for i in range(0, len(alone), 2000):
-            part = alone[i : i + 2000]
-            got = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            self._add(part, np.concatenate(got), np.array([len(g) for g in got]))
+            at = alone[i : i + 2000]
+            got = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast([words[k] for k in at.tolist()], add_special_tokens=False)]
+            self._add(at + self.known, np.concatenate(got), np.array([len(g) for g in got]))
+        self.known = len(self.index)
+        words.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; a text's work and memory are in proportion to its length."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        pieces: list[list[str]] = []
-        at: list[int] = []
+        if len(self.index) > CACHE_PIECES:
+            self._reset()
+        number = self.index.__getitem__
+        rows: list[tuple[int, np.ndarray]] = []
         for i, text in enumerate(texts):
             try:
                 text.encode("latin-1")
@@ -102,23 +105,29 @@ class Encoder:
             if odd:
                 out[i] = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             else:
-                at.append(i)
-                pieces.append(_PIECES.findall(text))
-        if len(self.index) > CACHE_PIECES:
-            self._reset()
-        known = self.index
-        new = {w for p in pieces for w in p if w not in known}
-        if new:
-            self._learn(list(new))
-        get = self.index.__getitem__
-        for i, p in zip(at, pieces, strict=True):
-            k = np.fromiter(map(get, p), dtype=np.int64, count=len(p))
+                pieces = _PIECES.findall(text)
+                rows.append((i, np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces))))
+        if self.index.new:
+            self._learn()
+        for i, k in rows:
             lens = self.len[k]
             ends = np.cumsum(lens)
-            out[i] = self.pool[np.repeat(self.off[k] - ends + lens, lens) + np.arange(ends[-1] if len(p) else 0)]
+            out[i] = self.pool[np.repeat(self.off[k] - ends + lens, lens) + np.arange(ends[-1] if len(k) else 0)]
         return out  # type: ignore[return-value]
 
 
+class _Numbers(dict):
+    """Numbers pieces as they are asked for, and lists the new ones in order."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 _encoders: dict[str, Encoder] = {}
 
 
