@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .encode import tokenizer_path
@@ -13,6 +14,7 @@ from .licenses import scan_licenses
 from .packing import pack
 from .simhash import edit_likeness
 from .token_files import read_token_files, write_token_files
+from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import filter_urls, write_rules
 
 #: op2's rules: verdict, host, path.
@@ -36,6 +38,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    return score_toxicity(docs, fit_toxicity(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
     "op7_decontamination": op7_decontamination,
     "op8_licenses": op8_licenses,
