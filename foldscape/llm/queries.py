@@ -12,6 +12,7 @@ from .encode import tokenizer_path
 from .html_text import extract_text
 from .licenses import scan_licenses
 from .packing import pack
+from .secrets import scan_secrets
 from .simhash import edit_likeness
 from .token_files import read_token_files, write_token_files
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -38,6 +39,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
     "op7_decontamination": op7_decontamination,
