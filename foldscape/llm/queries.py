@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .encode import tokenizer_path
 from .html_text import extract_text
 from .licenses import scan_licenses
+from .ngram_join import jaccard_classes
 from .packing import pack
 from .secrets import scan_secrets
 from .simhash import edit_likeness
@@ -66,6 +67,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_url_filter": op2_url_filter,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
