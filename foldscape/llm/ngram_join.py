@@ -141,12 +141,12 @@ def _verify(threshold: float):
         own = np.array([r[3] for r in rows])
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         found = links([r[7] for r in rows], left, right)
+        if x == y:
+            np.fill_diagonal(found, False)
         weight = np.array([r[6] for r in rows], dtype=np.int64)
         number = np.zeros(len(rows), dtype=np.int64)
         number[left] += found @ weight[right]
-        if x == y:
-            number -= weight  # a node's own set
-        else:
+        if x != y:
             number[right] += found.T @ weight[left]
         root = np.arange(len(rows))
         while True:  # the least place that each can reach
