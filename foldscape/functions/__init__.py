@@ -1,0 +1,57 @@
+"""Column expressions: sequences, triangles, statistics and their text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..params import Params
+
+#: Ordered complementary pairs.
+COMPLEMENTARY = ("AU", "UA", "GC", "CG", "GU", "UG")
+
+
+def normalize_sequence(text: Column) -> Column:
+    """Upper case, T as U, all but A, U, G and C left out."""
+    return F.regexp_replace(F.translate(F.upper(text), "T", "U"), "[^AUGC]", "")
+
+
+def shuffled_letters(text: Column, *seeds: Column) -> Column:
+    """The letters in an order by a hash of place and seeds: the same permutation for the same seeds on any machine."""
+    letters = F.filter(F.split(text, ""), lambda x: x != "")
+    marked = F.transform(letters, lambda x, i: F.struct(F.xxhash64(i, *seeds).alias("h"), i.alias("i"), x.alias("x")))
+    return F.array_join(F.transform(F.array_sort(marked), lambda s: s["x"]), "")
+
+
+def set_key(ids: Column) -> Column:
+    """Order-free 64-bit key of a set of numbers: removing one is an exclusive or with its hash."""
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.xxhash64(x)))
+
+
+def triangle_label(d1: Column, d2: Column, d3: Column, p: Params = Params()) -> Column:
+    """nontrivial, trivial or non_ultrametric, by the sorted sides; a side that is no number or infinite is non_ultrametric."""
+    s = F.array_sort(F.array(d1, d2, d3))
+    low, mid, high = s[0], s[1], s[2]
+    odd = F.isnan(d1) | F.isnan(d2) | F.isnan(d3) | (high == float("inf")) | d1.isNull() | d2.isNull() | d3.isNull()
+    return (
+        F.when(odd, "non_ultrametric")
+        .when(high <= p.tolerance, "trivial")
+        .when((mid > p.tolerance) & (F.try_divide(high - mid, mid) <= p.epsilon) & (F.try_divide(mid - low, mid) > p.delta), "nontrivial")
+        .when((low > p.tolerance) & (F.try_divide(high - low, low) <= p.epsilon), "trivial")
+        .otherwise("non_ultrametric")
+    )
+
+
+def half_even(value: Column) -> Column:
+    """Rounded to a whole number, halves to the even one."""
+    return F.bround(value, 0).cast("long")
+
+
+def sample_std(value: Column) -> Column:
+    """Sample standard deviation, 0 for a single value."""
+    return F.when(F.count(value) > 1, F.stddev_samp(value)).when(F.count(value) == 1, F.lit(0.0))
+
+
+def plus_minus(mean: Column, std: Column, digits: int = 2) -> Column:
+    """'mean+/-std', or N/A where either is missing."""
+    return F.when(mean.isNull() | std.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f+/-%.{digits}f", mean, std))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import kept
+from ..storage import join_batch, kept
 
 
 def star_contraction(edges: DataFrame, batch: Sequence[str] = (), src: str = "src", dst: str = "dst") -> DataFrame:
@@ -39,3 +39,31 @@ def star_contraction(edges: DataFrame, batch: Sequence[str] = (), src: str = "sr
         if now == before:
             return e.select(*b, F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(*b, F.col("v"), F.col("v")).distinct())
         before = now
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("seq_id", "run_id", "null_id")) -> DataFrame:
+    """keys, node_id, component (its least node), comp_size; an isolated node is its own component."""
+    found = star_contraction(edges, keys).withColumnRenamed("node", "node_id")
+    each = nodes.select(*keys, "node_id").join(found, [*keys, "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
+    sizes = each.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("comp_size"))
+    return each.join(sizes, [*keys, "component"]).select(*keys, "node_id", "component", "comp_size")
+
+
+def component_order(members: DataFrame, keys: Sequence[str] = ("seq_id", "run_id", "null_id")) -> DataFrame:
+    """keys, component, comp_size, comp_id: components from the largest down, ties by the least node."""
+    from pyspark.sql import Window
+
+    each = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("comp_size"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("comp_size"), "component")) - 1
+    return each.withColumn("comp_id", rank.cast("int"))
+
+
+def significant_components(members: DataFrame, alpha: float, keys: Sequence[str] = ("seq_id", "run_id", "null_id")) -> DataFrame:
+    """keys, component, comp_size, comp_id of components with at least max(3, int(alpha * N)) of the batch's N nodes."""
+    total = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return join_batch(component_order(members, keys), total, list(keys)).where(F.col("comp_size") >= F.greatest(F.lit(3), F.floor(F.col("_n") * alpha))).drop("_n")
+
+
+def main_component(members: DataFrame, alpha: float, keys: Sequence[str] = ("seq_id", "run_id", "null_id")) -> DataFrame:
+    """The first significant component of each batch."""
+    return significant_components(members, alpha, keys).where("comp_id = 0")

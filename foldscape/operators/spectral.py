@@ -1,0 +1,214 @@
+"""Slow modes of the symmetric rate matrix, distances between basins and their score, for one component at a time.
+
+Built-in functions have no eigensolver, so each component goes through one grouped pandas
+function: dense below DENSE nodes; above, Lanczos on the inverse of sigma - S with a
+preconditioned conjugate-gradient solver, the known null vector kept out and put back as
+the first mode.  Memory is that of one component's sparse matrix and its modes; components,
+runs and null samples are spread over the cluster by their keys.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..params import Params
+from .structures import KEYS
+
+DENSE = 2500
+
+
+@dataclass
+class Sparse:
+    """A symmetric matrix: diagonal, and each pair of entries off it once."""
+
+    diagonal: np.ndarray
+    p: np.ndarray
+    q: np.ndarray
+    s: np.ndarray
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        n = len(self.diagonal)
+        return self.diagonal * x + np.bincount(self.p, self.s * x[self.q], n) + np.bincount(self.q, self.s * x[self.p], n)
+
+    def dense(self) -> np.ndarray:
+        out = np.diag(self.diagonal)
+        np.add.at(out, (self.p, self.q), self.s)
+        np.add.at(out, (self.q, self.p), self.s)
+        return out
+
+
+def rate_matrix(energy: np.ndarray, p: np.ndarray, q: np.ndarray, rt: float, prefactor: float) -> Sparse:
+    """Symmetric off the diagonal; on it, minus the sum of the asymmetric rates, so that sqrt(w) is the null vector."""
+    top = np.maximum(energy[p], energy[q])
+    leave_p, leave_q = (prefactor * np.exp(-(top - energy[x]) / rt) for x in (p, q))
+    n = len(energy)
+    diagonal = -(np.bincount(p, leave_p, n) + np.bincount(q, leave_q, n))
+    return Sparse(diagonal, p, q, prefactor * np.exp(-np.abs(energy[p] - energy[q]) / (2 * rt)))
+
+
+def _solve(m: Sparse, sigma: float, b: np.ndarray, null: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """x with (sigma - S) x = b beside the null vector, by conjugate gradients with the diagonal as preconditioner."""
+    pre = sigma - m.diagonal
+    x, r = np.zeros_like(b), b.copy()
+    z = r / pre
+    d, rz = z.copy(), float(r @ z)
+    stop = tolerance * float(np.linalg.norm(b))
+    for _ in range(20 * len(b)):
+        a = sigma * d - (m @ d)
+        step = rz / float(d @ a)
+        x += step * d
+        r -= step * a
+        if float(np.linalg.norm(r)) <= stop:
+            break
+        z = r / pre
+        rz, old = float(r @ z), rz
+        d = z + (rz / old) * d
+    return x - null * (null @ x)
+
+
+def slow_modes(m: Sparse, weight: np.ndarray, k: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k eigenvalues nearest to sigma, the null one among them, and their vectors, by absolute value."""
+    n = len(m.diagonal)
+    if n <= DENSE:
+        values, vectors = np.linalg.eigh(m.dense())
+        near = np.argsort(np.abs(values - sigma), kind="stable")[:k]
+        near = near[np.argsort(np.abs(values[near]), kind="stable")]
+        return values[near], vectors[:, near]
+    null = np.sqrt(weight) / np.linalg.norm(np.sqrt(weight))
+    rng = np.random.RandomState(0)
+    size = min(n - 1, max(2 * k + 20, 60))
+    basis = np.zeros((n, size))
+    alpha, beta = np.zeros(size), np.zeros(size)
+    v = rng.standard_normal(n)
+    v -= null * (null @ v)
+    v /= np.linalg.norm(v)
+    made = 0
+    for j in range(size):
+        basis[:, j] = v
+        made = j + 1
+        w = _solve(m, sigma, v, null)
+        alpha[j] = v @ w
+        for _ in range(2):  # orthogonal to all before, twice for rounding
+            w -= basis[:, :made] @ (basis[:, :made].T @ w)
+            w -= null * (null @ w)
+        beta[j] = np.linalg.norm(w)
+        if beta[j] < 1e-14:
+            break
+        v = w / beta[j]
+    t = np.diag(alpha[:made]) + np.diag(beta[: made - 1], 1) + np.diag(beta[: made - 1], -1)
+    theta, y = np.linalg.eigh(t)
+    top = np.argsort(theta)[::-1][: k - 1]
+    values = np.concatenate([[0.0], sigma - 1 / theta[top]])
+    vectors = np.concatenate([null[:, None], basis[:, :made] @ y[:, top]], axis=1)
+    order = np.argsort(np.abs(values), kind="stable")
+    return values[order], vectors[:, order]
+
+
+def noise_modes(values: np.ndarray, threshold: float) -> int:
+    """How many of the values, by size, stand ahead of the first gap; 1 without one."""
+    a = np.abs(values)
+    for k in range(1, len(a)):
+        ratio = (math.inf if a[k] > 1e-30 else 1.0) if a[k - 1] < 1e-30 else a[k] / a[k - 1]
+        if ratio > threshold:
+            return k
+    return 1
+
+
+def basin_distances(energy: np.ndarray, basins: list[np.ndarray], values: np.ndarray, vectors: np.ndarray, rt: float, prefactor: float) -> np.ndarray:
+    """All distances between the basins' coordinates on the modes."""
+    w = np.exp(-(energy - energy.min()) / rt)
+    chi = np.zeros((len(basins), len(energy)))
+    for a, members in enumerate(basins):
+        total = w[members].sum()
+        if total > 0:
+            chi[a, members] = np.sqrt(w[members]) / total
+    x = (chi @ vectors) / np.sqrt(np.abs(values)) * rt * math.sqrt(prefactor)
+    d = np.zeros((len(basins), len(basins)))
+    for a in range(len(basins)):
+        d[a] = np.sqrt(((x - x[a]) ** 2).sum(axis=1))
+    return d
+
+
+def score_triplets(d: np.ndarray, p: Params) -> tuple[int, int, int]:
+    """(nontrivial, trivial, non_ultrametric) counts of all triplets, one row of the matrix at a time."""
+    n = len(d)
+    counts = [0, 0, 0]
+    for i in range(n - 2):
+        j, k = np.triu_indices(n - i - 1, 1)
+        s = np.sort(np.stack([d[i, i + 1 + j], d[i, i + 1 + k], d[i + 1 + j, i + 1 + k]]), axis=0)
+        low, mid, high = s
+        odd = ~np.isfinite(s).all(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            flat = ~odd & (high <= p.tolerance)
+            tree = ~odd & ~flat & (mid > p.tolerance) & ((high - mid) / mid <= p.epsilon) & ((mid - low) / mid > p.delta)
+            even = ~odd & ~flat & ~tree & (low > p.tolerance) & ((high - low) / low <= p.epsilon)
+        nt, tr = int(tree.sum()), int((flat | even).sum())
+        counts[0] += nt
+        counts[1] += tr
+        counts[2] += len(j) - nt - tr
+    return counts[0], counts[1], counts[2]
+
+
+RESULT = (
+    "comp_id int, comp_size long, num_basins int, basins array<long>, eigenvalues array<double>, num_noise_modes int, num_phys_modes int, "
+    "distances array<double>, n_nontrivial long, n_trivial long, n_non long, status string, reason string"
+)
+
+
+def component_spectra(nodes: DataFrame, edges: DataFrame, basins: DataFrame, p: Params, keys: Sequence[str] = KEYS, random_seed: int | None = None) -> DataFrame:
+    """One row for each component with three basins or more: its modes, the upper triangle of its distances, and its triplets' counts.
+
+    nodes: keys, comp_id, node_id, energy; edges: keys, comp_id, src, dst; basins: keys, comp_id, node_id, basin_id, rank (of kept basins only).
+    With a seed, basins are dealt anew at random, of the same sizes, over the same spectrum; the seed of a batch is random_seed + null_id.
+    A failure of one component is a status and a reason, not an error.
+    """
+    on = [*keys, "comp_id"]
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + RESULT
+    tagged = nodes.join(basins.select(*on, "node_id", "basin_id", "rank"), [*on, "node_id"], "left")
+
+    def solve(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        n = n.sort_values("node_id")
+        ids = n["node_id"].to_numpy()
+        energy = n["energy"].to_numpy(dtype=float)
+        rank = n["rank"].fillna(0).to_numpy().astype(int)
+        row = dict(zip([*keys, "comp_id"], key, strict=True)) | {"comp_size": len(n), "num_basins": int(rank.max(initial=0)), "basins": [], "eigenvalues": [], "num_noise_modes": 0, "num_phys_modes": 0, "distances": [], "n_nontrivial": 0, "n_trivial": 0, "n_non": 0, "status": "ok", "reason": None}
+        if row["num_basins"] < 3:
+            return pd.DataFrame()
+        try:
+            members = [np.flatnonzero(rank == r) for r in range(1, row["num_basins"] + 1)]
+            row["basins"] = [int(n["basin_id"].to_numpy()[m[0]]) for m in members]
+            if random_seed is not None:
+                null = dict(zip(keys, key, strict=False)).get("null_id", 0)
+                order = np.random.RandomState(random_seed + max(0, int(null))).permutation(len(n))
+                cuts = np.cumsum([0, *map(len, members)])
+                members = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            e = e.sort_values(["src", "dst"])
+            m = rate_matrix(energy, np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy()), p.rt, p.prefactor)
+            values, vectors = slow_modes(m, np.exp(-(energy - energy.min()) / p.rt), min(p.num_modes, len(n) - 1), p.sigma)
+            noise = noise_modes(values, p.gap_threshold)
+            if noise >= len(values):
+                raise RuntimeError("no physical mode is left")
+            d = basin_distances(energy, members, values[noise:], vectors[:, noise:], p.rt, p.prefactor)
+            nt, tr, non = score_triplets(d, p)
+            row |= {"eigenvalues": values.tolist(), "num_noise_modes": noise, "num_phys_modes": len(values) - noise, "distances": d[np.triu_indices(len(d), 1)].tolist(), "n_nontrivial": nt, "n_trivial": tr, "n_non": non}
+        except (RuntimeError, np.linalg.LinAlgError, FloatingPointError) as err:
+            row |= {"status": "failed", "reason": str(err)[:200]}
+        return pd.DataFrame([row])
+
+    return tagged.groupBy(*on).cogroup(edges.select(*on, "src", "dst").groupBy(*on)).applyInPandas(solve, schema)
+
+
+def spectrum_distances(spectra: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, comp_id, a < b (basins by rank), d from the rows of component_spectra."""
+    n = F.size("basins")
+    places = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda a: F.transform(F.sequence(a + 1, n - 1), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = spectra.where("status = 'ok' and size(distances) > 0").select(*keys, "comp_id", F.explode(F.arrays_zip(places.alias("p"), F.col("distances").alias("d"))).alias("x"))
+    return pairs.select(*keys, "comp_id", F.col("x.p.a").alias("a"), F.col("x.p.b").alias("b"), F.col("x.d").alias("d"))

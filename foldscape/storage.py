@@ -28,3 +28,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     where = shared_folder(df.sparkSession, name)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def join_batch(df: DataFrame, of_batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins a row for each batch to its rows; without keys there is one batch and one such row."""
+    return df.join(of_batch, keys) if keys else df.crossJoin(of_batch.limit(1))

@@ -1,0 +1,22 @@
+"""FASTA files as they arrive: each micro-batch of new files becomes sequences in a table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..sources.fasta import accepted, parse_records
+
+
+def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
+    """Streaming file, record, description, seq, length of accepted records of new *.fasta files in a folder."""
+    rows = spark.readStream.option("lineSep", "\n>").option("pathGlobFilter", "*.fasta").text(folder)
+    record = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
+    return accepted(parse_records(rows.select(F.col("_metadata.file_path").alias("file"), record.alias("record"))))
+
+
+def sink_sequences(stream: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Appends the sequences to a Parquet table; restarted from its checkpoint, no file is taken twice."""
+    writer = stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
