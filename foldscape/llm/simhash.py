@@ -122,7 +122,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .join(F.broadcast(ahead), F.col("key") == F.col("head"), "left")  # a row for each partition
         .withColumn("to", F.explode(F.when(F.col("head").isNotNull(), F.array(own, forward)).otherwise(F.array(own))))
         .select("to.bucket", "to.ahead", "key", "tie", "doc_id", "text")
-        .repartition(n, "bucket")
+        .repartitionById(n, F.col("bucket"))
         .sortWithinPartitions("bucket", "ahead", "key", "tie")
         .select("bucket", "ahead", "doc_id", "text")
     )
