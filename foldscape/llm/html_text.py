@@ -9,7 +9,8 @@ characters and LT tags of links below it, and LCb, Cb for the body,
 
 (zeros count as 1), and a node's sum is that of its children's densities.  The node with
 the largest sum is the root of the main text: the enclosing article or main element, if
-there is one, else that node.  The threshold is the smallest density on the path from the
+there is one, else the article or main element inside it that has the largest sum and a
+tenth of its characters, if there is one, else that node.  The threshold is the smallest density on the path from the
 root to the body; other nodes of that density or more, outside the root, whose sum is at
 least half the root's are main text too.
 
@@ -39,7 +40,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?tr
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words in class, id and role that mark what is not main text.
 _NOT_MAIN = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs complementary comment comments "
+    "ad ads alert alerts advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs complementary comment comments "
     "consent contentinfo cookie cookies disclaimer discussion disqus footer gdpr header masthead menu modal nav navbar navigation "
     "newsletter notice notices notification outbrain pagination paywall popup promo promoted promotion recommended related replies "
     "respond rail search share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget".split()
@@ -68,7 +69,8 @@ _SIBLING = {
 class Page:
     """The elements of a page in the order of their start tags, without those left out, and its runs of text."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, hints: bool = True):
+        self.hints = hints
         self.tag: list[str] = ["body"]
         self.parent: list[int] = [-1]
         self.chars: list[int] = [0]
@@ -148,7 +150,7 @@ class Page:
                 block += 1
             self._close_before(name, stack, names)
             link = names.count("a") if link else 0
-            if self._left_out(name, attributes, names):
+            if self._left_out(name, attributes, names, self.hints):
                 out.append(name)
                 continue
             k = len(self.tag)
@@ -186,13 +188,13 @@ class Page:
                     break
 
     @staticmethod
-    def _left_out(name: str, attributes: str, names: list[str]) -> bool:
+    def _left_out(name: str, attributes: str, names: list[str], hints: bool) -> bool:
         inside = "article" in names or "main" in names
         if name in _SKIP and not (name == "header" and inside) or name == "head":
             return True
-        if not attributes or name in ("article", "main"):
-            return name == "article" and _marks(attributes, _COMMENT)
-        return _marks(attributes, _NOT_MAIN - {"header"} if inside and name == "header" else _NOT_MAIN) or bool(_HIDDEN.search(attributes))
+        if not attributes or not hints or name in ("article", "main"):
+            return hints and name == "article" and _marks(attributes, _COMMENT)
+        return _marks(attributes, _IN_ARTICLE if inside else _NOT_MAIN) or bool(_HIDDEN.search(attributes))
 
     def main_text(self) -> str:
         """The page's main text."""
@@ -224,7 +226,14 @@ class Page:
             path.append(up)
         threshold = min(density[k] for k in path)
         inside = [(root, self.last[root])]
-        if self.tag[root] not in ("article", "main"):
+        named = [] if self.tag[root] in ("article", "main") else [k for k in range(root + 1, self.last[root] + 1) if self.tag[k] in ("article", "main") and chars[k] * 10 >= chars[root]]
+        if named:  # articles within: the largest, and others of at least half its sum, the outermost of nested ones
+            top = max(total[k] for k in named)
+            inside = []
+            for k in named:
+                if total[k] >= top / 2 and not (inside and k <= inside[-1][1]):
+                    inside.append((k, self.last[k]))
+        elif self.tag[root] not in ("article", "main"):
             for k in range(n):
                 if total[k] >= total[best] / 2 and density[k] >= threshold and not root <= k <= self.last[root] and not k <= root <= self.last[k]:
                     inside.append((k, self.last[k]))
@@ -243,18 +252,25 @@ class Page:
 
 
 _COMMENT = frozenset("comment comments reply replies".split())
+_ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
+_IN_ARTICLE = _NOT_MAIN - {"header"}
+_ABOUT_OTHERS = frozenset("has with no without".split())  # has-sidebar says what stands beside it
 
 
 def _marks(attributes: str, words: frozenset[str]) -> bool:
     for m in _HINT.finditer(attributes):
-        if not words.isdisjoint(w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "")):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [w.lower() for w in _WORDS.findall(name)]
+            if parts and parts[0] not in _ABOUT_OTHERS and not words.isdisjoint(parts):
+                return True
     return False
 
 
 def main_text(page: str | None) -> str:
-    """The main text of one page."""
-    return Page(page).main_text() if page else ""
+    """The main text of one page; if names leave nothing of one with an article or main element, only elements are left out."""
+    if not page:
+        return ""
+    return Page(page).main_text() or (Page(page, hints=False).main_text() if _ARTICLE.search(page) else "")
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

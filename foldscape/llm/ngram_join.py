@@ -201,7 +201,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     sketches = kept(_sketches(rows, s), "sketches")
     # one node for each set
     nodes = kept(
-        sketches.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")),
+        sketches.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")),
         "nodes",
     )
     keyed = nodes.select("k1", F.posexplode("bands").alias("band", "key"))
@@ -261,7 +261,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
             "tie",
             F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
             F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-            F.coalesce(F.struct("doc_id", "tie") == F.col("first"), F.lit(True)).alias("chosen"),
+            F.when(F.col("first").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))).alias("chosen"),
         )
     )
 
