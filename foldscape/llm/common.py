@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import kept, shared_folder  # noqa: F401
+
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -34,22 +36,6 @@ def ship(spark: SparkSession) -> None:
     sc._foldscape_shipped = True
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, one of our own, for tests in local mode."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="foldscape-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI or plain path."""
     from pyarrow import fs
@@ -85,13 +71,6 @@ def map_array(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it again: cuts lineage and outlives executors."""
-    where = shared_folder(df.sparkSession, name)
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n+1 offsets) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
