@@ -30,8 +30,8 @@ def set_key(ids: Column) -> Column:
 
 def triangle_label(d1: Column, d2: Column, d3: Column, p: Params = Params()) -> Column:
     """nontrivial, trivial or non_ultrametric, by the sorted sides; a side that is no number or infinite is non_ultrametric."""
-    s = F.array_sort(F.array(d1, d2, d3))
-    low, mid, high = s[0], s[1], s[2]
+    low, high = F.least(d1, d2, d3), F.greatest(d1, d2, d3)
+    mid = F.greatest(F.least(d1, d2), F.least(F.greatest(d1, d2), d3))
     odd = F.isnan(d1) | F.isnan(d2) | F.isnan(d3) | (high == float("inf")) | d1.isNull() | d2.isNull() | d3.isNull()
     return (
         F.when(odd, "non_ultrametric")

@@ -28,11 +28,12 @@ def star_contraction(edges: DataFrame, batch: Sequence[str] = (), src: str = "sr
     before = None
     while True:
         both = e.unionByName(e.select(*b, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*keys).agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a row for each node, dealt anew, so that the join's sides are shuffled for it alone and a hub's many edges can be split
+        least = both.groupBy(*keys).agg(F.least(F.min("v"), F.col("u")).alias("m")).hint("rebalance")
         # large star: v above u goes to the least of u's neighbourhood
         large = both.where("v > u").join(least, keys).select(*b, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its lower neighbours go to the least of them
-        low = large.groupBy(*keys).agg(F.min("v").alias("m"))
+        low = large.groupBy(*keys).agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(low, keys).where("v != m").select(*b, F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(*b, "u", F.col("m").alias("v"))).distinct()
         e = kept(small, "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "v").cast("decimal(38,0)"))).first()

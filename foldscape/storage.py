@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only where that is unset, one of our own, for tests in local mode."""
@@ -20,7 +22,8 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's URI in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +33,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all folders that this process has made; DataFrames that read them can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def join_batch(df: DataFrame, of_batch: DataFrame, keys: list[str]) -> DataFrame:
     """Joins a row for each batch to its rows; without keys there is one batch and one such row."""
     return df.join(of_batch, keys) if keys else df.crossJoin(of_batch.limit(1))

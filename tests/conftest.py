@@ -23,6 +23,9 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from foldscape.storage import clear
+
+    clear(s)
     s.stop()
 
 

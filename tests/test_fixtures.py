@@ -12,6 +12,7 @@ from foldscape.operators.sampler import Fold, sample_structures, structure_energ
 from foldscape.operators.spectral import Sparse, basin_distances, noise_modes, rate_matrix, score_triplets, slow_modes
 from foldscape.params import Params
 from foldscape.plans import analysis
+from foldscape.plans import report as reporting
 from foldscape.sources import fasta
 
 P = Params(min_basin_size=1, alpha=0.0)
@@ -278,7 +279,7 @@ def test_degenerate_inputs(spark):
 
 
 @pytest.mark.parametrize("model", ["full_analysis", "random_basins", "nt_shuffle"])
-def test_whole_analysis(spark, model):
+def test_whole_analysis(spark, model, tmp_path):
     seqs = spark.createDataFrame([(1, "first", "GGGAAACCCAGGGAAACCC"), (2, "second", "GGCGAAAGCCAAGGCAAAGCC")], "seq_id long, description string, seq string")
     p = Params(num_runs=2, max_structures=60, min_basin_size=1, alpha=0.001, null_model=model, num_null=2)
     out = analysis.analyze(seqs, p)
@@ -290,6 +291,14 @@ def test_whole_analysis(spark, model):
     assert len(names) == (2 if model == "full_analysis" else 1)
     text = analysis.report(out["summary"], out[names[0]])
     assert {"description", "u_nt", "null_u_nt", "p_value"} <= set(text.columns) and text.count() == 2
+    row = reporting.ensemble(out["summary"], out[names[0]]).first()
+    assert row.n == 2 and (row.null_p_value is None or 0 <= row.null_p_value <= 1)
+    assert reporting.ensemble(out["summary"].limit(1)).first().std_u_nt == 0
+    assert reporting.ensemble_line(out["summary"]).first().description == "average"
+    assert reporting.text_table(reporting.numbered(text.withColumn("length", F.lit(1)))).count("\n") == 3
+    reporting.write_table(text, str(tmp_path / "t"), "csv")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "t")).count() == 2
+    assert "num_runs = 2" in reporting.parameter_lines(p)
 
 
 def test_stream(spark, tmp_path):
