@@ -1,7 +1,13 @@
 """A corpus pipeline over documents, in stages that each call one operator of foldscape.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
-the last return the columns of documents.
+the last return the columns of documents, COLUMNS, and no others.
+
+Defined results: a null text is an empty one for every judgement and stays null until it is
+packed, as the end id alone; documents without words are never toxic beyond the model's
+score for nothing, near duplicates or contaminated; of rows with the same id and text one
+stays; null ids, languages, sources and n_chars pass through (n_chars follows the masked
+text); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,23 +28,24 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labelled ones, calls toxic go."""
+    docs = docs.select(*COLUMNS)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return score_toxicity(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five words, a similarity of 0.8."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more are benchmark passages go."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*docs.columns)
+    return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Findings in texts are masked; n_chars follows."""
-    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return redact_secrets(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

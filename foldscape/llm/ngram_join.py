@@ -193,7 +193,7 @@ def _verify(threshold: float):
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each document: doc_id, tie (xxhash64 of its text), class_id (the least id that links lead to),
-    n_links (other documents at the threshold or more), and chosen: whether (doc_id, tie) is the least of its class."""
+    n_links (other documents at the threshold or more), has_words, and chosen: whether (doc_id, tie) is the least of its class."""
     spark = docs.sparkSession
     ship(spark)
     s = Sketcher(*choose_bands(threshold, recall), n)
@@ -261,6 +261,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
             "tie",
             F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
             F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+            F.col("k1").isNotNull().alias("has_words"),
             F.when(F.col("first").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))).alias("chosen"),
         )
     )
@@ -272,13 +273,19 @@ def _repeats(sketches: DataFrame) -> bool:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each class: that with the least id."""
+    """The documents, one of each class: that with the least id; of rows with its id and text, the least row. All columns pass through."""
     judged = kept(jaccard_classes(docs, threshold, n, id_col=id_col, text_col=text_col), "classes")
-    gone = judged.where("not chosen").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
     names = docs.columns
-    out = docs.withColumns({"_id": F.col(id_col).cast("long"), "_tie": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    out = out.alias("d").join(gone.alias("g"), F.col("d._id").eqNullSafe(F.col("g._id")) & (F.col("d._tie") == F.col("g._tie")), "left_anti")
-    if _repeats(judged):  # one of rows with the same id and text; rows without words stay
-        wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-        out = out.where(wordless).unionByName(out.where(~wordless).dropDuplicates(["_id", "_tie"]))
+    key, tie = (next(x for x in (base + "_" * k for k in range(len(names) + 1)) if x not in names) for base in ("own_id", "own_tie"))
+    out = docs.withColumns({key: F.col(id_col).cast("long"), tie: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+
+    def marked(rows: DataFrame, how: str, by: DataFrame) -> DataFrame:
+        by = by.select(F.col("doc_id").alias("by_id"), F.col("tie").alias("by_tie")).distinct()
+        return rows.join(by, rows[key].eqNullSafe(by["by_id"]) & (rows[tie] == by["by_tie"]), how)
+
+    out = marked(out, "left_anti", judged.where("not chosen"))
+    repeated = judged.where("has_words").groupBy("doc_id", "tie").count().where("count > 1")
+    if not repeated.isEmpty():
+        one = marked(out, "left_semi", repeated).groupBy(key, tie).agg(F.min(F.struct(*[f"`{c}`" for c in names])).alias("row")).select("row.*")
+        return marked(out, "left_anti", repeated).select(*[f"`{c}`" for c in names]).unionByName(one)
     return out.select(*[f"`{c}`" for c in names])

@@ -202,7 +202,7 @@ def test_pipeline(spark, sf):
     from foldscape.llm.secrets import base_spans
 
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit("kept"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     toxic = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect())
     stage = {}
@@ -232,3 +232,30 @@ def test_pipeline(spark, sf):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == sizes
     assert P.run(spark, sf).agg(F.sum("length")).first()[0] == sum(sizes.values())
+
+
+def test_pipeline_on_odd_documents(spark, sf):
+    """Nulls in every column, repeated rows, extra columns with names that operators use, and no rows at all."""
+    import corpus_pipeline as P
+
+    text = "these few words stand in two rows of the table"
+    rows = [
+        (1, text, "en", "s", 46), (1, text, "en", "s", 46), (2, text + " and more", None, None, None), (3, None, "en", "s", None), (4, "", "en", "s", 0),
+        (None, "password = hunter2hunter2", "en", "s", 25), (None, None, None, None, None), (None, None, None, None, None), (5, "x" * 50_000, "en", "s", 50_000),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    clash = docs.withColumns({c: F.lit("own") for c in ("score", "predicted", "spans", "n_words", "items", "class_id", "tie", "key", "offset", "n_hit")})
+    for start in (docs, clash, clash.where("false")):
+        now = start
+        for name, f in P.STAGES:
+            now = f(spark, now, sf).cache()
+            if name != "packing":
+                assert now.columns == P.COLUMNS
+                if name == "secrets":
+                    kept = sorted((r.doc_id or 0, r.text or "") for r in now.collect())
+        if start.isEmpty():
+            assert now.count() == 0
+        else:
+            assert kept == [(0, ""), (0, ""), (0, "[SECRET]"), (1, text), (2, text + " and more"), (3, ""), (4, ""), (5, "x" * 50_000)]
+            assert now.groupBy("doc_id").count().count() == 6
