@@ -7,8 +7,10 @@ the numbers of different symbols seen before,
     P_c(x | h) = max(N_c(h x) - D, 0) / N_c(h) + D * followers_c(h) / N_c(h) * P_c(x | shorter h)
 
 From order SHARED down the counts are those of both classes together, so that both classes
-back off to the same probabilities and a rare expression says little of either.  A text's
-feature is the mean over its words of log P_toxic - log P_ordinary; a logistic function of
+back off to the same probabilities and a rare expression says little of either.  A gram
+speaks for a class only where its counts in the two differ by SURE standard errors and its
+probabilities by a factor of e to STRONG: a mix of languages that differs a little between
+the classes makes no difference.  A text's feature is the mean over its words of log P_toxic - log P_ordinary; a logistic function of
 it, fitted on labelled rows that the models haven't seen, is the score; in that fit the
 classes' weights are halfway (by ratio) between their shares and equal ones.
 
@@ -36,10 +38,12 @@ from .common import add_from_text, chunks, filesystem, flat, shared_folder, ship
 from .words import LOWER, Words, words
 
 MAX_PER_CLASS = 8000
-ORDER = 5
+ORDER = 8
 SHARED = 1
 DISCOUNT = 0.75
 LEAST = 3
+SURE = 4.0
+STRONG = 1.5
 #: Every so manieth labelled row is kept from the models, to fit the logistic function.
 CALIBRATE = 4
 #: Words whose value a worker remembers.
@@ -81,9 +85,9 @@ def _look(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray, other: float
 
 
 class Model:
-    """log P_toxic - log P_ordinary by tables of the grams of each order and of their contexts."""
+    """log P_toxic - log P_ordinary by a table of grams for each order, 0 where neither class has the gram for itself."""
 
-    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, least: int = LEAST):
+    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, least: int = LEAST, sure: float = SURE, strong: float = STRONG):
         """counted: (gram of `order` symbols, count) of the ordinary and the toxic class."""
         self.order, self.shared = order, shared
         eight = np.uint64(8)
@@ -118,13 +122,14 @@ class Model:
                 return np.where(seen >= 0, seen, share * down(asked))
 
         below = [lower, lower]
-        self.tables: list[tuple[tuple, tuple]] = []
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(shared + 1, order + 1):
-            values, shares = [], []
+            values = []
             union = np.union1d(counts[0][order - k][0], counts[1][order - k][0])
             contexts = np.unique(union >> eight)
-            total = sum(_look(counts[c][order - k], union) for c in (0, 1))
-            kept = union[total >= least]
+            each = [_look(counts[c][order - k], union) for c in (0, 1)]
+            often = each[0] + each[1] >= least
+            kept, each = union[often], [n[often] for n in each]
             next_below = []
             for c in (0, 1):
                 g, n = counts[c][order - k]
@@ -132,9 +137,8 @@ class Model:
                 size = _look(h, contexts)
                 share = (contexts, np.where(size >= least, discount * _look(f, contexts) / np.maximum(size, 1), 1.0))
                 size_of = _look(h, kept >> eight)
-                value = np.where(size_of >= least, np.maximum(_look((g, n), kept) - discount, 0) / np.maximum(size_of, 1), 0.0) + _look(share, kept >> eight, 1.0) * below[c](kept)
+                value = np.where(size_of >= least, np.maximum(each[c] - discount, 0) / np.maximum(size_of, 1), 0.0) + _look(share, kept >> eight, 1.0) * below[c](kept)
                 values.append(np.log(value))
-                shares.append(np.log(share[1]))
 
                 def at_order(asked, k=k, table=(kept, value), share=share, down=below[c]):
                     cut = asked & np.uint64((1 << (8 * k)) - 1)
@@ -143,24 +147,26 @@ class Model:
 
                 next_below.append(at_order)
             below = next_below
-            self.tables.append(((kept, values[1] - values[0]), (contexts, shares[1] - shares[0])))
+            total = [max(1.0, float(counts[c][order - k][1].sum())) for c in (0, 1)]
+            pooled = (each[0] + each[1]) / (total[0] + total[1])
+            error = np.sqrt(pooled * np.maximum(1 - pooled, 1e-12) * (1 / total[0] + 1 / total[1]))
+            ratio = values[1] - values[0]
+            speaks = (np.abs(each[1] / total[1] - each[0] / total[0]) >= sure * error) & (np.abs(ratio) >= strong)
+            self.tables.append((kept, np.where(speaks, ratio, 0.0)))
 
     def of_grams(self, asked: np.ndarray) -> np.ndarray:
-        """The log ratio of each gram of the highest order."""
+        """The log ratio of each gram of the highest order: that of its longest end that is in a table."""
         out = np.zeros(len(asked))
         left = np.arange(len(asked))
         for k in range(self.order, self.shared, -1):
-            if not len(left):
-                break
-            (keys, values), context = self.tables[k - self.shared - 1]
+            keys, values = self.tables[k - self.shared - 1]
+            if not len(left) or not len(keys):
+                continue
             cut = asked[left] & np.uint64((1 << (8 * k)) - 1)
-            seen = np.zeros(len(left), dtype=bool)
-            if len(keys):
-                j = np.minimum(np.searchsorted(keys, cut), len(keys) - 1)
-                seen = keys[j] == cut
-                out[left[seen]] += values[j[seen]]
-            left, cut = left[~seen], cut[~seen]
-            out[left] += _look(context, cut >> np.uint64(8))
+            j = np.minimum(np.searchsorted(keys, cut), len(keys) - 1)
+            seen = keys[j] == cut
+            out[left[seen]] = values[j[seen]]
+            left = left[~seen]
         return out
 
     def of_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

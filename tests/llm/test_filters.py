@@ -188,4 +188,4 @@ def test_toxicity_on_held_out_documents(spark, sf):
     labels = spark.read.parquet(f"{big}/labels.parquet")
     got = QUERIES["op5_toxicity"](spark, big).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted for r in got if not r.toxic]) < 0.03
-    assert np.mean([r.predicted for r in got if r.toxic]) > 0.4
+    assert np.mean([r.predicted for r in got if r.toxic]) > 0.65
