@@ -6,8 +6,8 @@ same set are one class from the start, so that copies, however many, are one nod
 keys are grouped with their least node (map-side first, so no key is hot), which gives
 stars, not pairs; the components of the stars are the candidate groups.
 
-Each group is verified on the full n-gram sets.  A group of more than BLOCK nodes is dealt
-into blocks, and each two blocks meet in one task: intersections of all their pairs are a
+Each group is verified on the full n-gram sets.  A group of more than BLOCK nodes, or
+BLOCK_GRAMS n-grams, is dealt into blocks, and each two blocks meet in one task: intersections of all their pairs are a
 matrix product over the n-grams that more than one of them has.  Tasks return, for each
 node, how many documents it is linked to and a forest of the links, never pairs.
 
@@ -36,6 +36,8 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9995
 MOST_HASHES = 128
 BLOCK = 512
+#: N-grams of a block, about; a group of long texts is dealt into more blocks.
+BLOCK_GRAMS = 1 << 20
 #: N-grams that are multiplied at once.
 COLUMNS = 4096
 
@@ -102,10 +104,10 @@ def _sketches(docs: DataFrame, s: Sketcher) -> DataFrame:
                 part = batch.slice(i, j - i)
                 empty = np.diff(first) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("tie"), pa.array(k1.view(np.int64), mask=empty), pa.array(k2.view(np.int64), mask=empty), lists], ["doc_id", "tie", "k1", "k2", "bands"]
+                    [part.column("doc_id"), part.column("tie"), pa.array(k1.view(np.int64), mask=empty), pa.array(k2.view(np.int64), mask=empty), pa.array(np.diff(first).astype(np.int64)), lists], ["doc_id", "tie", "k1", "k2", "size", "bands"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, tie long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, tie long, k1 long, k2 long, size long, bands array<long>")
 
 
 def _verify(threshold: float):
@@ -201,15 +203,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     sketches = kept(_sketches(rows, s), "sketches")
     # one node for each set
     nodes = kept(
-        sketches.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")),
+        sketches.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("bands").alias("bands")),
         "nodes",
     )
     keyed = nodes.select("k1", F.posexplode("bands").alias("band", "key"))
     stars = keyed.groupBy("band", "key").agg(F.min("k1").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = keyed.join(stars, ["band", "key"]).where("k1 != hub").select(F.col("k1").alias("src"), F.col("hub").alias("dst")).distinct()
     groups = kept(star_contraction(edges), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    dealt = nodes.drop("bands").join(groups.join(sizes, "component"), F.col("k1") == F.col("node")).select("component", "n", "k1", "k2", "weight", "least.doc_id", "least.tie")
+    grouped = kept(nodes.drop("bands").join(groups, F.col("k1") == F.col("node")), "grouped")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_GRAMS)).cast("int")
+    dealt = grouped.join(grouped.groupBy("component").agg(blocks.alias("n")), "component").select("component", "n", "k1", "k2", "weight", "least.doc_id", "least.tie")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["component", "n", "k1", "k2", "weight"]
@@ -254,7 +257,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     leasts = linked.groupBy("root").agg(F.min("least").alias("first"))
     classes = linked.join(leasts, "root").select("k1", "k2", "n_links", "first")
     return (
-        sketches.drop("bands")
+        sketches.drop("bands", "size")
         .join(classes, ["k1", "k2"], "left")
         .select(
             "doc_id",

@@ -161,8 +161,9 @@ def near_copies(rng, n_base=25, copies=8, edits=4):
     return texts
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_ngram_join(spark, block):
+@pytest.mark.parametrize(("block", "grams"), [(512, 1 << 20), (3, 1 << 20), (512, 200)])
+def test_ngram_join(spark, monkeypatch, block, grams):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
     rng = random.Random(block)
     texts = near_copies(rng) + ["one two", "One, two!", "one", "", None, "...", ""]
     texts += [texts[0]] * 3
