@@ -45,6 +45,8 @@ _NOT_MAIN = frozenset(
     "newsletter notice notices notification outbrain pagination paywall popup promo promoted promotion recommended related replies "
     "respond rail search share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget".split()
 )
+#: The same within longer words.
+_STEMS = re.compile("comment(?!ar)|sidebar|cookie|advert|newsletter|breadcrumb|navigation|sponsor|disqus|masthead|subscri|mainmenu|topnav|navmenu|adsense|footer")
 _RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas noembed noframes xmp".split())
 _SKIP = frozenset("nav header footer aside form menu dialog button label fieldset head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
@@ -261,7 +263,7 @@ def _marks(attributes: str, words: frozenset[str]) -> bool:
     for m in _HINT.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = [w.lower() for w in _WORDS.findall(name)]
-            if parts and parts[0] not in _ABOUT_OTHERS and not words.isdisjoint(parts):
+            if parts and parts[0] not in _ABOUT_OTHERS and (not words.isdisjoint(parts) or words is not _COMMENT and _STEMS.search(name.lower())):
                 return True
     return False
 

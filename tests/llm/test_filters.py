@@ -60,6 +60,10 @@ def test_main_text():
     wrapped = '<div class="has-sidebar"><article><div class="article-header"><h1>H</h1></div><p>text</p></article><div class="sidebar">s</div></div>'
     assert html_text.main_text(wrapped) == "H\n\ntext"
     assert html_text.main_text('<div class="comments"><main>all that is here</main></div>') == "all that is here"
+    around = '<ol class="commentlist"><li>no</ol><div id="disqus_thread">no</div><div class="cookiebar">no</div>'
+    assert html_text.main_text(f'<div class="topnav">x</div><article><h1>T</h1><p>Some text.</p>{around}<p>Last.</p></article>') == "T\n\nSome text.\n\nLast."
+    columns = '<div class="c1"><h2>Head</h2><p>First of some length, with words and words.</p><blockquote>quote</blockquote><pre>a\n  b</pre></div><div class="c2"><h3>Popular</h3><ul><li><a href=1>Some linked title</a><li><a href=2>Other linked title</a></ul></div>'
+    assert html_text.main_text(columns) == "Head\n\nFirst of some length, with words and words.\n\nquote\n\na b"
     for odd in ("", None, "<", "<p", "</p>", "<script>", "<!--", "<a href='x>", "<div class=ad>x"):
         assert html_text.main_text(odd) == "" or odd in ("<", "<p", "<a href='x>")
     assert html_text.main_text("plain words") == "plain words"
