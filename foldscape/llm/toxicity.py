@@ -38,7 +38,9 @@ from .common import add_from_text, chunks, filesystem, flat, shared_folder, ship
 from .words import LOWER, Words, words
 
 MAX_PER_CLASS = 8000
-ORDER = 8
+# ORDER, SURE and STRONG are the best by area under the curve on rows of remainder 4, with models fitted on those of
+# remainders 1 and 2 of crc32(doc_id) modulo 5: rows of remainder 0 had no part in this choice.
+ORDER = 6
 SHARED = 1
 DISCOUNT = 0.75
 LEAST = 3
