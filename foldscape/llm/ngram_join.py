@@ -226,7 +226,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
 
     of_nodes = (
         rows.alias("r")
-        .join(dealt.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.tie") == F.col("d.tie")))
+        .join(dealt.hint("merge").alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.tie") == F.col("d.tie")))
         .select("component", "n", "k1", "k2", "weight", "text")
     )
     if _repeats(sketches):
@@ -283,7 +283,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int =
     out = docs.withColumns({key: F.col(id_col).cast("long"), tie: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
 
     def marked(rows: DataFrame, how: str, by: DataFrame) -> DataFrame:
-        by = by.select(F.col("doc_id").alias("by_id"), F.col("tie").alias("by_tie")).distinct()
+        by = by.select(F.col("doc_id").alias("by_id"), F.col("tie").alias("by_tie")).distinct().hint("merge")  # the same plan at every size
         return rows.join(by, rows[key].eqNullSafe(by["by_id"]) & (rows[tie] == by["by_tie"]), how)
 
     out = marked(out, "left_anti", judged.where("not chosen"))
