@@ -14,7 +14,7 @@ from .licenses import scan_licenses
 from .ngram_join import jaccard_classes
 from .packing import pack
 from .secrets import scan_secrets
-from .simhash import edit_likeness
+from .simhash import add_links, edit_likeness
 from .token_files import read_token_files, write_token_files
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import filter_urls, write_rules
@@ -64,7 +64,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_likeness(table(spark, sf_dir, "documents"))
+    return add_links(edit_likeness(table(spark, sf_dir, "documents")))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

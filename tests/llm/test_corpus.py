@@ -124,6 +124,48 @@ def test_near_links(spark):
     assert sum(r.n_docs for r in got.values()) == len(prints) + 5
 
 
+def test_near_copies_are_linked(spark):
+    """Over whole documents: five-word terms, near copies at 0.8, classes, copies, and the pairs themselves."""
+    rng = random.Random(4)
+    texts = near_copies(rng, n_base=40, copies=5, edits=2) + ["only a few words stand here"] * 2 + [None, "", "..."]
+    texts += [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], SCHEMA).repartition(5)
+    found = simhash.edit_likeness(docs)
+    got = {r.doc_id: r for r in simhash.add_links(found).collect()}
+    assert len(got) == len(texts)
+    prints = simhash.fingerprints([t or "" for t in texts])
+    far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    near = (far <= simhash.RADIUS) & prints.any(axis=1)[:, None] & prints.any(axis=1)[None]
+    np.fill_diagonal(near, False)
+    label = list(range(len(texts)))
+    for _ in texts:
+        label = [min([label[k], *(label[j] for j in np.flatnonzero(near[k]))]) for k in range(len(texts))]
+    assert [got[k].n_links for k in range(len(texts))] == near.sum(axis=1).tolist()
+    assert [got[k].class_id for k in range(len(texts))] == label
+    sets = [grams_of(t or "") for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 50 and np.mean([near[i, j] for i, j in alike]) > 0.95
+    pairs = [(r.fingerprint, r.other, r.distance) for r in simhash.near_pairs(found, block=3).collect()]
+    hexes = [p.tobytes().hex() for p in prints]
+    assert len(set(pairs)) == len(pairs)
+    assert set(pairs) == {(hexes[i], hexes[j], far[i, j]) for i, j in zip(*np.nonzero(near), strict=True) if hexes[i] < hexes[j]}
+
+
+def test_large_groups_of_fingerprints():
+    """Large groups, and tables sorted in parts, link what comparing all pairs links."""
+    rng = np.random.RandomState(2)
+    bits = np.repeat(rng.randint(0, 2, (4, 128)), 150, axis=0).astype(np.uint8)
+    bits ^= rng.random_sample(bits.shape) < 0.06
+    p = np.packbits(bits, axis=1).view(np.uint64)
+    near = np.bitwise_count(p[:, None] ^ p[None]).sum(axis=2) <= 16
+    root = np.arange(len(p))
+    for _ in range(20):
+        root = np.where(near, root[None], len(p)).min(axis=1)
+    masks = np.zeros((1, 2), dtype=np.uint64)  # one group of all
+    assert np.array_equal(simhash.forest(p, masks, 16), root)
+    assert np.array_equal(simhash.forest(p, simhash.tables(len(p), 16), 16), simhash.forest(p, simhash.tables(len(p), 16), 16, rows=100))
+
+
 def grams_of(text, n=5):
     w = words_of(text)
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
