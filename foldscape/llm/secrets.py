@@ -2,9 +2,12 @@
 
 The patterns (BASE) always count.  A candidate is a maximal run of at least SHORTEST
 characters of [A-Za-z0-9+/_.=-] with a letter and a digit that overlaps no base finding.
-The network sees its characters and those around it: BEFORE ahead, up to INSIDE of it (of a
-longer one the first INSIDE; every candidate is judged) and AFTER behind, each as one symbol and whether it is
-inside; one convolution, maximum and mean over places, one hidden layer.  It is trained by
+The network sees its characters and those around it: BEFORE ahead, up to INSIDE of it and
+AFTER behind, each as one symbol and whether it is inside.  Of a longer candidate it sees, without
+what is around them, windows of INSIDE characters too: one each STEP characters, the last INSIDE, and one from each
+place behind some of / _ . = -; and the parts between these.  Windows and parts have at least SHORTEST
+characters, a letter and a digit, as candidates do; the candidate has the largest probability and is found whole.
+The network is one convolution, maximum and mean over places, one hidden layer.  It is trained by
 `train` on labelled findings, on the driver, with numpy; Platt scaling on findings kept
 aside makes its output a probability, and the threshold is the highest that keeps the
 wanted recall on them.  Without labelled findings of one's own, `generated_findings` makes
@@ -40,11 +43,13 @@ SHORTEST = 16
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
 RECALL = 0.97
+STEP = INSIDE // 2
 KERNEL, FILTERS, HIDDEN = 5, 24, 16
 
 _B = np.arange(256)
 _ALNUM = ((_B >= 48) & (_B <= 57)) | ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
 _CANDIDATE = _ALNUM | np.isin(_B, list(b"+/_.=-"))
+_SPLIT = np.isin(_B, list(b"/_.=-"))
 _LETTER = _ALNUM & (_B > 57)
 _DIGIT = (_B >= 48) & (_B <= 57)
 _HEX = _DIGIT | ((_B >= 97) & (_B <= 102))
@@ -86,6 +91,25 @@ def encode(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarr
     return np.where(ok, _SYMBOL[data[np.clip(at, 0, max(len(data) - 1, 0))]], 0)
 
 
+def views(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(candidate, start, end) of what the network sees of each: the candidate, and of a long one its windows and parts."""
+    of, a, z = [np.arange(len(starts))], [starts], [ends]
+    for c in np.flatnonzero(ends - starts > INSIDE).tolist():
+        x, y = int(starts[c]), int(ends[c])
+        run = data[x:y]
+        split = _SPLIT[run]
+        begin = np.flatnonzero(~split & np.concatenate([[True], split[:-1]]))
+        end = np.flatnonzero(~split & np.concatenate([split[1:], [True]])) + 1
+        slide = np.unique(np.concatenate([np.arange(0, y - x - INSIDE, STEP), [y - x - INSIDE], begin]))
+        s, e = np.concatenate([slide, begin]), np.concatenate([np.minimum(slide + INSIDE, y - x), np.minimum(end, begin + INSIDE)])
+        letters, digits = (np.concatenate([[0], np.cumsum(k[run])]) for k in (_LETTER, _DIGIT))
+        ok = (e - s >= SHORTEST) & (letters[e] > letters[s]) & (digits[e] > digits[s])
+        of.append(np.full(int(ok.sum()), c))
+        a.append(x + s[ok])
+        z.append(x + e[ok])
+    return np.concatenate(of), np.concatenate(a), np.concatenate(z)
+
+
 @dataclass
 class Network:
     """Weights; logit(x) = calibrated; threshold on the probability."""
@@ -127,13 +151,33 @@ class Network:
             out[i : i + 256] = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
         return out
 
+    def judge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The probability of each candidate: the largest of its views."""
+        of, a, z = views(data, starts, ends)
+        out = np.zeros(len(starts))
+        for i in range(0, len(of), 4096):
+            k = slice(i, i + 4096)
+            cut = np.arange(len(of))[k] >= len(starts)  # windows and parts are seen without what is around them
+            np.maximum.at(out, of[k], self.probability(encode(data, a[k], z[k], np.where(cut, a[k], low[of[k]]), np.where(cut, z[k], high[of[k]]))))
+        return out
+
 
 def train(findings: list[tuple[str, int, int, int]], seed: int = 7, epochs: int = 5, rate: float = 3e-3, recall: float = RECALL) -> Network:
     """findings: (text, start, end, label) in bytes of ASCII text. A quarter is kept aside to calibrate."""
     rng = np.random.default_rng(seed)
     symbols = np.concatenate([encode(d, np.array([a]), np.array([z]), np.array([0]), np.array([len(d)])) for d, a, z in ((np.frombuffer(t.encode(), np.uint8), a, z) for t, a, z, _ in findings)])
     y = np.array([f[3] for f in findings], dtype=np.float32)
+    more: list[np.ndarray] = []
     aside = np.arange(len(y)) % 4 == 0
+    for i in np.flatnonzero(~aside & (y == 0)).tolist():  # windows and parts of what is no key are none either
+        text, start, end, _ = findings[i]
+        if end - start > INSIDE:
+            d = np.frombuffer(text.encode(), np.uint8)
+            _, a, z = (x[1:] for x in views(d, np.array([start]), np.array([end])))
+            more.append(encode(d, a, z, a, z))
+    symbols = np.concatenate([symbols, *more])
+    extra = len(symbols) - len(y)
+    y, aside = np.concatenate([y, np.zeros(extra, np.float32)]), np.concatenate([aside, np.zeros(extra, bool)])
     init = lambda *s: (rng.standard_normal(s) * np.sqrt(2 / s[0])).astype(np.float32)
     net = Network(init(KERNEL * _SYMBOLS, FILTERS) * 4, np.zeros(FILTERS, np.float32), init(2 * FILTERS, HIDDEN), np.zeros(HIDDEN, np.float32), init(HIDDEN), 0.0)
     names = ["conv", "bias", "w1", "b1", "w2", "b2"]
@@ -163,8 +207,9 @@ def train(findings: list[tuple[str, int, int, int]], seed: int = 7, epochs: int
     from .toxicity import fit_logistic
 
     net.slope, net.shift = fit_logistic(z.astype(float), y[aside].astype(float), np.ones(int(aside.sum())))
-    p = np.sort(net.probability(symbols[aside & (y == 1)]))
-    net.threshold = max(0.5, float(p[int((1 - recall) * len(p))])) if len(p) else 0.5
+    kept = [(np.frombuffer(findings[i][0].encode(), np.uint8), *(np.array([k]) for k in findings[i][1:3])) for i in np.flatnonzero(aside & (y == 1)).tolist()]
+    p = np.sort([float(net.judge(d, a, z, np.array([0]), np.array([len(d)]))[0]) for d, a, z in kept])
+    net.threshold = float(p[int((1 - recall) * len(p))]) if len(p) else 0.5
     return net
 
 
@@ -201,6 +246,7 @@ def generated_findings(n: int = 10000, seed: int = 11) -> list[tuple[str, int, i
         lambda: f"{word()}-{some(digits, 1, 2)}.{some(digits, 1, 2)}.{some(digits, 1, 2)}-{word()}.tar.gz",
         lambda: "".join(word() + rng.choice([".", "-", ""]) for _ in range(3)) + some(digits, 2, 2) + word(),
         lambda: word().upper() + word().upper() + word().upper() + some(digits, 1, 3),
+        lambda: rng.choice("/-_.").join(word() for _ in range(rng.randint(8, 18))) + rng.choice(["/", "-", ""]) + word() + some(digits, 1, 4) + rng.choice(["", ".html", "/" + word()]),
     ]
     leads = ["key: ", "key=", "Authorization: Bearer ", "credentials ", 'auth "', "export X=", "private ", "access ", "with ", "and ", "", "", "", ""]
     out = []
@@ -264,7 +310,7 @@ def scan_column(column: pa.Array, net: Network) -> list[list[tuple[int, int, int
         a, z = a[ok], z[ok]
         if len(a):
             doc = np.searchsorted(off, a, side="right") - 1
-            yes = net.probability(encode(part, a, z, off[doc], off[doc + 1])) >= net.threshold
+            yes = net.judge(part, a, z, off[doc], off[doc + 1]) >= net.threshold
             for d, x, y in zip(doc[yes].tolist(), a[yes].tolist(), z[yes].tolist(), strict=True):
                 start = len(whole[off[d] : x].decode())
                 span = (start, len(BASE), start + y - x)
