@@ -10,6 +10,8 @@ and runs are rows: one grouped call for each, seeded by the run.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ INTERIOR = {2: 0.5, 3: 1.6, 4: 1.1, 5: 2.0, 6: 2.0}
 ASYMMETRY, WEAK_END, MULTI_CLOSE, MULTI_BRANCH, LOOP_MOST = 0.6, 0.5, 3.4, 0.4, 30
 _LOG = 1.08  # kcal/mol for each e-fold of loop length beyond the tables
 
+_FEW = 8  # so many draws are parted one by one
+
 
 def _long(table: dict[int, float], n: int) -> float:
     most = max(table)
@@ -177,6 +181,72 @@ class Fold:
                     todo.append(("many", i, k - 1))
         return "".join(out)
 
+    def _options(self, task: tuple) -> tuple[np.ndarray, list[float], list[tuple]]:
+        """Shares, their running sums and what each choice leaves to do, for a part of the traceback."""
+        kind, *at = task
+        if kind == "outer":
+            j = at[0]
+            got = [(w, (("outer", j - 1),) if o[0] == "skip" else (("outer", o[1]), ("pair", o[1], j - 1))) for w, o in self._outside(j)]
+        elif kind == "pair":
+            i, j = at
+            todo = {"hairpin": lambda o: (), "loop": lambda o: (("pair", *o[1:]),), "multi": lambda o: (("many", i + 1, o[1] - 1), ("one", o[1], j - 1))}
+            got = [(w, todo[o[0]](o)) for w, o in self._inside(i, j)]
+        elif kind == "one":
+            i, j = at
+            got = [(self.pair[i, m] - (MULTI_BRANCH + _weak(self.seq, i, m)) / self.rt, (("pair", i, m),)) for m in range(i + self.gap + 1, j + 1) if (i, m) in self.can]
+        else:
+            i, j = at
+            got = [(self.one[k, j], (("one", k, j),)) for k in range(i, j)]
+            got += [(self.many[i, k - 1] + self.one[k, j], (("one", k, j), ("many", i, k - 1))) for k in range(i + 1, j)]
+        got = [x for x in got if x[0] > -math.inf]
+        w = np.array([x for x, _ in got])
+        share = np.exp(w - w.max())
+        share /= share.sum()
+        return share, np.cumsum(share).tolist(), [x for _, x in got]
+
+    def draws(self, count: int, rng) -> dict[str, int]:
+        """How often each structure comes in so many independent draws: draws that agree so far are one, and part by a multinomial."""
+        known: dict[tuple, tuple] = {}
+        out: dict[str, int] = {}
+        stack = [(count, (("outer", self.n), None), None)]  # draws, what is left to do, pairs so far
+        while stack:
+            n, todo, pairs = stack.pop()
+            while todo is not None:
+                task, rest = todo
+                if task[0] == "outer" and task[1] <= 0:
+                    todo = rest
+                    continue
+                if task[0] == "pair":
+                    pairs = (task, pairs)
+                got = known.get(task)
+                if got is None:
+                    got = known[task] = self._options(task)
+                share, sums, choices = got
+                if len(choices) == 1:
+                    times = [(0, n)]
+                elif n <= _FEW:
+                    picks = [min(len(choices) - 1, bisect_right(sums, rng.random_sample())) for _ in range(n)]
+                    times = [(picks[0], 1)] if n == 1 else list(Counter(picks).items())
+                else:
+                    several = rng.multinomial(n, share)
+                    times = [(k, int(several[k])) for k in np.flatnonzero(several).tolist()]
+                for k, m in times[1:]:
+                    more = rest
+                    for x in choices[k]:
+                        more = (x, more)
+                    stack.append((m, more, pairs))
+                k, n = times[0]
+                todo = rest
+                for x in choices[k]:
+                    todo = (x, todo)
+            text = ["."] * self.n
+            while pairs is not None:
+                (_, i, j), pairs = pairs
+                text[i], text[j] = "(", ")"
+            name = "".join(text)
+            out[name] = out.get(name, 0) + n
+        return out
+
 
 def sample_structures(seq: str, p: Params, seed: int) -> Iterator[tuple[str, float]]:
     """Distinct structures with their energies: the best first, then as they are drawn, within the window, up to the cap."""
@@ -190,10 +260,14 @@ def sample_structures(seq: str, p: Params, seed: int) -> Iterator[tuple[str, flo
     yield best, least
     fold = Fold(seq, p.rt, p.min_hairpin)
     batch = min(p.max_structures, 500)
-    for _ in range(batch * (p.max_structures * 10 // batch + 1)):
+    counts = fold.draws(batch * (p.max_structures * 10 // batch + 1), rng)
+    names = list(counts)
+    # places in the sequence of draws are exchangeable: the first of m of them is the least of m uniform times
+    first = np.log1p(-rng.random_sample(len(names))) / np.array([counts[s] for s in names])
+    for k in np.argsort(-first, kind="stable").tolist():
         if len(seen) >= p.max_structures:
             return
-        s = fold.draw(rng)
+        s = names[k]
         if s not in seen:
             e = structure_energy(seq, s)
             if e <= limit:

@@ -310,10 +310,8 @@ def enough_states(spark, sf):
 
 @query(None)
 def boltzmann_sample(spark, sf):
-    """Structures of each region's nations' names as sequences."""
-    s = table(spark, sf, "nation").groupBy(F.col("n_regionkey").cast("long").alias("seq_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: r["n_name"]), "").alias("names"))
-    seq = F.concat(normalize_sequence(F.col("names")), F.lit("GGGCGAAAGCCC"))
-    return sample(s.select("seq_id", seq.alias("seq")), Params(num_runs=2, max_structures=200))
+    """Structures of every part's sequence, with the parameters of an analysis."""
+    return sample(part_sequences(spark, sf), Params())
 
 
 # --- neighbours ---------------------------------------------------------------------

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldscape import queries
 from foldscape.functions import half_even, triangle_label
 from foldscape.operators import basins, components, kinetics, neighbors, nulls, pairs, stats, structures, triplets
-from foldscape.operators.sampler import Fold, sample_structures, structure_energy
+from foldscape.operators.sampler import Fold, sample, sample_structures, structure_energy
 from foldscape.operators.spectral import Sparse, basin_distances, noise_modes, rate_matrix, score_triplets, slow_modes
 from foldscape.params import Params
 from foldscape.plans import analysis
@@ -269,6 +270,34 @@ def test_sampler():
     assert math.isclose(Fold(short, RT).outer[len(short)], z, rel_tol=1e-9)
 
 
+def test_draws_made_together():
+    """Counts of draws made together are those of the Boltzmann distribution."""
+    seq, n = "GGGAAACCCAGGCAAAGCCA", 200_000
+    fold = Fold(seq, RT)
+    counts = fold.draws(n, np.random.RandomState(3))
+    assert sum(counts.values()) == n and counts == fold.draws(n, np.random.RandomState(3))
+    for s, k in counts.items():
+        share = math.exp(-structure_energy(seq, s) / RT - fold.outer[len(seq)])
+        assert abs(k - n * share) <= 6 * math.sqrt(n * share) + 6
+    assert len(counts) > 50
+    for most in (1, 7, 40):
+        assert 1 <= len(list(sample_structures(seq, Params(max_structures=most), 1))) <= most
+
+
+def test_sampling_of_every_part(spark, sf, monkeypatch):
+    """The query hands each part's sequence to the sampler, with the parameters of an analysis; some of them are sampled here."""
+    asked = []
+    monkeypatch.setattr(queries, "sample", lambda s, p: asked.append((s, p)) or sample(s.where("seq_id <= 8"), p))
+    got = queries.boltzmann_sample(spark, sf).groupBy("seq_id", "run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("structure").alias("different"), F.max(F.length("structure")).alias("length")).collect()
+    [(sequences, p)] = asked
+    lengths = {r.seq_id: len(r.seq) for r in queries.part_sequences(spark, sf).collect()}
+    assert {r.seq_id: len(r.seq) for r in sequences.collect()} == lengths and len(lengths) > 100
+    assert p == Params()
+    assert {(r.seq_id, r.run_id) for r in got} == {(k, run) for k in lengths if k <= 8 for run in range(p.num_runs)}
+    assert all(r.n == r.different <= p.max_structures and r.length == lengths[r.seq_id] for r in got)
+    assert max(r.n for r in got) > 200
+
+
 def test_degenerate_inputs(spark):
     n = nodes_of(spark, [0, 1, 2]).withColumn("batch", F.lit(0))
     e = edges_of(spark, [(0, 1)]).withColumn("batch", F.lit(0))
