@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 from urllib.parse import urlsplit
 
@@ -47,7 +47,7 @@ def filesystem(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def write_bytes(uri: str, parts: list) -> None:
+def write_bytes(uri: str, parts: Iterable[bytes]) -> None:
     """Writes a file whole: under another name first, so that a lost task leaves no half of it."""
     where, path = filesystem(uri)
     temp = f"{path}.{uuid.uuid4().hex}.tmp"

@@ -13,8 +13,9 @@ i, kept in a monotone queue; a window whose length is a power of two has no padd
 and is a direct transition from the cut that far back, where there is one.
 
 Each partition packs its own documents in the order in which it reads them, in runs of
-about RUN_TOKENS: no shuffle, memory in proportion to one run or one document, and a
-task that is run again gives the same rows.
+about RUN_TOKENS; the last window of a run is left open and goes on in the next, so that
+only a partition's end closes one early.  No shuffle, memory in proportion to one run,
+one batch or one document, and a task that is run again gives the same rows.
 
 Defined results: a null or empty text has the end id alone; repeated documents are
 packed as often as they occur; a null id stays null; an empty table gives no rows.
@@ -121,43 +122,49 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, closes = encoder(tokenizer), sentence_table(tokenizer)
         sequence = TaskContext.get().partitionId() << 32  # type: ignore[union-attr]
-        ids: list = []
-        line: list[np.ndarray] = []
+        # of the documents that are not packed yet: id (and whether it is null), tokens packed before, all tokens, those left
+        keys, nulls, done, total, line = [], [], [], [], []
         held = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal sequence, held
             tokens = np.concatenate(line)
-            sizes = np.array([len(x) for x in line])
+            sizes, before, whole = np.array([len(x) for x in line]), np.array(done), np.array(total)
             ends = np.cumsum(sizes)
             begins = ends - sizes
             pos, pen = candidates(tokens, ends, closes, window)
             cuts = pos[choose_cuts(pos, pen, window)]
-            edges = np.unique(np.concatenate([cuts, begins, ends]))
+            if not last:
+                cuts = cuts[:-1]
+            stop = int(cuts[-1])
+            edges = np.unique(np.concatenate([cuts, begins[begins < stop], ends[ends < stop]]))
             a, z = edges[:-1], edges[1:]
             doc = np.searchsorted(ends, a, side="right")
             seq = np.searchsorted(cuts, a, side="right") - 1
             raw = tokens.astype("<u4")
-            crc = [zlib.crc32(raw[x:y].tobytes()) for x, y in zip(a, z, strict=True)]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(ids, type=pa.int64()).take(pa.array(doc)), pa.array(a - begins[doc]), pa.array(z - a), pa.array(crc, type=pa.int64()), pa.array(sizes[doc]), pa.array(seq + sequence), pa.array(a - cuts[seq])],
-                names,
-            )
+            crc = [zlib.crc32(raw[x:y]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
+            ids = pa.array(np.array(keys, dtype=np.int64)[doc], mask=np.array(nulls)[doc])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(a - begins[doc] + before[doc]), pa.array(z - a), pa.array(crc, type=pa.int64()), pa.array(whole[doc]), pa.array(seq + sequence), pa.array(a - cuts[seq])], names)
             sequence += len(cuts) - 1
-            ids.clear(), line.clear()
-            held = 0
-            return out
+            first = int(np.searchsorted(ends, stop, side="right"))  # what the open window holds goes on
+            for x in (keys, nulls, done, total, line):
+                del x[:first]
+            if line:
+                into = stop - int(begins[first])
+                done[0] += into
+                line[0] = line[0][into:]
+            held = len(tokens) - stop
 
         for b in batches:
-            for i in range(0, b.num_rows, 100):
-                part = b.slice(i, 100)
-                for key, x in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
-                    ids.append(key)
-                    line.append(np.append(x, np.uint32(END_ID)))
-                    held += len(x) + 1
-                    if held >= RUN_TOKENS:
-                        yield flush()
+            ids, off = enc.column(b.column("text"), end=True)
+            at = off.tolist()
+            for key, a, z in zip(b.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
+                keys.append(key or 0), nulls.append(key is None), done.append(0), total.append(z - a), line.append(ids[a:z])
+                held += z - a
+                if held >= max(RUN_TOKENS, 4 * window):
+                    yield from flush(False)
         if line:
-            yield flush()
+            yield from flush(True)
 
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)

@@ -4,7 +4,7 @@ A shard is three files beside one another: ``NNNNN.bin`` with the ids of its
 documents laid end to end (unsigned 16-bit where the vocabulary allows, else 32-bit,
 little-endian), ``NNNNN.off`` with n+1 signed 64-bit offsets in ids, and ``NNNNN.ids``
 with the n document ids.  Documents stand in ascending id order over all shards.
-``manifest.json`` lists the shards with their bases: prefix sums of their documents
+``manifest.json`` lists the shards with their null ids (which come first) and bases: prefix sums of their documents
 and ids, so that any document's place in the whole is base + offset.
 
 Defined results: a null or empty text is one end id; repeated ids are kept, in the
@@ -14,6 +14,7 @@ without shards.  Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import filesystem, id_text, map_array, shared_folder, ship, write_bytes
 from .encode import END_ID, encoder
 
-_NULL_ID = -(1 << 63)
+#: Documents that are encoded at once.
+ROWS = 2000
 
 
 @dataclass
 class TokenFiles:
-    """The shards of a folder. Each: name, documents, ids, first document and first id in the whole."""
+    """The shards of a folder. Each: name, documents, null document ids, ids, first document and first id in the whole."""
 
     folder: str
     dtype: str
@@ -73,21 +75,28 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
-        blobs, lengths, ids = [], [], []
-        for b in batches:
-            texts, keys = b.column("text"), b.column("doc_id").fill_null(_NULL_ID)
-            ids.append(keys.to_numpy().astype("<i8"))
-            for i in range(0, len(texts), 100):
-                for x in enc.encode(texts.slice(i, 100).to_pylist()):
-                    blobs += [x.astype(kind).tobytes(), END_ID.to_bytes(int(kind[-1]), "little")]
-                    lengths.append(len(x) + 1)
-        if lengths:
-            name = f"{TaskContext.get().partitionId():05d}"  # type: ignore[union-attr]
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
-            write_bytes(f"{folder}/{name}.bin", blobs)
+        name = f"{TaskContext.get().partitionId():05d}"  # type: ignore[union-attr]
+        lengths, ids, nulls = [], [], 0
+
+        def data(first: pa.RecordBatch) -> Iterator[bytes]:
+            nonlocal nulls
+            for b in itertools.chain([first], batches):
+                for i in range(0, b.num_rows, ROWS):
+                    part = b.slice(i, ROWS)
+                    x, off = enc.column(part.column("text"), end=True)
+                    nulls += part.column("doc_id").null_count
+                    ids.append(part.column("doc_id").fill_null(0).to_numpy().astype("<i8"))
+                    lengths.append(np.diff(off))
+                    yield x.astype(kind).tobytes()
+
+        first = next((b for b in batches if b.num_rows), None)
+        if first is not None:
+            write_bytes(f"{folder}/{name}.bin", data(first))
+            sizes = np.concatenate(lengths)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
             write_bytes(f"{folder}/{name}.off", [offsets.tobytes()])
             write_bytes(f"{folder}/{name}.ids", [x.tobytes() for x in ids])
-            yield pa.RecordBatch.from_pydict({"name": [name], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])], "dtype": [kind]})
+            yield pa.RecordBatch.from_pydict({"name": [name], "n_docs": [len(sizes)], "n_null": [nulls], "n_tokens": [int(offsets[-1])], "dtype": [kind]})
 
     rows = (
         id_text(docs, id_col, text_col)
@@ -95,12 +104,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         .repartitionByRange("doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
-        .mapInArrow(write, "name string, n_docs long, n_tokens long, dtype string")
+        .mapInArrow(write, "name string, n_docs long, n_null long, n_tokens long, dtype string")
         .collect()
     )
     shards, base, doc_base = [], 0, 0
     for r in sorted(rows, key=lambda r: int(r.name)):
-        shards.append({"name": r.name, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "base": base, "doc_base": doc_base})
+        shards.append({"name": r.name, "n_docs": r.n_docs, "n_null": r.n_null, "n_tokens": r.n_tokens, "base": base, "doc_base": doc_base})
         base, doc_base = base + r.n_tokens, doc_base + r.n_docs
     out = TokenFiles(folder, rows[0].dtype if rows else "<u4", shards)
     out.save()
@@ -120,10 +129,10 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
                 data, offsets, ids = files.shard(k)
                 for i in range(0, len(ids), 5000):
                     off = offsets[i : i + 5001]
-                    crc = [zlib.crc32(data[a:z].astype("<u4").tobytes()) for a, z in zip(off[:-1], off[1:], strict=True)]
+                    crc = [zlib.crc32(data[a:z].astype("<u4")) for a, z in zip(off[:-1], off[1:], strict=True)]
                     key = ids[i : i + 5000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key, mask=key == _NULL_ID), pa.array(off[:-1] + files.shards[k]["base"]), pa.array(np.diff(off)), pa.array(crc, type=pa.int64())],
+                        [pa.array(key, mask=np.arange(i, i + len(key)) < files.shards[k]["n_null"]), pa.array(off[:-1] + files.shards[k]["base"]), pa.array(np.diff(off)), pa.array(crc, type=pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 

@@ -5,7 +5,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foldscape.llm import encode, packing, token_files, words
 
@@ -19,19 +21,35 @@ def tok():
     return encode.tokenizer_path()
 
 
-def true_ids(tok, text):
-    return encode.encoder(tok).tok.encode(text or "", add_special_tokens=False).ids + [0]
+@pytest.fixture(scope="module")
+def library(tok):
+    """The library as it is, with none of this package's settings."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tok)
+
 
+def true_ids(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids + [0]
 
-def test_encoder_is_the_library(tok, monkeypatch):
+
+def test_encoder_is_the_library(tok, library, monkeypatch):
     e = encode.Encoder(tok)
     rng = random.Random(4)
-    alphabet = [chr(i) for i in range(256)] + list(" ") * 60 + list("ab1'") * 10 + ["日", "ſ"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ODD[:-1]
-    monkeypatch.setattr(encode, "CACHE_PIECES", 500)  # the table is emptied again and again
+    alphabet = [chr(i) for i in range(256)] + list(" ") * 60 + list("\n\t") * 8 + list("ab1'") * 10 + ["日", "ſ", "\u2003", "\u200b", "\u3000", "<|endoftext|>", "'ll"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(6000)] + ODD[:-1]
+    monkeypatch.setattr(encode, "CACHE_UNITS", 500)  # the table is emptied again and again
+    monkeypatch.setattr(encode, "CHUNK_BYTES", 700)
     for i in range(0, len(texts), 50):
-        for t, got in zip(texts[i : i + 50], e.encode(texts[i : i + 50]), strict=True):
-            assert e.tok.encode(t, add_special_tokens=False).ids == got.tolist()
+        part = texts[i : i + 50]
+        for t, got in zip(part, e.encode(part), strict=True):
+            assert library.encode(t, add_special_tokens=False).ids == got.tolist()
+        ids, off = e.column(pa.array([None, *part]).slice(1), end=True)
+        assert [ids[a:z].tolist() for a, z in zip(off[:-1], off[1:], strict=True)] == [true_ids(library, t) for t in part]
+    monkeypatch.setattr(encode, "CACHE_CHARS", 1000)
+    long = ["日本語" * 4000, "x" * 50_000, "a b " * 20_000, " \n" * 9000]
+    for t in long * 2:
+        assert library.encode(t, add_special_tokens=False).ids == e.encode([t])[0].tolist()
 
 
 def test_words_are_the_pattern():
@@ -52,18 +70,18 @@ def test_words_are_the_pattern():
         assert first[k + 1] - first[k] == (max(n - 2, 1) if n else 0)
 
 
-def test_token_files(spark, tok):
+def test_token_files(spark, tok, library):
     rng = random.Random(2)
-    rows = [(k, rng.choice(ODD[:-1]) * rng.randint(1, 5)) for k in rng.sample(range(10_000), 300)] + [(5, None), (5, "b"), (5, "b"), (None, "none")]
+    rows = [(k, rng.choice(ODD[:-1]) * rng.randint(1, 5)) for k in rng.sample(range(10_000), 300)] + [(5, None), (5, "b"), (5, "b"), (None, "none"), (-(1 << 63), "least")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     files = token_files.write_token_files(docs, tok)
     got = token_files.read_token_files(spark, files).collect()
     assert len(got) == len(rows)
     got.sort(key=lambda r: r.start)
-    keys = [-1 if r.doc_id is None else r.doc_id for r in got]
-    assert keys == sorted(keys)
+    keys = [-(1 << 64) if r.doc_id is None else r.doc_id for r in got]
+    assert keys == sorted(keys) and keys[1] == -(1 << 63)
     at = 0
-    left = [(a, tuple(true_ids(tok, t))) for a, t in rows]
+    left = [(a, tuple(true_ids(library, t))) for a, t in rows]
     again = token_files.TokenFiles.open(files.folder)
     for r in got:
         ids = tuple(again.tokens(r.start, r.n_tokens).tolist())
@@ -98,9 +116,10 @@ def test_cuts_are_cheapest():
         assert cuts[0] == 0 and cuts[-1] == len(pos) - 1 and np.isclose(cost(cuts), best[-1])
 
 
-@pytest.mark.parametrize("window", [64, 1024])
-def test_pack(spark, tok, window, monkeypatch):
+@pytest.mark.parametrize(("window", "run"), [(64, 1 << 17), (1024, 1 << 17), (64, 300)])
+def test_pack(spark, tok, library, window, run, monkeypatch):
     rng = random.Random(3)
+    monkeypatch.setattr(packing, "RUN_TOKENS", run)
     rows = [(k, " ".join(rng.choice(["one two.", "three", "four!\n", "fünf"]) for _ in range(rng.choice([0, 3, 40, 900])))) for k in range(60)] + [(7, None), (7, "x"), (7, "x"), (None, "y"), (99, "nosentence" * 2000)]
     docs = spark.createDataFrame([(*r, "a", 1) for r in rows], SCHEMA + ", sequence_id string, `offset` int").repartition(3)
     got = packing.pack(docs, tok, window).collect()
@@ -115,13 +134,13 @@ def test_pack(spark, tok, window, monkeypatch):
         assert at <= window
     left = {}
     for key, t in rows:
-        ids = true_ids(tok, t)
+        ids = true_ids(library, t)
         left.setdefault(key, []).extend(zlib.crc32(np.array([len(ids)], "<u4").tobytes()) for _ in ids)
     for r in got:
         for _ in range(r.length):
             left[r.doc_id].remove(zlib.crc32(np.array([r.doc_tokens], "<u4").tobytes()))
     assert not any(left.values())
-    whole = {k: true_ids(tok, t) for k, t in rows if k not in (7, None)}
+    whole = {k: true_ids(library, t) for k, t in rows if k not in (7, None)}
     for r in got:
         if r.doc_id in whole:
             assert zlib.crc32(np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
@@ -129,3 +148,16 @@ def test_pack(spark, tok, window, monkeypatch):
     padding = sum(window - n for n in sizes if n & (n - 1))
     assert padding < 0.15 * sum(sizes)
     assert packing.pack(docs.where("false"), tok).count() == 0
+
+
+def test_runs_do_not_close_windows(spark, tok, monkeypatch):
+    """However short the runs, only the end of a partition may leave a window far from full."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["one two.", "three", "four!"]) for _ in range(rng.randint(1, 60)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    padding = {}
+    for run in (1 << 17, 300):
+        monkeypatch.setattr(packing, "RUN_TOKENS", run)
+        sizes = [r.n for r in packing.pack(docs, tok, 64).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+        padding[run] = sum(64 - n for n in sizes if n & (n - 1))
+    assert padding[300] <= 1.2 * padding[1 << 17] + 64
