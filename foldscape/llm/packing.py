@@ -13,8 +13,8 @@ i, kept in a monotone queue; a window whose length is a power of two has no padd
 and is a direct transition from the cut that far back, where there is one.
 
 Each partition packs its own documents in the order in which it reads them, in runs of
-about RUN_TOKENS; the last window of a run is left open and goes on in the next, so that
-only a partition's end closes one early.  No shuffle, memory in proportion to one run,
+about RUN_TOKENS; the last OPEN windows of a run are cut anew with the next, so that only a
+partition's end closes one early.  No shuffle, memory in proportion to one run,
 one batch or one document, and a task that is run again gives the same rows.
 
 Defined results: a null or empty text has the end id alone; repeated documents are
@@ -37,6 +37,8 @@ from .encode import END_ID, encoder
 
 WINDOW = 1024
 RUN_TOKENS = 1 << 17
+#: Windows at the end of a run that are left open.
+OPEN = 4
 TRUNCATION_SENTENCE = 1.0
 TRUNCATION_FORCED = 8.0
 FORCED_STEP = 32
@@ -134,8 +136,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
             begins = ends - sizes
             pos, pen = candidates(tokens, ends, closes, window)
             cuts = pos[choose_cuts(pos, pen, window)]
-            if not last:
-                cuts = cuts[:-1]
+            if not last:  # the cuts near the end would be others if more were known
+                cuts = cuts[: max(2, len(cuts) - OPEN)]
             stop = int(cuts[-1])
             edges = np.unique(np.concatenate([cuts, begins[begins < stop], ends[ends < stop]]))
             a, z = edges[:-1], edges[1:]
@@ -162,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
             for key, a, z in zip(b.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
                 keys.append(key or 0), nulls.append(key is None), done.append(0), total.append(z - a), line.append(ids[a:z])
                 held += z - a
-                if held >= max(RUN_TOKENS, 4 * window):
+                if held >= max(RUN_TOKENS, 4 * OPEN * window):
                     yield from flush(False)
         if line:
             yield from flush(True)

@@ -155,9 +155,9 @@ def test_runs_do_not_close_windows(spark, tok, monkeypatch):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice(["one two.", "three", "four!"]) for _ in range(rng.randint(1, 60)))) for k in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
-    padding = {}
+    cost = {}  # what the cuts are chosen by, but for their penalties
     for run in (1 << 17, 300):
         monkeypatch.setattr(packing, "RUN_TOKENS", run)
         sizes = [r.n for r in packing.pack(docs, tok, 64).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
-        padding[run] = sum(64 - n for n in sizes if n & (n - 1))
-    assert padding[300] <= 1.2 * padding[1 << 17] + 64
+        cost[run] = sum(64 - n for n in sizes if n & (n - 1)) + packing.SEQUENCE_COST * len(sizes)
+    assert cost[300] <= 1.02 * cost[1 << 17], cost  # runs of 16 windows; 3 % and more if each closed one
