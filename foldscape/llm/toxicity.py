@@ -1,18 +1,25 @@
 """Toxicity by two class-conditional Kneser-Ney models of the characters of words.
 
 A word is read with a start and an end mark.  For class c (toxic or ordinary), a symbol x
-after the k - 1 symbols h, with N_c the counts at the highest order ORDER and, below it,
-the numbers of different symbols seen before,
+after the ORDER - 1 symbols h, with N_c the class's counts and kinds_c(h) the different
+symbols that it has after h,
 
-    P_c(x | h) = max(N_c(h x) - D, 0) / N_c(h) + D * followers_c(h) / N_c(h) * P_c(x | shorter h)
+    P_c(x | h) = (max(N_c(h x) - D, 0) + (S + D * kinds_c(h)) * P(x | h)) / (S + N_c(h))
 
-From order SHARED down the counts are those of both classes together, so that both classes
-back off to the same probabilities and a rare expression says little of either.  A gram
-speaks for a class only where its counts in the two differ by SURE standard errors and its
-probabilities by a factor of e to STRONG: a mix of languages that differs a little between
-the classes makes no difference.  A text's feature is the mean over its words of log P_toxic - log P_ordinary; a logistic function of
-it, fitted on labelled rows that the models haven't seen, is the score; in that fit the
-classes' weights are halfway (by ratio) between their shares and equal ones.
+P is one interpolated Kneser-Ney model of both classes together (absolute discount D, below
+the highest order the numbers of different symbols seen before, at last 1/256 for each
+byte): both classes back off to the same counts, so that what is rare in both says little
+of either.  S, the strength of the backoff, counts as so many symbols of either class.
+
+A toxic text is ordinary prose in which a share MIX of the words is toxic, so with the
+product over a word's symbols as P_c(word),
+
+    feature = 1 / (words + PAD) * sum over the words of log((1 - MIX) P_ordinary(word) + MIX P_toxic(word)) - log P_ordinary(word)
+
+the difference of the length-normalised log-likelihoods; PAD words that say nothing are
+added, so that one odd word does not make a short text toxic.  A logistic function of the
+feature, fitted on labelled rows that the models haven't seen, is the score; in that fit
+the classes' weights are halfway (by ratio) between their shares and equal ones.
 
 Fitting takes whole documents, at most MAX_PER_CLASS of each class by the order of a hash
 of their id: a bounded, documented sample, fitted in one task.  Everything else runs over
@@ -35,22 +42,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import add_from_text, chunks, filesystem, flat, shared_folder, ship, write_bytes
-from .words import LOWER, Words, words
+from .words import LOWER, words
 
 MAX_PER_CLASS = 8000
-# ORDER, SURE and STRONG are the best by area under the curve on rows of remainder 4, with models fitted on those of
-# remainders 1 and 2 of crc32(doc_id) modulo 5: rows of remainder 0 had no part in this choice.
-ORDER = 6
-SHARED = 1
+# ORDER, STRENGTH, MIX and PAD have the best recall at a false-positive rate of 0.01 on rows of remainder 4, with models fitted
+# on those of remainders 1 to 3 of crc32(doc_id) modulo 5 (sf0.1): rows of remainder 0 had no part in this choice.
+ORDER = 8
 DISCOUNT = 0.75
-LEAST = 3
-SURE = 4.0
-STRONG = 1.5
+STRENGTH = 10.0
+MIX = 0.01
+PAD = 10
 #: Every so manieth labelled row is kept from the models, to fit the logistic function.
 CALIBRATE = 4
 #: Words whose value a worker remembers.
 REMEMBERED = 1 << 19
 _START, _END = 1, 2
+_BYTE = np.uint64(8)
 
 
 def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,98 +93,60 @@ def _look(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray, other: float
     return np.where(keys[k] == asked, values[k], other)
 
 
+def pooled(counted: tuple[np.ndarray, np.ndarray], order: int, discount: float = DISCOUNT) -> np.ndarray:
+    """The interpolated Kneser-Ney probability of each counted gram's last symbol after those ahead of it."""
+    ends = lambda g, k: g & np.uint64((1 << (8 * k)) - 1)
+    levels = [counted]
+    for k in range(order - 1, 0, -1):
+        shorter = ends(levels[-1][0], k)
+        levels.append(_sum(shorter, np.ones(len(shorter))))
+    value = np.zeros(0)
+    for k, (g, n) in enumerate(reversed(levels), start=1):
+        _, at = np.unique(g >> _BYTE, return_inverse=True)
+        size, kinds = np.bincount(at, n), np.bincount(at)
+        lower = value[np.searchsorted(levels[order - k + 1][0], ends(g, k - 1))] if k > 1 else np.full(len(g), 1 / 256)
+        value = (np.maximum(n - discount, 0) + discount * kinds[at] * lower) / size[at]
+    return value
+
+
 class Model:
-    """log P_toxic - log P_ordinary by a table of grams for each order, 0 where neither class has the gram for itself."""
+    """log P_toxic - log P_ordinary of every gram: a value for those that a class has, one for each context of the others, else 0."""
 
-    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, least: int = LEAST, sure: float = SURE, strong: float = STRONG):
+    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER, discount: float = DISCOUNT, strength: float = STRENGTH, mix: float = MIX):
         """counted: (gram of `order` symbols, count) of the ordinary and the toxic class."""
-        self.order, self.shared = order, shared
-        eight = np.uint64(8)
-        counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(2)]  # by class, from the highest order down
-        for c, (g, n) in enumerate(counted):
-            table = _sum(g, n)
-            counts[c].append(table)
-            for k in range(order - 1, 0, -1):
-                table = _sum(table[0] & np.uint64((1 << (8 * k)) - 1), np.ones(len(table[0])))
-                counts[c].append(table)
-        levels: list[tuple[np.ndarray, np.ndarray]] = []
-        keys = np.union1d(counts[0][order - shared - 1][0], counts[1][order - shared - 1][0])
-        for k in range(shared, 0, -1):
-            levels.append(_sum(keys & np.uint64((1 << (8 * k)) - 1), np.ones(len(keys))))
-            keys = levels[-1][0]
-        # shared probabilities, from order 1 up to `shared`
-        p: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lower = lambda g: np.full(len(g), 1 / 256)
-        for k in range(1, shared + 1):
-            g, n = levels[shared - k]
-            h = _sum(g >> eight, n)
-            f = _sum(g >> eight, np.ones(len(g)))
-            size, follow = _look(h, g >> eight), _look(f, g >> eight)
-            value = np.maximum(n - discount, 0) / size + discount * follow / size * lower(g)
-            p[k] = (g, value)
-
-            def lower(asked, k=k, h=h, f=f, down=lower):
-                context = (asked & np.uint64((1 << (8 * k)) - 1)) >> eight
-                size = _look(h, context)
-                seen = _look(p[k], asked & np.uint64((1 << (8 * k)) - 1), -1.0)
-                share = np.where(size > 0, discount * _look(f, context) / np.maximum(size, 1), 1.0)
-                return np.where(seen >= 0, seen, share * down(asked))
-
-        below = [lower, lower]
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(shared + 1, order + 1):
-            values = []
-            union = np.union1d(counts[0][order - k][0], counts[1][order - k][0])
-            contexts = np.unique(union >> eight)
-            each = [_look(counts[c][order - k], union) for c in (0, 1)]
-            often = each[0] + each[1] >= least
-            kept, each = union[often], [n[often] for n in each]
-            next_below = []
-            for c in (0, 1):
-                g, n = counts[c][order - k]
-                h, f = _sum(g >> eight, n), _sum(g >> eight, np.ones(len(g)))
-                size = _look(h, contexts)
-                share = (contexts, np.where(size >= least, discount * _look(f, contexts) / np.maximum(size, 1), 1.0))
-                size_of = _look(h, kept >> eight)
-                value = np.where(size_of >= least, np.maximum(each[c] - discount, 0) / np.maximum(size_of, 1), 0.0) + _look(share, kept >> eight, 1.0) * below[c](kept)
-                values.append(np.log(value))
-
-                def at_order(asked, k=k, table=(kept, value), share=share, down=below[c]):
-                    cut = asked & np.uint64((1 << (8 * k)) - 1)
-                    seen = _look(table, cut, -1.0)
-                    return np.where(seen >= 0, seen, _look(share, cut >> eight, 1.0) * down(asked))
-
-                next_below.append(at_order)
-            below = next_below
-            total = [max(1.0, float(counts[c][order - k][1].sum())) for c in (0, 1)]
-            pooled = (each[0] + each[1]) / (total[0] + total[1])
-            error = np.sqrt(pooled * np.maximum(1 - pooled, 1e-12) * (1 / total[0] + 1 / total[1]))
-            ratio = values[1] - values[0]
-            speaks = (np.abs(each[1] / total[1] - each[0] / total[0]) >= sure * error) & (np.abs(ratio) >= strong)
-            self.tables.append((kept, np.where(speaks, ratio, 0.0)))
+        self.order, self.mix = order, mix
+        g, n = _sum(*(np.concatenate(x) for x in zip(*counted, strict=True)))
+        shared = pooled((g, n), order, discount)
+        contexts, at = np.unique(g >> _BYTE, return_inverse=True)
+        value, backoff = [], []
+        for table in counted:
+            own = _look(_sum(*table), g)
+            size, kinds = np.bincount(at, own), np.bincount(at, own > 0)
+            share = (strength + discount * kinds) / (strength + size)
+            value.append(np.log(np.maximum(own - discount, 0) / (strength + size[at]) + share[at] * shared))
+            backoff.append(np.log(share))
+        self.grams = g, (value[1] - value[0]).astype(np.float32)
+        self.contexts = contexts, (backoff[1] - backoff[0]).astype(np.float32)
 
     def of_grams(self, asked: np.ndarray) -> np.ndarray:
-        """The log ratio of each gram of the highest order: that of its longest end that is in a table."""
-        out = np.zeros(len(asked))
-        left = np.arange(len(asked))
-        for k in range(self.order, self.shared, -1):
-            keys, values = self.tables[k - self.shared - 1]
-            if not len(left) or not len(keys):
-                continue
-            cut = asked[left] & np.uint64((1 << (8 * k)) - 1)
-            j = np.minimum(np.searchsorted(keys, cut), len(keys) - 1)
-            seen = keys[j] == cut
-            out[left[seen]] = values[j[seen]]
-            left = left[~seen]
+        """The log ratio of each gram of the highest order. Of one that no class has, the shared probability cancels out."""
+        keys, values = self.grams
+        if not len(keys):
+            return np.zeros(len(asked))
+        k = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        seen = keys[k] == asked
+        out = values[k].astype(float)
+        out[~seen] = _look(self.contexts, asked[~seen] >> _BYTE)
         return out
 
     def of_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The log ratio of each word, by its distinct grams."""
+        """What each word adds to the feature's sum, by its distinct grams."""
         if not len(starts):
             return np.zeros(0)
         g, first = grams(data, starts, ends, self.order)
         distinct, inverse = np.unique(g, return_inverse=True)
-        return np.add.reduceat(self.of_grams(distinct)[inverse], first[:-1])
+        ratio = np.add.reduceat(self.of_grams(distinct)[inverse], first[:-1])
+        return np.logaddexp(np.log1p(-self.mix), np.log(self.mix) + ratio)
 
 
 def count_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -197,16 +166,10 @@ def count_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.nd
     return _sum(np.concatenate(keys), np.concatenate(n))
 
 
-def mean_ratio(model: Model, data: np.ndarray, w: Words) -> np.ndarray:
-    """The feature of each text: the mean log ratio of its words, 0 without words."""
-    sums = np.concatenate([[0.0], np.cumsum(model.of_words(data, w.starts, w.ends))])
-    return (sums[w.first[1:]] - sums[w.first[:-1]]) / np.maximum(np.diff(w.first), 1)
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a weighted logistic regression, by Newton's method with a light penalty."""
-    theta = np.zeros(2)
-    z = np.stack([x, np.ones(len(x))], axis=1)
+    theta, unit = np.zeros(2), float(x.std()) or 1.0
+    z = np.stack([x / unit, np.ones(len(x))], axis=1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
         gradient = z.T @ (weight * (y - p)) - 1e-3 * theta
@@ -215,7 +178,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
         theta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(theta[0]), float(theta[1])
+    return float(theta[0]) / unit, float(theta[1])
 
 
 class Scorer:
@@ -245,7 +208,7 @@ class Scorer:
             place = np.searchsorted(keys, hashes[~seen])
             self.known = (np.insert(keys, place, hashes[~seen]), np.insert(values, place, value[~seen]))
             sums = np.concatenate([[0.0], np.cumsum(value[inverse])])
-            out[i:j] = (sums[w.first[1:]] - sums[w.first[:-1]]) / np.maximum(np.diff(w.first), 1)
+            out[i:j] = (sums[w.first[1:]] - sums[w.first[:-1]]) / (np.diff(w.first) + PAD)
         return out
 
     def __call__(self, column: pa.Array) -> np.ndarray:
