@@ -4,20 +4,24 @@ A window is WINDOW consecutive words of a benchmark item; an item of fewer words
 not none, is one window.  A task cuts its texts into shards.  The index of a shard has
 the benchmark's vocabulary as its alphabet: words outside it can be in no window, and
 end a string, and strings shorter than the shortest window are left out.  All windows
-are searched backward at once, their occurrences located, and the spans that they cover
-merged for each text.  Words are compared by 64-bit hashes.
+whose words the shard has are searched backward at once, their occurrences located, and
+the spans that they cover merged for each text.  Words are looked up by 64-bit hashes and
+compared themselves, so that strangers of one hash are no hit.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text, each written to the
+The benchmark is read in blocks of about BLOCK_BYTES of text, each written to the
 shared folder; the texts pass through one step for each block, which adds its spans.
+What is found is the same however it is parted.
 
 Defined results: a null or empty text has no words, is not hit and not contaminated;
-items without words have no window; repeated items count once; repeated documents are
+items without words have no window; the windows of an item with a null id are searched
+and hit like others, but there is no id to list; repeated items count once; repeated documents are
 each judged; empty tables give no rows, or no hits.  Other columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -27,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import add_from_text, chunks, filesystem, flat, shared_folder, write_bytes
-from .fm_index import FMIndex
-from .words import Vocabulary, hash_word, word_list, words
+from .fm_index import FMIndex, Patterns
+from .words import Vocabulary, word_list, words
 
 WINDOW = 13
 #: Words in the index of a shard, and bytes of text read for it, about.
@@ -43,19 +47,19 @@ SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, items array<st
 class Windows:
     """The windows of some benchmark items, as ids in their vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW):
         found: dict[tuple[bytes, ...], set[str]] = {}
         for key, text in items:
             w = tuple(word_list(text))
             for i in range(max(1, len(w) - size + 1) if w else 0):
-                found.setdefault(w[i : i + size], set()).add(key)
-        number = {x: hash_word(x) for w in found for x in w}
-        self.vocabulary = Vocabulary(np.array(list(number.values()), dtype=np.uint64))
-        ids = dict(zip(number, self.vocabulary.ids(np.array(list(number.values()), dtype=np.uint64)).tolist(), strict=True))
-        self.patterns = [np.array([ids[x] for x in w], dtype=np.int64) for w in found]
+                keys = found.setdefault(w[i : i + size], set())
+                if key is not None:
+                    keys.add(key)
+        self.vocabulary = Vocabulary(x for w in found for x in w)
+        number = self.vocabulary.number
+        self.patterns = Patterns([np.array([number[x] for x in w], dtype=np.int64) for w in found])
         self.items = [sorted(k) for k in found.values()]
-        self.lengths = np.array([len(p) for p in self.patterns], dtype=np.int64)
-        self.shortest = int(self.lengths.min(initial=1 << 30))
+        self.shortest = int(self.patterns.lengths.min(initial=1 << 30))
 
 
 class Shard:
@@ -73,10 +77,11 @@ class Shard:
         data, offsets = flat(column)
         for i, j in chunks(offsets):
             off = offsets[i : j + 1] - offsets[i]
-            w = words(data[offsets[i] : offsets[j]], off)
+            part = data[offsets[i] : offsets[j]]
+            w = words(part, off)
             counts = np.diff(w.first)
             self.n_words.append(counts)
-            ids = self.windows.vocabulary.ids(w.hashes)
+            ids = self.windows.vocabulary.ids(w, part)
             doc = np.repeat(np.arange(j - i), counts)
             known = np.flatnonzero(ids)
             if len(known):
@@ -110,7 +115,7 @@ class Shard:
                 place = index.locate(np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(len(window)))
                 edge = np.zeros(len(text) + 1, dtype=np.int64)
                 np.add.at(edge, place, 1)
-                np.add.at(edge, place + self.windows.lengths[window], -1)
+                np.add.at(edge, place + self.windows.patterns.lengths[window], -1)
                 hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
                 for a, z in zip(np.flatnonzero(hit[1:] & ~hit[:-1]).tolist(), np.flatnonzero(hit[:-1] & ~hit[1:]).tolist(), strict=True):
                     spans[doc[a]].append({"start": int(at[a]), "end": int(at[a]) + z - a})
@@ -158,12 +163,12 @@ def _search(uri: str):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, str]]]:
-    rows = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t")).where("k is not null and t is not null")
+def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, str]]]:
+    rows = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     block, held = [], 0
     for r in rows.toLocalIterator():
         block.append((r.k, r.t))
-        held += len(r.t)
+        held += len(r.t.encode())
         if held >= BLOCK_BYTES:
             yield block
             block, held = [], 0
@@ -175,19 +180,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, tex
     """Adds n_words, spans (of hit words, merged), items, n_hit, n_items, items_sha256 and contaminated to each document."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "windows")
+    old = {n: next(x for x in (n + "_" * i for i in range(1, len(docs.columns) + 2)) if x not in docs.columns) for n in ("spans", "items")}
     out, k = docs, 0
-    for block in _blocks_of(benchmark, item_col, item_text_col, size):
+    for block in itertools.chain(_blocks_of(benchmark, item_col, item_text_col), [None]):
+        if block is None and k:
+            break
         uri = f"{folder}/{k:05d}.pickle"
-        write_bytes(uri, [pickle.dumps((block, size))])
+        write_bytes(uri, [pickle.dumps((block or [], size))])
         if k:  # keep what the blocks before it have found
-            out = out.withColumnsRenamed({"spans": "_spans", "items": "_items"})
+            out = out.withColumnsRenamed(old)
         out = add_from_text(out, _search(uri), SCHEMA, text_col)
         if k:
-            out = out.withColumn("spans", _merged(F.concat("spans", "_spans"))).withColumn("items", F.array_union("items", "_items")).drop("_spans", "_items")
+            out = out.withColumn("spans", _merged(F.concat("spans", old["spans"]))).withColumn("items", F.array_union("items", old["items"])).drop(*old.values())
         k += 1
-    if not k:
-        write_bytes(f"{folder}/none.pickle", [pickle.dumps(([], size))])
-        out = add_from_text(out, _search(f"{folder}/none.pickle"), SCHEMA, text_col)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join(F.array_sort("items"), ","), 256)}).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * CONTAMINATED >= F.col("n_words"))

@@ -34,6 +34,16 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+class Patterns:
+    """Patterns of symbols 1 and more, back to front in a table that is filled up with 0."""
+
+    def __init__(self, patterns: list[np.ndarray]):
+        self.lengths = np.array([len(p) for p in patterns], dtype=np.int64)
+        self.table = np.zeros((len(patterns), int(self.lengths.max(initial=0))), dtype=np.int64)
+        for i, p in enumerate(patterns):
+            self.table[i, : len(p)] = p[::-1]
+
+
 class FMIndex:
     def __init__(self, text: np.ndarray, sample: int = 16):
         n = len(text)
@@ -65,25 +75,22 @@ class FMIndex:
             row = np.where(one, zeros + b, row - b)
         return row - low
 
-    def search(self, patterns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of many patterns at once: the rows [low, high) of each."""
-        m = len(patterns)
-        low, high = np.zeros(m, dtype=np.int64), np.full(m, self.n, dtype=np.int64)
-        lengths = np.array([len(p) for p in patterns], dtype=np.int64)
-        table = np.zeros((m, int(lengths.max(initial=0))), dtype=np.int64)
-        for i, p in enumerate(patterns):
-            table[i, : len(p)] = p[::-1]
-        for k in range(table.shape[1]):
-            live = np.flatnonzero((k < lengths) & (low < high))
+    def search(self, patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of many patterns at once: the rows [low, high) of each; those with a symbol that the text lacks are passed over."""
+        there = np.append(np.diff(self.before) > 0, False)
+        there[0] = True  # what fills up the shorter ones
+        all_there = np.ones(len(patterns.lengths), dtype=bool)
+        for k in range(patterns.table.shape[1]):
+            live = np.flatnonzero(all_there)
+            all_there[live] = there[np.minimum(patterns.table[live, k], self.sigma)]
+        low, high = np.zeros(len(all_there), dtype=np.int64), np.where(all_there & (patterns.lengths > 0), self.n, 0)
+        for k in range(patterns.table.shape[1]):
+            live = np.flatnonzero((k < patterns.lengths) & (low < high))
             if not len(live):
                 break
-            c = table[live, k]
-            there = c < self.sigma
-            high[live[~there]] = low[live[~there]]
-            live, c = live[there], c[there]
+            c = patterns.table[live, k]
             low[live] = self.before[c] + self.rank(c, low[live])
             high[live] = self.before[c] + self.rank(c, high[live])
-        low[lengths == 0] = high[lengths == 0]
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:

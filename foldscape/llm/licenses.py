@@ -3,8 +3,8 @@
 The automaton holds every template, word by word.  A text is streamed through it: at
 each word the state is that of the longest run of words, ending here, that stands in
 some template (matching statistics).  Maximal runs of at least LONG words are chained
-per template, in order in both texts with gaps of at most GAP words; a template is found
-where a chain covers at least COVERED of its words.  Short phrases are templates that
+per template, in order in both texts with gaps of at most GAP words, by dynamic
+programming; a template is found where the best chain covers at least COVERED of its words.  Short phrases are templates that
 count at each place where all their words stand.
 
 Only pairs of neighbouring words that stand together in a template can be part of a run
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import add_from_text, chunks, flat
-from .words import Vocabulary, hash_word, word_list, words
+from .words import Vocabulary, word_list, words
 
 LONG = 4
 GAP = 12
@@ -55,6 +55,20 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc0", "dedicated this work to the public domain by waiving all of his or her rights"),
+    ("cc-by", "licensed under a Creative Commons Attribution 3.0 Unported License"),
+    ("cc-by", "licensed under a Creative Commons Attribution 2.0 Generic License"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    ("cc-by-sa", "available under the Creative Commons Attribution-ShareAlike License"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("artistic", "you can redistribute it and/or modify it under the same terms as Perl itself"),
+    ("artistic", "under the terms of the Artistic License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
@@ -133,11 +147,8 @@ class Scanner:
         self.labels = [x for x, _ in templates] + list(phrases.values())
         self.n_templates = len(templates)
         lists = [word_list(t) for t in texts]
-        found = sorted({w for x in lists for w in x})
-        hashes = np.array([hash_word(w) for w in found], dtype=np.uint64)
-        self.vocabulary = Vocabulary(hashes)
-        number = dict(zip(found, self.vocabulary.ids(hashes).tolist(), strict=True))
-        ids = [[number[w] for w in x] for x in lists]
+        self.vocabulary = Vocabulary(w for x in lists for w in x)
+        ids = [[self.vocabulary.number[w] for w in x] for x in lists]
         self.sizes = [len(x) for x in ids]
         self.automaton = Automaton.of(ids)
         n = len(self.vocabulary) + 1
@@ -179,18 +190,24 @@ class Scanner:
                             runs.append((start + i + 1 - n, k, end - n, n))
 
     def covered(self, runs: list[tuple[int, int, int, int]]) -> dict[int, float]:
-        """The best share of each template that one chain of runs covers."""
-        best: dict[int, float] = {}
-        open_: dict[int, tuple[int, int, int]] = {}
+        """The best share of each template that one chain of runs covers.
+
+        A run follows another if it goes on behind it in both texts, with gaps of at most GAP words; where it begins
+        ahead of the other's end, only its words behind that count.  Of the runs that one can follow, the best is taken.
+        """
+        best: dict[int, int] = {}
+        open_: dict[int, list[tuple[int, int, int]]] = {}  # of each template: where a chain ends in both texts, its words
         for place, k, at, length in sorted(runs):
-            done, here, words_ = open_.get(k, (0, 0, 0))
-            if words_ and here <= place <= here + GAP and done <= at <= done + GAP:
-                words_ += length
-            else:
-                words_ = length
-            open_[k] = (at + length, place + length, words_)
-            best[k] = max(best.get(k, 0.0), min(1.0, words_ / self.sizes[k]))
-        return best
+            chains = [c for c in open_.get(k, ()) if c[0] >= place - GAP]
+            most = length
+            for end, done, words_ in chains:
+                cut = max(0, end - place, done - at)
+                if cut < length and place + cut - end <= GAP and at + cut - done <= GAP:
+                    most = max(most, words_ + length - cut)
+            chains.append((place + length, at + length, most))
+            open_[k] = chains
+            best[k] = max(best.get(k, 0), most)
+        return {k: min(1.0, n / self.sizes[k]) for k, n in best.items()}
 
 
 _scanners: dict = {}
@@ -211,8 +228,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
             out: list[tuple] = []
             for i, j in chunks(offsets):
                 off = offsets[i : j + 1] - offsets[i]
-                w = words(data[offsets[i] : offsets[j]], off)
-                ids = s.vocabulary.ids(w.hashes)
+                part = data[offsets[i] : offsets[j]]
+                w = words(part, off)
+                ids = s.vocabulary.ids(w, part)
                 counts = np.diff(w.first)
                 doc = np.repeat(np.arange(j - i), counts)
                 together = np.zeros(len(ids), dtype=bool)

@@ -7,6 +7,7 @@ A-Z alone.  Hashes depend on the word's bytes only, on any machine.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,21 +15,9 @@ import numpy as np
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 IS_WORD = ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122)) | (_BYTES >= 128)
-_P = 0x9E3779B97F4A7C15
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_P to the powers below n, and their inverses modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("_powers", _P), ("_inverse", pow(_P, -1, 1 << 64))):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            globals()[name] = np.cumprod(x)
-    return _powers, _inverse
+#: A random 64-bit value for each of the first _PLACES places of a word and each byte.
+_PLACES = 64
+_VALUES = np.random.default_rng(20240503).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,15 +57,22 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
         after &= ~begins[1:]
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    hashes = np.zeros(0, dtype=np.uint64)
-    if hashed:
-        powers, inverse = _tables(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = _hash(low[inside], ends - starts) if hashed else np.zeros(0, dtype=np.uint64)
     return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
+def _hash(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words laid end to end, each of some letters: sums of the values of their places and bytes."""
+    if not len(sizes):
+        return np.zeros(0, dtype=np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters)) - np.repeat(first, sizes)
+    value = _VALUES[((place & (_PLACES - 1)) << 8) | letters]
+    far = np.flatnonzero(place >= _PLACES)
+    value[far] = mix(value[far] + (place[far] // _PLACES).astype(np.uint64))
+    return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64))
+
+
 def hash_word(word: bytes) -> int:
     """The hash that `words` gives this word."""
     w = words(np.frombuffer(word, dtype=np.uint8), np.array([0, len(word)]))
@@ -92,10 +88,17 @@ _TABLE = bytes(int(b) if k else 32 for b, k in zip(LOWER, IS_WORD, strict=True))
 
 
 class Vocabulary:
-    """Ids 1.. of hashes in a fixed set, 0 for others: a bit table first, then binary search."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(np.asarray(hashes, dtype=np.uint64))
+    """Ids 1.. of some words (as `word_list` gives them), 0 for others: a bit table of hashes first, then binary search, then the words' bytes themselves."""
+
+    def __init__(self, known: Iterable[bytes]):
+        names = sorted(set(known))
+        joined = np.frombuffer(b" ".join(names), dtype=np.uint8)
+        distinct = sorted(zip(words(joined, np.array([0, len(joined)])).hashes.tolist(), names, strict=True))
+        self.number = {w: i + 1 for i, (_, w) in enumerate(distinct)}
+        self.hashes = np.array([h for h, _ in distinct], dtype=np.uint64)
+        self.letters = np.frombuffer(b"".join(w for _, w in distinct), dtype=np.uint8)
+        self.ends = np.cumsum([len(w) for _, w in distinct]).astype(np.int64)
+        self.starts = self.ends - np.array([len(w) for _, w in distinct], dtype=np.int64)
         bits = max(12, min(24, int(len(self.hashes) * 16).bit_length()))
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, dtype=bool)
@@ -104,14 +107,34 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), dtype=np.int64)
-        if len(self.hashes):
-            at = np.flatnonzero(self.maybe[hashes >> self.shift])
-            k = np.searchsorted(self.hashes, hashes[at])
-            k[k == len(self.hashes)] = 0
-            same = self.hashes[k] == hashes[at]
+    def ids(self, w: Words, data: np.ndarray) -> np.ndarray:
+        """The id of each word of `words(data, ...)`."""
+        out = np.zeros(len(w.hashes), dtype=np.int64)
+        if not len(self):
+            return out
+        at = np.flatnonzero(self.maybe[w.hashes >> self.shift])
+        k = np.searchsorted(self.hashes, w.hashes[at])
+        while len(at):  # again only where words share a hash
+            ok = k < len(self)
+            at, k = at[ok], k[ok]
+            ok = self.hashes[k] == w.hashes[at]
+            at, k = at[ok], k[ok]
+            same = self._same(data, w.starts[at], w.ends[at], k)
             out[at[same]] = k[same] + 1
+            at, k = at[~same], k[~same] + 1
+        return out
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Whether data[starts:ends], lower-cased, is word k."""
+        size = ends - starts
+        out = size == self.ends[k] - self.starts[k]
+        some = np.flatnonzero(out)
+        size = size[some]
+        if len(some):
+            first = np.cumsum(size) - size
+            step = np.arange(size.sum()) - np.repeat(first, size)
+            equal = LOWER[data[np.repeat(starts[some], size) + step]] == self.letters[np.repeat(self.starts[k[some]], size) + step]
+            out[some] = np.logical_and.reduceat(equal, first)
         return out
 
 

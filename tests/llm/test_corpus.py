@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foldscape.llm import decontaminate, fm_index, ngram_join, simhash
+from foldscape.llm import decontaminate, fm_index, ngram_join, simhash, words
 from foldscape.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string"
@@ -24,10 +25,9 @@ def hits_of(text, items, size=13):
     """(words, hit places, items) by trying every window at every place."""
     windows = {}
     for key, t in items:
-        if key is not None:
-            w = words_of(t)
-            for k in range(max(1, len(w) - size + 1) if w else 0):
-                windows.setdefault(tuple(w[k : k + size]), set()).add(str(key))
+        w = words_of(t)
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + size]), set()).update([] if key is None else [str(key)])
     w, hit, found = words_of(text), set(), set()
     for n in {len(x) for x in windows}:
         for k in range(len(w) - n + 1):
@@ -46,7 +46,7 @@ def test_fm_index():
         assert order.tolist() == sorted(range(len(text)), key=lambda i: keys[i])
         index = fm_index.FMIndex(text, sample=4)
         patterns = [rng.randint(1, 5, rng.randint(1, 5)) for _ in range(30)]
-        low, high = index.search(patterns)
+        low, high = index.search(fm_index.Patterns(patterns))
         for p, a, z in zip(patterns, low, high, strict=True):
             places = [i for i in range(len(text) - len(p) + 1) if (text[i : i + len(p)] == p).all()]
             assert sorted(index.locate(np.arange(a, z)).tolist()) == places
@@ -57,9 +57,9 @@ def test_decontamination(spark, monkeypatch, shard, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rng = random.Random(3)
     v = "a b c d E é".split()
-    items = [(k, " ".join(rng.choice(v) for _ in range(rng.randint(1, 9)))) for k in range(12)] + [(3, "a b"), (3, "a b"), (99, ""), (98, None), (97, "!!")]
+    items = [(k, " ".join(rng.choice(v) for _ in range(rng.randint(1, 9)))) for k in range(12)] + [(3, "a b"), (3, "a b"), (99, ""), (98, None), (97, "!!"), (None, "a B é é"), (None, "a b"), (None, None)]
     texts = [" ".join(rng.choice([*v, "zz", "A.", "B\n"]) for _ in range(rng.randint(0, 40))) for _ in range(120)] + [None, "", "...", "a b c", "a b c"]
-    docs = spark.createDataFrame([(k, t, 5, "x") for k, t in enumerate(texts)], SCHEMA + ", n_words int, items string").repartition(3)
+    docs = spark.createDataFrame([(k, t, 5, "x") for k, t in enumerate(texts)], SCHEMA + ", n_words int, items string").withColumns({c: F.lit("own") for c in ("_spans", "_items", "spans_", "items_", "c0", "n0")}).repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, size=4).collect()}
     assert len(got) == len(texts)
@@ -74,6 +74,28 @@ def test_decontamination(spark, monkeypatch, shard, block):
     assert decontaminate.decontaminate(docs.where("false"), bench).count() == 0
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("letters", [10, 12])
+def test_words_that_are_not_the_same_are_no_hit(monkeypatch, letters):
+    """Words that any polynomial hash modulo 2**64 takes for the same; and all words sharing one hash."""
+    a, b = thue_morse(letters)
+    assert words.hash_word(a.encode()) != words.hash_word(b.encode())
+    for alike in (False, True):
+        if alike:
+            monkeypatch.setattr(words, "_hash", lambda letters, sizes: np.ones(len(sizes), np.uint64))
+        shard = decontaminate.Shard(decontaminate.Windows([("a", a), ("c", "other words"), (None, "null id")]))
+        shard.add(pa.array([a, b, f"{b} {a.upper()} x", "other Words null id", "words other"]))
+        counts, spans, items = shard.result()
+        assert counts.tolist() == [1, 1, 3, 4, 2] and items == [["a"], [], ["a"], ["c"], []]
+        assert [[(s["start"], s["end"]) for s in x] for x in spans] == [[(0, 1)], [], [(1, 2)], [(0, 4)], []]
+
+
 def test_decontamination_of_the_tables(spark, sf):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -115,6 +115,33 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.where("false")).count() == 0
 
 
+def test_chains_are_the_best():
+    """Against all runs followed by all others, on edited templates; and a repeated passage inside a whole one."""
+    rng = random.Random(7)
+    sizes = [30, 18]
+    scanner = licenses.Scanner([(str(k), " ".join(f"w{rng.randint(0, 8)}" for _ in range(n))) for k, n in enumerate(sizes)], {})
+    for _ in range(300):
+        runs = [(rng.randint(0, 60), rng.randint(0, 1), rng.randint(0, 20), rng.randint(4, 9)) for _ in range(rng.randint(0, 14))]
+        ordered = sorted(runs)
+        words_ = [n for *_, n in ordered]
+        for i, (p, k, at, n) in enumerate(ordered):
+            for j in range(i):
+                q, other, before, m = ordered[j]
+                cut = max(0, q + m - p, before + m - at)
+                if other == k and cut < n and p + cut - q - m <= licenses.GAP and at + cut - before - m <= licenses.GAP:
+                    words_[i] = max(words_[i], words_[j] + n - cut)
+        expected = {k: min(1.0, max(w for w, r in zip(words_, ordered, strict=True) if r[1] == k) / scanner.sizes[k]) for k in {r[1] for r in runs}}
+        assert scanner.covered(runs) == expected
+    whole = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    mit = licenses.TEMPLATES[0][1].split()
+    for at in (10, 30, 50):
+        text = " ".join(mit[:at] + mit[at - 6 : at] + mit[at:])
+        ids = [whole.vocabulary.number.get(w, 0) for w in licenses.word_list(text)]
+        runs: list = []
+        whole.scan(ids, 0, [], runs)
+        assert whole.covered(runs)[0] > 0.95
+
+
 def reference_spans(text):
     """The patterns, tried by hand at every place."""
     out = []
