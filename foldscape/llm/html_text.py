@@ -8,11 +8,17 @@ characters and LT tags of links below it, and LCb, Cb for the body,
     density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
 (zeros count as 1), and a node's sum is that of its children's densities.  The node with
-the largest sum is the root of the main text: the enclosing article or main element, if
-there is one, else the article or main element inside it that has the largest sum and a
-tenth of its characters, if there is one, else that node.  The threshold is the smallest density on the path from the
-root to the body; other nodes of that density or more, outside the root, whose sum is at
-least half the root's are main text too.
+the largest sum is the root of the main text; if it stands in an article or main element,
+all of that is, so that no heading is lost; if such elements stand in it, they are, with a
+tenth of its characters and half the largest sum among them.  (Of the pages of sf0.1, all
+give the same text if these elements are renamed.)  The threshold is the smallest density on the
+path from the root to the body; other nodes of that density or more, outside the root,
+whose sum is at least half the root's are main text too.
+
+Inside an article or main element the words in class, id and role count on containers
+(divisions, lists, tables and the like); sections go only by words for comments and
+adverts, and other elements (paragraphs, headings, spans) only where a class is nothing
+but a word for an advert.
 
 Blocks are parted at block elements; character references are decoded, white space in a
 block is one space, blocks are joined in page order by two line feeds.  A <br> is white
@@ -22,10 +28,12 @@ memory in proportion to the page.  Other columns pass through.
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +43,9 @@ from .common import add_from_text
 _TAG = re.compile(
     r"""<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""",
 )
-_HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: The same, whatever quotes there are.
+_BARE = re.compile(r"""<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>()()()|<[!?/][^>]*>""")
+_HINT = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words in class, id and role that mark what is not main text.
@@ -46,14 +56,15 @@ _NOT_MAIN = frozenset(
     "respond rail search share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget".split()
 )
 #: The same within longer words.
-_STEMS = re.compile("comment(?!ar)|sidebar|cookie|advert|newsletter|breadcrumb|navigation|sponsor|disqus|masthead|subscri|mainmenu|topnav|navmenu|adsense|footer")
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas noembed noframes xmp".split())
+_STEMS = re.compile("comment(?!ar)|sidebar|cookie|advert|newsletter|breadcrumb|navigation|sponsor|disqus|masthead|subscrib|subscription|mainmenu|topnav|navmenu|adsense|footer")
+_RAW = frozenset("script style noscript template textarea title iframe object select canvas noembed noframes xmp desc metadata annotation".split())
 _SKIP = frozenset("nav header footer aside form menu dialog button label fieldset head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 _BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main "
     "nav ol p pre section summary table tbody td tfoot th thead tr ul aside footer header form hgroup legend fieldset option".split()
 )
+_HOLDS_P = ("td", "th", "table", "button", "caption")
 _ENDS_P = _BLOCK - frozenset("body html caption td th tr tbody thead tfoot option".split())
 #: What a start tag closes, up to the enclosing element in the second set.
 _SIBLING = {
@@ -68,6 +79,45 @@ _SIBLING = {
 }
 
 
+_raw_ends: dict[str, re.Pattern] = {}
+
+
+def _raw_end(name: str) -> re.Pattern:
+    return _raw_ends.setdefault(name, re.compile(rf"</{name}\b[^>]*>", re.I))
+
+
+class _Open:
+    """The open elements, outermost first, and where those of each name stand."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def push(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.at[name].pop()
+        return name
+
+    def count(self, name: str) -> int:
+        return len(self.at.get(name, ()))
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost of these, -1 without one."""
+        return max((p[-1] for x in names if (p := self.at.get(x))), default=-1)
+
+    def first_behind(self, names: Iterable[str], place: int) -> int:
+        """The place of the outermost of these behind a place, -1 without one."""
+        found = [p[i] for x in names if (p := self.at.get(x)) and (i := bisect.bisect_right(p, place)) < len(p)]
+        return min(found, default=-1)
+
+
 class Page:
     """The elements of a page in the order of their start tags, without those left out, and its runs of text."""
 
@@ -80,17 +130,28 @@ class Page:
         self.links: list[int] = [0]
         self.last: list[int] = [0]
         self.runs: list[tuple[int, int, str]] = []  # element, block, text
+        self._stack: list[int] = [0]
+        self._open = _Open()
+        self._open.push("body")
         self._read(text)
 
+    def _close(self, place: int) -> None:
+        while len(self._stack) > place:
+            self.last[self._stack.pop()] = len(self.tag) - 1
+            self._open.pop()
+
     def _read(self, text: str) -> None:
-        stack: list[int] = [0]
-        names = ["body"]
-        out: list[str] = []  # the open elements inside one that is left out, itself first
-        block = pos = link = 0
+        stack, names = self._stack, self._open
+        out = _Open()  # the open elements inside one that is left out, itself first
+        block = pos = 0
+        limit = text.rfind(">") + 1  # no tag ends behind it
+        pattern = _TAG
         n = len(text)
         while pos <= n:
-            m = _TAG.search(text, pos)
+            m = pattern.search(text, pos, limit) if pos < limit else None
             stop = m.start() if m else n
+            if not m and (cut := text.find("<!--", max(pos, limit))) >= 0:
+                stop = cut
             if stop > pos and not out:
                 run = text[pos:stop]
                 if "&" in run:
@@ -98,25 +159,29 @@ class Page:
                 size = len(run.strip())
                 self.runs.append((stack[-1], block, run))
                 self.chars[stack[-1]] += size
-                if link:
+                if names.count("a"):
                     self.link_chars[stack[-1]] += size
             if not m:
                 break
             pos = m.end()
             name = m[2] or m[5]
             if not name:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    break
                 continue
+            if m[5]:  # a quote that nothing closes: from here on quotes mean nothing
+                pattern = _BARE
             name = name.lower()
             if m[1] or m[4]:  # an end tag
                 if out:
-                    if name in out:
+                    if out.count(name):
                         while out.pop() != name:
                             pass
-                    elif name in names and name in _BLOCK:
-                        out.clear()
+                    elif names.count(name) and name in _BLOCK:
+                        out = _Open()
                     else:
                         continue
-                    if out or name not in names:
+                    if out or not names.count(name):
                         block += 1
                         continue
                     if name in _SKIP:
@@ -124,18 +189,13 @@ class Page:
                         continue
                 if name in _BLOCK:
                     block += 1
-                if name in names and name not in ("body", "html"):
-                    while True:
-                        done, tag = stack.pop(), names.pop()
-                        self.last[done] = len(self.tag) - 1
-                        link -= tag == "a"
-                        if tag == name:
-                            break
+                if names.count(name) and name not in ("body", "html"):
+                    self._close(names.last([name]))
                 continue
             attributes = m[3] if m[2] else m[6]
             if name in _RAW:
                 if not attributes.endswith("/"):
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(text, pos)
+                    end = _raw_end(name).search(text, pos)
                     pos = end.end() if end else n + 1
                 continue
             if name == "br" or name in _VOID:
@@ -144,16 +204,15 @@ class Page:
                     self.runs.append((stack[-1], block, " "))
                 continue
             if out:
-                out.append(name)
+                out.push(name)
                 continue
             if name in ("html", "body"):
                 continue
             if name in _BLOCK:
                 block += 1
-            self._close_before(name, stack, names)
-            link = names.count("a") if link else 0
+            self._close_before(name)
             if self._left_out(name, attributes, names, self.hints):
-                out.append(name)
+                out.push(name)
                 continue
             k = len(self.tag)
             self.tag.append(name)
@@ -163,40 +222,38 @@ class Page:
             if attributes.endswith("/") and name not in _BLOCK:
                 continue
             stack.append(k)
-            names.append(name)
-            link += name == "a"
+            names.push(name)
         for k in stack:
             self.last[k] = len(self.tag) - 1
 
-    def _close_before(self, name: str, stack: list[int], names: list[str]) -> None:
-        def close(k: int) -> None:
-            while len(stack) > k:
-                self.last[stack.pop()] = len(self.tag) - 1
-                names.pop()
-
+    def _close_before(self, name: str) -> None:
+        """Closes what a start tag ends without an end tag."""
         if name in _SIBLING:
             same, within = _SIBLING[name]
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in within:
-                    break
-                if names[k] in same:
-                    close(k)
-        elif name in _ENDS_P and "p" in names:
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == "p":
-                    close(k)
-                    break
-                if names[k] in ("td", "th", "table", "button", "caption"):
-                    break
+            place = self._open.first_behind(same, max(0, self._open.last(within)))
+            if place > 0:
+                self._close(place)
+        elif name in _ENDS_P:
+            place = self._open.last(["p"])
+            if place > self._open.last(_HOLDS_P):
+                self._close(place)
 
     @staticmethod
-    def _left_out(name: str, attributes: str, names: list[str], hints: bool) -> bool:
-        inside = "article" in names or "main" in names
+    def _left_out(name: str, attributes: str, names: _Open, hints: bool) -> bool:
+        inside = names.count("article") > 0 or names.count("main") > 0
         if name in _SKIP and not (name == "header" and inside) or name == "head":
             return True
         if not attributes or not hints or name in ("article", "main"):
             return hints and name == "article" and _marks(attributes, _COMMENT)
-        return _marks(attributes, _IN_ARTICLE if inside else _NOT_MAIN) or bool(_HIDDEN.search(attributes))
+        if bool(_HIDDEN.search(attributes)):
+            return True
+        if not inside:
+            return _marks(attributes, _NOT_MAIN)
+        if name == "section":
+            return _marks(attributes, _IN_SECTION)
+        if name in _CONTAINER:
+            return _marks(attributes, _IN_ARTICLE)
+        return any((m[1] or "").lower() == "class" and not _ADVERT.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()) for m in _HINT.finditer(attributes))
 
     def main_text(self) -> str:
         """The page's main text."""
@@ -227,23 +284,21 @@ class Page:
             up = self.parent[up]
             path.append(up)
         threshold = min(density[k] for k in path)
-        inside = [(root, self.last[root])]
         named = [] if self.tag[root] in ("article", "main") else [k for k in range(root + 1, self.last[root] + 1) if self.tag[k] in ("article", "main") and chars[k] * 10 >= chars[root]]
-        if named:  # articles within: the largest, and others of at least half its sum, the outermost of nested ones
-            top = max(total[k] for k in named)
-            inside = []
-            for k in named:
-                if total[k] >= top / 2 and not (inside and k <= inside[-1][1]):
-                    inside.append((k, self.last[k]))
-        elif self.tag[root] not in ("article", "main"):
-            for k in range(n):
-                if total[k] >= total[best] / 2 and density[k] >= threshold and not root <= k <= self.last[root] and not k <= root <= self.last[k]:
-                    inside.append((k, self.last[k]))
+        top = max((total[k] for k in named), default=0.0)
+        chosen = [k for k in named if total[k] >= top / 2] or [root]
+        if not named:
+            chosen += [k for k in range(n) if total[k] >= total[best] / 2 and density[k] >= threshold and not k <= root <= self.last[k]]
+        edge = [0] * (n + 1)  # where main text begins and ends, in the order of elements
+        for k in chosen:
+            edge[k] += 1
+            edge[self.last[k] + 1] -= 1
+        inside = list(itertools.accumulate(edge))
         blocks: list[str] = []
         held: list[str] = []
         now = -1
         for element, block, run in self.runs:
-            if not any(a <= element <= z for a, z in inside):
+            if not inside[element]:
                 continue
             if block != now:
                 blocks.append(" ".join("".join(held).split()))
@@ -256,14 +311,17 @@ class Page:
 _COMMENT = frozenset("comment comments reply replies".split())
 _ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 _IN_ARTICLE = _NOT_MAIN - {"header"}
+_ADVERT = frozenset("ad ads advert adverts advertisement advertising advertorial sponsored promo promoted".split())
+_IN_SECTION = _COMMENT | _ADVERT
+_CONTAINER = frozenset("div ul ol dl li table tbody tr td details figure address center".split())
 _ABOUT_OTHERS = frozenset("has with no without".split())  # has-sidebar says what stands beside it
 
 
 def _marks(attributes: str, words: frozenset[str]) -> bool:
     for m in _HINT.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
+        for name in (m[2] or m[3] or m[4] or "").split():
             parts = [w.lower() for w in _WORDS.findall(name)]
-            if parts and parts[0] not in _ABOUT_OTHERS and (not words.isdisjoint(parts) or words is not _COMMENT and _STEMS.search(name.lower())):
+            if parts and parts[0] not in _ABOUT_OTHERS and (not words.isdisjoint(parts) or words in (_NOT_MAIN, _IN_ARTICLE) and _STEMS.search(name.lower())):
                 return True
     return False
 

@@ -71,6 +71,63 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_main_text_keeps_what_belongs_to_the_article():
+    """Names that look like others', formulas, and words in a paragraph's id or a heading's drop nothing."""
+    for kept in ('<p data-id="search">kept words here</p>', '<p class="menu-planning">kept words here</p>', '<p id="alert">kept words here</p>', '<h2 id="related-work">kept words here</h2>', '<section id="discussion"><p>kept words here</p></section>', '<p>kept <span class="subscript">words</span> here</p>', "<p>kept <math><mi>words</mi></math> here</p>", "<p>kept <svg><title>no</title><text>words</text></svg> here</p>"):
+        assert html_text.main_text(f"<article><h1>T</h1>{kept}<p>b</p></article>") == "T\n\nkept words here\n\nb", kept
+    for gone in ('<p class="ad">Buy</p>', '<div id="comments"><p>me too</p></div>', '<section class="comments"><p>me too</p></section>', '<div class="share-buttons">x</div>', "<p hidden>x</p>", "<nav>x</nav>"):
+        assert html_text.main_text(f"<article><h1>T</h1><p>a</p>{gone}<p>b</p></article>") == "T\n\na\n\nb", gone
+
+
+def slow_density(page):
+    """The largest sum of densities by walking up and down the tree of one page for each node; ties to the first."""
+    import math
+
+    below = lambda k: [j for j in range(k, len(page.tag)) if any(j == k or a == k for a in ancestors(j))]
+
+    def ancestors(j):
+        while j >= 0:
+            yield j
+            j = page.parent[j]
+
+    def density(k):
+        own = below(k)
+        c, lc = sum(page.chars[j] for j in own), sum(page.link_chars[j] for j in own)
+        t, lt = max(1, len(own) - 1), max(1, sum(page.links[j] for j in own))
+        if not c:
+            return 0.0
+        base = math.log(math.log(c / max(1, c - lc) * lc + sum(page.link_chars) / max(1, sum(page.chars)) * c + math.e))
+        ratio = c / max(1, lc) * t / lt
+        return max(0.0, c / t * math.log(ratio) / base if base > 1e-6 else c / t * math.log(max(math.e, ratio)))
+
+    d = [density(k) for k in range(len(page.tag))]
+    sums = [sum(d[j] for j in range(len(d)) if page.parent[j] == k) for k in range(len(d))]
+    return max(range(len(d)), key=lambda k: (round(sums[k], 9), round(d[k], 9), -k))
+
+
+def test_density_decides(spark):
+    """Without any names: the text below the node that a second calculation finds is in, the rest of little density is out."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8)))
+    for _ in range(40):
+        links = lambda: "".join(f"<div><a href=x>{word()}</a></div>" for _ in range(rng.randint(3, 12)))
+        body = [" ".join(word() for _ in range(rng.randint(20, 90))) for _ in range(rng.randint(3, 8))]
+        text = f"<body><div>{links()}</div><div><div>{''.join(f'<p>{x}</p>' for x in body)}</div><div>{links()}</div></div></body>"
+        page = html_text.Page(text)
+        best = slow_density(page)
+        got = page.main_text().split("\n\n")
+        assert [x for k, _, x in page.runs if best <= k <= page.last[best]] == got == body
+
+
+@pytest.mark.parametrize("text", ["<a " * 100_000, "<div>" * 60_000 + "x", "<a \"'>" * 60_000, "<li><ul>" + "<div>" * 15_000 + "<li></li>" * 15_000, "<nav>" + "<p>" * 50_000 + "</div>" * 50_000, "<!--" * 100_000, "<td>" * 60_000])
+def test_long_pages_take_time_in_proportion(text):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(text)
+    assert time.process_time() - began < 5
+
+
 def test_main_text_of_generated_pages(spark, sf):
     import html as h
 
