@@ -20,16 +20,20 @@ spans count code points, the end is exclusive.  Other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import inspect
+import io
 import random
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import add_from_text, chunks, flat
+from ..storage import shared_root
+from .common import add_from_text, chunks, filesystem, flat, write_bytes
 
 #: kind, pattern, group whose length counts, least length
 BASE = [
@@ -274,11 +278,26 @@ def generated_findings(n: int = 10000, seed: int = 11) -> list[tuple[str, int, i
 _trained: Network | None = None
 
 
-def default_network() -> Network:
-    """The network trained on the generated findings, once for each driver."""
+def default_network(spark: SparkSession | None = None) -> Network:
+    """The network trained on the generated findings, once for each driver; with a session, once for each shared folder,
+    where it is kept under a digest of this module."""
     global _trained
     if _trained is None:
-        _trained = train(generated_findings())
+        if spark is None:
+            _trained = train(generated_findings())
+            return _trained
+        own = hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:32]
+        uri = f"{shared_root(spark)}/secrets-network-{own}.npz"
+        where, path = filesystem(uri)
+        if where.get_file_info(path).size:
+            with where.open_input_file(path) as f:
+                held = np.load(io.BytesIO(f.read()))
+            _trained = Network(**{k: held[k] if held[k].ndim else float(held[k]) for k in held.files})
+        else:
+            _trained = train(generated_findings())
+            blob = io.BytesIO()
+            np.savez(blob, **vars(_trained))
+            write_bytes(uri, [blob.getvalue()])
     return _trained
 
 
@@ -311,11 +330,17 @@ def scan_column(column: pa.Array, net: Network) -> list[list[tuple[int, int, int
         if len(a):
             doc = np.searchsorted(off, a, side="right") - 1
             yes = net.judge(part, a, z, off[doc], off[doc + 1]) >= net.threshold
-            for d, x, y in zip(doc[yes].tolist(), a[yes].tolist(), z[yes].tolist(), strict=True):
-                start = len(whole[off[d] : x].decode())
-                span = (start, len(BASE), start + y - x)
-                if all(e <= span[0] or s >= span[2] for s, k, e in out[i + d] if k < len(BASE)):
-                    out[i + d].append(span)
+            doc, a, z = doc[yes], a[yes], z[yes]
+            points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])  # code points ahead of each byte
+            start = points[a] - points[off[doc]]
+            end = start + z - a
+            for d in np.unique(doc).tolist():
+                x, y = np.searchsorted(doc, [d, d + 1])
+                base = np.array(sorted(out[i + d]), dtype=np.int64).reshape(-1, 3)
+                reach = np.maximum.accumulate(base[:, 2])  # the furthest end so far
+                ahead = np.searchsorted(base[:, 0], end[x:y])  # base findings that begin ahead of the candidate's end
+                free = (ahead == 0) | (np.append(reach, 0)[ahead - 1] <= start[x:y])
+                out[i + d] += [(p, len(BASE), q) for p, q in zip(start[x:y][free].tolist(), end[x:y][free].tolist(), strict=True)]
         for d in range(i, j):
             out[d].sort()
     return out
@@ -327,7 +352,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan_secrets(docs: DataFrame, net: Network | None = None, text_col: str = "text") -> DataFrame:
     """Adds n_assign, n_access, n_hex, base_sha256 and spans."""
-    net = net or default_network()
+    net = net or default_network(docs.sparkSession)
 
     def work(columns: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for column in columns:
@@ -341,7 +366,7 @@ def scan_secrets(docs: DataFrame, net: Network | None = None, text_col: str = "t
 
 def redact_secrets(docs: DataFrame, net: Network | None = None, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The documents with every finding replaced by the mask; overlapping findings become one."""
-    net = net or default_network()
+    net = net or default_network(docs.sparkSession)
 
     def work(columns: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for column in columns:

@@ -259,6 +259,59 @@ def test_keys_far_inside_a_run(spark):
     assert {k for x, y in zip(a[1:], z[1:], strict=True) for k in range(x, min(y, x + secrets.INSIDE))} == set(range(len(run)))
 
 
+#: Formats of keys that the generator of findings doesn't make.
+UNSEEN = [
+    lambda some: "AIza" + some(ALNUM + "_-", 35), lambda some: "SG." + some(ALNUM + "_-", 22) + "." + some(ALNUM + "_-", 43), lambda some: "sq0csp-" + some(ALNUM + "_-", 43),
+    lambda some: "ya29." + some(ALNUM + "_-", 60), lambda some: "pypi-" + some(ALNUM + "_-", 80), lambda some: "r8_" + some(ALNUM, 37), lambda some: "lin_api_" + some(ALNUM, 40),
+    lambda some: "PMAK-" + some("0123456789abcdef", 24) + "-" + some("0123456789abcdef", 30), lambda some: "NRAK-" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 27),
+]
+ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def test_unseen_formats_in_documents(spark, sf):
+    """Keys of other formats, put at random places of real documents, are found; the documents' own text isn't."""
+    rng = random.Random(12)
+    some = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(180).collect() if r.text]
+    net = secrets.default_network()
+    before = secrets.scan_column(pa.array(texts), net)
+    put, places = [], []
+    for i, t in enumerate(texts):
+        at = rng.choice([k for k, c in enumerate(t) if c == " "] or [0])
+        key = UNSEEN[i % len(UNSEEN)](some)
+        put.append(f"{t[:at]} {key} {t[at:]}")
+        places.append((at + 1, at + 1 + len(key)))
+    after = secrets.scan_column(pa.array(put), net)
+    found = [any(a <= x and z >= y for a, _, z in f) for f, (x, y) in zip(after, places, strict=True)]
+    assert np.mean(found) > 0.9, np.mean(found)
+    assert sum(k == 3 for f in before for _, k, _ in f) <= 2
+
+
+def test_many_findings_in_one_text():
+    """Half a megabyte of keys and of base findings takes time in proportion; places are those of code points."""
+    import time
+
+    rng = random.Random(13)
+    some = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    net = secrets.default_network()
+    keys = [some(ALNUM, 39) + "1a" for _ in range(5000)]
+    text = "é日 " + "".join(f"{k} é password = {'x' * 12} " for k in keys)
+    began = time.process_time()
+    found = secrets.scan_column(pa.array([text]), net)[0]
+    assert time.process_time() - began < 60
+    assert {text[a:z] for a, k, z in found if k == 3} <= set(keys) and sum(k == 3 for _, k, _ in found) > 4500 and sum(k == 0 for _, k, _ in found) == 5000
+
+
+def test_network_is_kept(spark, monkeypatch):
+    net = secrets.default_network()
+    monkeypatch.setattr(secrets, "_trained", None)
+    monkeypatch.setattr(secrets, "train", lambda *a: net)
+    assert secrets.default_network(spark) is net
+    monkeypatch.setattr(secrets, "_trained", None)
+    again = secrets.default_network(spark)
+    assert again is not net and all(np.array_equal(v, getattr(net, k)) for k, v in vars(again).items())
+
+
 def test_threshold_keeps_the_recall():
     """Where keys can't be told from others, most probabilities are under a half; the wanted recall stays."""
     rng = random.Random(9)
