@@ -6,7 +6,8 @@ same set are one class from the start, so that copies, however many, are one nod
 keys are grouped with their least node (map-side first, so no key is hot), which gives
 stars, not pairs; the components of the stars are the candidate groups.
 
-Each group is verified on the full n-gram sets.  A group of more than BLOCK nodes, or
+Sets are told apart by 128-bit keys, and numbered.  Each group is verified on the full
+n-gram sets.  A group of more than BLOCK nodes (SMALL_BLOCK, up to SPREAD blocks), or
 BLOCK_GRAMS n-grams, is dealt into blocks, and each two blocks meet in one task: intersections of all their pairs are a
 matrix product over the n-grams that more than one of them has.  Tasks return, for each
 node, how many documents it is linked to and a forest of the links, never pairs.
@@ -36,6 +37,9 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9995
 MOST_HASHES = 128
 BLOCK = 512
+#: A smaller group is dealt into blocks of so many nodes too, into SPREAD blocks at most, so that no task has many more rows than others.
+SMALL_BLOCK = 64
+SPREAD = 8
 #: N-grams of a block, about; a group of long texts is dealt into more blocks.
 BLOCK_GRAMS = 1 << 20
 #: N-grams that are multiplied at once.
@@ -111,7 +115,7 @@ def _sketches(docs: DataFrame, s: Sketcher) -> DataFrame:
 
 
 def _verify(threshold: float):
-    """Over rows sorted by (component, x, y): the links of each node within its group, as (k1, k2, links, root)."""
+    """Over rows sorted by (component, x, y): the links of each node within its group, as (node, links, root)."""
 
     def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -142,10 +146,10 @@ def _verify(threshold: float):
         x, y = rows[0][1], rows[0][2]
         own = np.array([r[3] for r in rows])
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        found = links([r[7] for r in rows], left, right)
+        found = links([r[6] for r in rows], left, right)
         if x == y:
             np.fill_diagonal(found, False)
-        weight = np.array([r[6] for r in rows], dtype=np.int64)
+        weight = np.array([r[5] for r in rows], dtype=np.int64)
         number = np.zeros(len(rows), dtype=np.int64)
         number[left] += found @ weight[right]
         if x != y:
@@ -158,10 +162,10 @@ def _verify(threshold: float):
             if (new == root).all():
                 break
             root = new
-        k1 = [r[4] for r in rows]
-        return {"k1": k1, "k2": [r[5] for r in rows], "links": number.tolist(), "root": [k1[r] for r in root.tolist()], "many": [rows[0][8]] * len(rows)}
+        node = [r[4] for r in rows]
+        return {"node": node, "links": number.tolist(), "root": [node[r] for r in root.tolist()], "many": [rows[0][7]] * len(rows)}
 
-    kinds = {"k1": pa.int64(), "k2": pa.int64(), "links": pa.int64(), "root": pa.int64(), "many": pa.bool_()}
+    kinds = {"node": pa.int64(), "links": pa.int64(), "root": pa.int64(), "many": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -179,13 +183,13 @@ def _verify(threshold: float):
             held.clear()
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "x", "y", "own", "k1", "k2", "weight", "grams", "many")]
+            columns = [batch.column(c).to_pylist() for c in ("component", "x", "y", "own", "node", "weight", "grams", "many")]
             for row in zip(*columns, strict=True):
                 if held and held[0][:3] != row[:3]:
                     close()
-                    if len(out["k1"]) > 10_000:
+                    if len(out["node"]) > 10_000:
                         yield done()
-                held.append((*row[:7], np.frombuffer(row[7], dtype="<u8"), row[8]))
+                held.append((*row[:6], np.frombuffer(row[6], dtype="<u8"), row[7]))
         if held:
             close()
         yield done()
@@ -201,21 +205,25 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     s = Sketcher(*choose_bands(threshold, recall), n)
     rows = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     sketches = kept(_sketches(rows, s), "sketches")
-    # one node for each set
+    # one node for each set, numbered as it is written
     nodes = kept(
-        sketches.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("bands").alias("bands")),
+        sketches.where("k1 is not null")
+        .groupBy("k1", "k2")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    keyed = nodes.select("k1", F.posexplode("bands").alias("band", "key"))
-    stars = keyed.groupBy("band", "key").agg(F.min("k1").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = keyed.join(stars, ["band", "key"]).where("k1 != hub").select(F.col("k1").alias("src"), F.col("hub").alias("dst")).distinct()
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    stars = keyed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    edges = keyed.join(stars, ["band", "key"]).where("node != hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct()
     groups = kept(star_contraction(edges), "groups")
-    grouped = kept(nodes.drop("bands").join(groups, F.col("k1") == F.col("node")), "grouped")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_GRAMS)).cast("int")
-    dealt = grouped.join(grouped.groupBy("component").agg(blocks.alias("n")), "component").select("component", "n", "k1", "k2", "weight", "least.doc_id", "least.tie")
+    grouped = kept(nodes.drop("bands").join(groups, "node"), "grouped")
+    number = F.count(F.lit(1))
+    blocks = F.ceil(F.greatest(number / block, F.least(number / SMALL_BLOCK, F.lit(SPREAD)), F.sum("size") / BLOCK_GRAMS)).cast("int")
+    dealt = grouped.join(grouped.groupBy("component").agg(blocks.alias("n")), "component").select("component", "n", "node", "weight", "least.doc_id", "least.tie")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["component", "n", "k1", "k2", "weight"]
+        names = ["component", "n", "node", "weight"]
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             for i, j in chunks(offsets):
@@ -227,30 +235,30 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     of_nodes = (
         rows.alias("r")
         .join(dealt.hint("merge").alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.tie") == F.col("d.tie")))
-        .select("component", "n", "k1", "k2", "weight", "text")
+        .select("component", "n", "node", "weight", "text")
     )
     if _repeats(sketches):
-        of_nodes = of_nodes.dropDuplicates(["k1", "k2"])
+        of_nodes = of_nodes.dropDuplicates(["node"])
     met = (
-        of_nodes.mapInArrow(sets, "component long, n int, k1 long, k2 long, weight long, grams binary")
-        .withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("n")).cast("int"))
+        of_nodes.mapInArrow(sets, "component long, n int, node long, weight long, grams binary")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "k1", "k2", "weight", "grams", (F.col("n") > 1).alias("many"))
+        .select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "weight", "grams", (F.col("n") > 1).alias("many"))
         .repartition("component", "x", "y")
-        .sortWithinPartitions("component", "x", "y", "k1", "k2")
+        .sortWithinPartitions("component", "x", "y", "node")
     )
-    verified = kept(met.mapInArrow(_verify(threshold), "k1 long, k2 long, links long, root long, many boolean"), "verified")
-    roots = verified.where("not many").select("k1", "root")
-    split = verified.where("many and k1 != root").select(F.col("k1").alias("src"), F.col("root").alias("dst"))
+    verified = kept(met.mapInArrow(_verify(threshold), "node long, links long, root long, many boolean"), "verified")
+    roots = verified.where("not many").select("node", "root")
+    split = verified.where("many and node != root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
     if not split.isEmpty():
-        roots = roots.union(star_contraction(split).toDF("k1", "root"))
+        roots = roots.union(star_contraction(split).toDF("node", "root"))
     roots = roots.distinct()
-    number = verified.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
+    counted = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = (
         nodes.drop("bands")
-        .join(number, ["k1", "k2"], "left")
-        .join(roots, "k1", "left")
-        .select("k1", "k2", "least", (F.coalesce("links", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "k1").alias("root"))
+        .join(counted, "node", "left")
+        .join(roots, "node", "left")
+        .select("k1", "k2", "least", (F.coalesce("links", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
         .where("n_links > 0")
     )
     linked = kept(linked, "linked")
