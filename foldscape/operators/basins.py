@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import kept
+from ..storage import dropped, kept
 from .components import star_contraction
 from .neighbors import both_ways
 from .structures import KEYS
@@ -48,11 +48,12 @@ def plateau_attractors(pointers: DataFrame, edges: DataFrame, keys: Sequence[str
 def basin_assignment(pointers: DataFrame, attractors: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """keys, node_id, basin_id of every node, by pointer jumping: each round halves the way to the attractor."""
     on = [*keys, "node_id"]
-    step = kept(pointers.join(attractors, on, "left").select(*keys, "node_id", F.coalesce("pointer", "node_id").alias("to")), "pointers")
+    table = step = kept(pointers.join(attractors, on, "left").select(*keys, "node_id", F.coalesce("pointer", "node_id").alias("to")), "pointers")
     while True:
         over = step.select(*keys, F.col("node_id").alias("to"), F.col("to").alias("next"))
         new = kept(step.join(over, [*keys, "to"]).select(*keys, "node_id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "pointers")
-        step = new.drop("moved")
+        dropped(table)
+        table, step = new, new.drop("moved")
         if new.where("moved").isEmpty():
             break
     return step.join(attractors.withColumnRenamed("node_id", "to"), [*keys, "to"]).select(*keys, "node_id", F.col("attractor").alias("basin_id"))

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import join_batch, kept
+from ..storage import dropped, join_batch, kept, numbered
 
 
 def star_contraction(edges: DataFrame, batch: Sequence[str] = (), src: str = "src", dst: str = "dst") -> DataFrame:
@@ -35,7 +35,8 @@ def star_contraction(edges: DataFrame, batch: Sequence[str] = (), src: str = "sr
         # small star: u and its lower neighbours go to the least of them
         low = large.groupBy(*keys).agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(low, keys).where("v != m").select(*b, F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(*b, "u", F.col("m").alias("v"))).distinct()
-        e = kept(small, "edges")
+        old, e = e, kept(small, "edges")
+        dropped(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(*b, F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(*b, F.col("v"), F.col("v")).distinct())
@@ -52,9 +53,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
 
 def component_order(members: DataFrame, keys: Sequence[str] = ("seq_id", "run_id", "null_id")) -> DataFrame:
     """keys, component, comp_size, comp_id: components from the largest down, ties by the least node."""
-    from pyspark.sql import Window
-
     each = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("comp_size"))
+    if not keys:
+        ordered = numbered(each.withColumn("_size", -F.col("comp_size")), "comp_id", ["_size", "component"])
+        return ordered.select("component", "comp_size", F.col("comp_id").cast("int").alias("comp_id"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("comp_size"), "component")) - 1
     return each.withColumn("comp_id", rank.cast("int"))
 

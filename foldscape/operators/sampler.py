@@ -276,23 +276,27 @@ def sample_structures(seq: str, p: Params, seed: int) -> Iterator[tuple[str, flo
 
 
 def sample(sequences: DataFrame, p: Params) -> DataFrame:
-    """seq_id, run_id, null_id, ord, structure, energy: num_runs samples of each sequence, each run with seed + run_id.
+    """seq_id, run_id, null_id, ord, structure, energy, reason: num_runs samples of each sequence, each run with seed + run_id.
 
-    sequences: seq_id, seq, and null_id (-1 for real ones) if it has one. One task for a sequence and run; a failure keeps what was drawn.
+    sequences: seq_id, seq, and null_id (-1 for real ones) if it has one. One task for a sequence and run. A failure keeps what
+    was drawn, and adds a row without a structure whose reason says what went wrong; a null or empty sequence is such a failure.
     """
     has = "null_id" in sequences.columns
     jobs = sequences.select("seq_id", "seq", (F.col("null_id") if has else F.lit(-1)).cast("int").alias("null_id")).withColumn("run_id", F.explode(F.sequence(F.lit(0), F.lit(p.num_runs - 1))))
     jobs = jobs.repartition("seq_id", "run_id", "null_id")
+    columns = ["seq_id", "run_id", "null_id", "ord", "structure", "energy", "reason"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                rows = []
+                rows, why = [], None if r.seq else "no sequence"
                 try:
                     for k, (s, e) in enumerate(sample_structures(r.seq, p, p.seed + r.run_id)):
-                        rows.append((r.seq_id, r.run_id, r.null_id, k, s, e))
-                except (ArithmeticError, IndexError):
-                    pass
-                yield pd.DataFrame(rows, columns=["seq_id", "run_id", "null_id", "ord", "structure", "energy"])
-
-    return jobs.mapInPandas(run, "seq_id long, run_id int, null_id int, ord long, structure string, energy double")
+                        rows.append((r.seq_id, r.run_id, r.null_id, k, s, e, None))
+                except (ArithmeticError, IndexError, KeyError, ValueError) as err:
+                    why = f"{type(err).__name__}: {err}"[:200]
+                if why:
+                    rows.append((r.seq_id, r.run_id, r.null_id, len(rows), None, None, why))
+                yield pd.DataFrame(rows, columns=columns)
+
+    return jobs.mapInPandas(run, "seq_id long, run_id int, null_id int, ord long, structure string, energy double, reason string")

@@ -1,9 +1,10 @@
 """Slow modes of the symmetric rate matrix, distances between basins and their score, for one component at a time.
 
 Built-in functions have no eigensolver, so each component goes through one grouped pandas
-function: dense below DENSE nodes; above, Lanczos on the inverse of sigma - S with a
+function: dense up to DENSE nodes; above, Lanczos on the inverse of sigma - S with a
 preconditioned conjugate-gradient solver, the known null vector kept out and put back as
-the first mode.  Memory is that of one component's sparse matrix and its modes; components,
+the first mode, extended until every wanted mode's residual is small (up to all nodes, else
+the component has failed, with the reason).  Memory is that of one component's sparse matrix and its modes; components,
 runs and null samples are spread over the cluster by their keys.
 """
 
@@ -22,6 +23,12 @@ from ..params import Params
 from .structures import KEYS
 
 DENSE = 2500
+#: Of a mode, against its eigenvalue of the inverse.
+RESIDUAL = 1e-7
+#: Vectors of the basis for each wanted mode, before a component has failed.
+MOST_BASIS = 40
+#: Random samples of basins that one task makes from one spectrum.
+SAMPLES_AT_ONCE = 25
 
 
 @dataclass
@@ -61,16 +68,16 @@ def _solve(m: Sparse, sigma: float, b: np.ndarray, null: np.ndarray, tolerance:
     d, rz = z.copy(), float(r @ z)
     stop = tolerance * float(np.linalg.norm(b))
     for _ in range(20 * len(b)):
+        if float(np.linalg.norm(r)) <= stop:
+            return x - null * (null @ x)
         a = sigma * d - (m @ d)
         step = rz / float(d @ a)
         x += step * d
         r -= step * a
-        if float(np.linalg.norm(r)) <= stop:
-            break
         z = r / pre
         rz, old = float(r @ z), rz
         d = z + (rz / old) * d
-    return x - null * (null @ x)
+    raise RuntimeError("the conjugate gradients did not converge")
 
 
 def slow_modes(m: Sparse, weight: np.ndarray, k: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
@@ -84,27 +91,36 @@ def slow_modes(m: Sparse, weight: np.ndarray, k: int, sigma: float) -> tuple[np.
     null = np.sqrt(weight) / np.linalg.norm(np.sqrt(weight))
     rng = np.random.RandomState(0)
     size = min(n - 1, max(2 * k + 20, 60))
-    basis = np.zeros((n, size))
-    alpha, beta = np.zeros(size), np.zeros(size)
+    basis = np.zeros((n, 0))
+    alpha: list[float] = []
+    beta: list[float] = []
     v = rng.standard_normal(n)
     v -= null * (null @ v)
     v /= np.linalg.norm(v)
-    made = 0
-    for j in range(size):
-        basis[:, j] = v
-        made = j + 1
-        w = _solve(m, sigma, v, null)
-        alpha[j] = v @ w
-        for _ in range(2):  # orthogonal to all before, twice for rounding
-            w -= basis[:, :made] @ (basis[:, :made].T @ w)
-            w -= null * (null @ w)
-        beta[j] = np.linalg.norm(w)
-        if beta[j] < 1e-14:
+    while True:
+        basis = np.concatenate([basis, np.zeros((n, size - basis.shape[1]))], axis=1)
+        while len(alpha) < size:
+            j = len(alpha)
+            basis[:, j] = v
+            w = _solve(m, sigma, v, null)
+            alpha.append(float(v @ w))
+            for _ in range(2):  # orthogonal to all before, twice for rounding
+                w -= basis[:, : j + 1] @ (basis[:, : j + 1].T @ w)
+                w -= null * (null @ w)
+            beta.append(float(np.linalg.norm(w)))
+            if beta[-1] < 1e-14:
+                break
+            v = w / beta[-1]
+        made = len(alpha)
+        t = np.diag(alpha) + np.diag(beta[: made - 1], 1) + np.diag(beta[: made - 1], -1)
+        theta, y = np.linalg.eigh(t)
+        top = np.argsort(theta)[::-1][: k - 1]
+        # how far (sigma - S)^-1 v is from theta v, for each wanted mode
+        if made == n - 1 or beta[-1] < 1e-14 or (beta[-1] * np.abs(y[-1, top]) <= RESIDUAL * theta[top]).all():
             break
-        v = w / beta[j]
-    t = np.diag(alpha[:made]) + np.diag(beta[: made - 1], 1) + np.diag(beta[: made - 1], -1)
-    theta, y = np.linalg.eigh(t)
-    top = np.argsort(theta)[::-1][: k - 1]
+        if made >= min(n - 1, MOST_BASIS * k):
+            raise RuntimeError(f"{made} Lanczos steps did not reach a residual of {RESIDUAL}")
+        size = min(n - 1, 2 * size)
     values = np.concatenate([[0.0], sigma - 1 / theta[top]])
     vectors = np.concatenate([null[:, None], basis[:, :made] @ y[:, top]], axis=1)
     order = np.argsort(np.abs(values), kind="stable")
@@ -112,13 +128,11 @@ def slow_modes(m: Sparse, weight: np.ndarray, k: int, sigma: float) -> tuple[np.
 
 
 def noise_modes(values: np.ndarray, threshold: float) -> int:
-    """How many of the values, by size, stand ahead of the first gap; 1 without one."""
+    """How many of the values, by size, stand ahead of the first gap; 1 without one. Sizes below 1e-30 are 0: none is a gap above another."""
     a = np.abs(values)
-    for k in range(1, len(a)):
-        ratio = (math.inf if a[k] > 1e-30 else 1.0) if a[k - 1] < 1e-30 else a[k] / a[k - 1]
-        if ratio > threshold:
-            return k
-    return 1
+    a = np.where(a < 1e-30, 0.0, a)
+    gaps = np.flatnonzero((a[1:] > threshold * a[:-1]) & (a[1:] > 0))
+    return int(gaps[0]) + 1 if len(gaps) else 1
 
 
 def basin_distances(energy: np.ndarray, basins: list[np.ndarray], values: np.ndarray, vectors: np.ndarray, rt: float, prefactor: float) -> np.ndarray:
@@ -162,48 +176,58 @@ RESULT = (
 )
 
 
-def component_spectra(nodes: DataFrame, edges: DataFrame, basins: DataFrame, p: Params, keys: Sequence[str] = KEYS, random_seed: int | None = None) -> DataFrame:
+def component_spectra(nodes: DataFrame, edges: DataFrame, basins: DataFrame, p: Params, keys: Sequence[str] = KEYS, random: tuple[int, int] | None = None) -> DataFrame:
     """One row for each component with three basins or more: its modes, the upper triangle of its distances, and its triplets' counts.
 
     nodes: keys, comp_id, node_id, energy; edges: keys, comp_id, src, dst; basins: keys, comp_id, node_id, basin_id, rank (of kept basins only).
-    With a seed, basins are dealt anew at random, of the same sizes, over the same spectrum; the seed of a batch is random_seed + null_id.
+    random, a seed and a number: so many rows for each component, with null_id from 0 (one of keys), whose basins are dealt anew at random,
+    of the same sizes, over the same spectrum, with the seed + null_id; a task makes SAMPLES_AT_ONCE of them.
     A failure of one component is a status and a reason, not an error.
     """
-    on = [*keys, "comp_id"]
+    on = [*keys, "comp_id", "block"]
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + RESULT
-    tagged = nodes.join(basins.select(*on, "node_id", "basin_id", "rank"), [*on, "node_id"], "left")
+    blocks = F.lit(0) if random is None else F.explode(F.sequence(F.lit(0), F.lit((random[1] - 1) // SAMPLES_AT_ONCE)))
+    tagged = nodes.join(basins.select(*on[:-1], "node_id", "basin_id", "rank"), [*on[:-1], "node_id"], "left").withColumn("block", blocks)
+
+    def score(energy: np.ndarray, members: list[np.ndarray], values: np.ndarray, vectors: np.ndarray) -> dict:
+        d = basin_distances(energy, members, values, vectors, p.rt, p.prefactor)
+        nt, tr, non = score_triplets(d, p)
+        return {"distances": d[np.triu_indices(len(d), 1)].tolist(), "n_nontrivial": nt, "n_trivial": tr, "n_non": non}
 
     def solve(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values("node_id")
         ids = n["node_id"].to_numpy()
         energy = n["energy"].to_numpy(dtype=float)
         rank = n["rank"].fillna(0).to_numpy().astype(int)
-        row = dict(zip([*keys, "comp_id"], key, strict=True)) | {"comp_size": len(n), "num_basins": int(rank.max(initial=0)), "basins": [], "eigenvalues": [], "num_noise_modes": 0, "num_phys_modes": 0, "distances": [], "n_nontrivial": 0, "n_trivial": 0, "n_non": 0, "status": "ok", "reason": None}
+        row = dict(zip(on[:-1], key[:-1], strict=True)) | {"comp_size": len(n), "num_basins": int(rank.max(initial=0)), "basins": [], "eigenvalues": [], "num_noise_modes": 0, "num_phys_modes": 0, "distances": [], "n_nontrivial": 0, "n_trivial": 0, "n_non": 0, "status": "ok", "reason": None}
         if row["num_basins"] < 3:
             return pd.DataFrame()
+        first = int(key[-1]) * SAMPLES_AT_ONCE
+        samples = [None] if random is None else range(first, min(first + SAMPLES_AT_ONCE, random[1]))
         try:
             members = [np.flatnonzero(rank == r) for r in range(1, row["num_basins"] + 1)]
             row["basins"] = [int(n["basin_id"].to_numpy()[m[0]]) for m in members]
-            if random_seed is not None:
-                null = dict(zip(keys, key, strict=False)).get("null_id", 0)
-                order = np.random.RandomState(random_seed + max(0, int(null))).permutation(len(n))
-                cuts = np.cumsum([0, *map(len, members)])
-                members = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
             e = e.sort_values(["src", "dst"])
             m = rate_matrix(energy, np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy()), p.rt, p.prefactor)
             values, vectors = slow_modes(m, np.exp(-(energy - energy.min()) / p.rt), min(p.num_modes, len(n) - 1), p.sigma)
             noise = noise_modes(values, p.gap_threshold)
             if noise >= len(values):
                 raise RuntimeError("no physical mode is left")
-            d = basin_distances(energy, members, values[noise:], vectors[:, noise:], p.rt, p.prefactor)
-            nt, tr, non = score_triplets(d, p)
-            row |= {"eigenvalues": values.tolist(), "num_noise_modes": noise, "num_phys_modes": len(values) - noise, "distances": d[np.triu_indices(len(d), 1)].tolist(), "n_nontrivial": nt, "n_trivial": tr, "n_non": non}
+            row |= {"eigenvalues": values.tolist(), "num_noise_modes": noise, "num_phys_modes": len(values) - noise}
+            out = []
+            for k in samples:
+                dealt = members
+                if k is not None:
+                    order = np.random.RandomState(random[0] + k).permutation(len(n))
+                    cuts = np.cumsum([0, *map(len, members)])
+                    dealt = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                out.append(row | score(energy, dealt, values[noise:], vectors[:, noise:]) | ({} if k is None else {"null_id": k}))
         except (RuntimeError, np.linalg.LinAlgError, FloatingPointError) as err:
-            row |= {"status": "failed", "reason": str(err)[:200]}
-        return pd.DataFrame([row])
+            out = [row | {"status": "failed", "reason": str(err)[:200]} | ({} if k is None else {"null_id": k}) for k in samples]
+        return pd.DataFrame(out)
 
-    return tagged.groupBy(*on).cogroup(edges.select(*on, "src", "dst").groupBy(*on)).applyInPandas(solve, schema)
+    return tagged.groupBy(*on).cogroup(edges.select(*on[:-1], "src", "dst").withColumn("block", blocks).groupBy(*on)).applyInPandas(solve, schema)
 
 
 def spectrum_distances(spectra: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import half_even, plus_minus, sample_std
+from ..functions import half_even, sample_std
 from ..operators import nulls
 from ..operators.basins import basin_weights, gradient_basins, top_basins
 from ..operators.components import connected_components, significant_components
@@ -16,11 +16,14 @@ from ..operators.pairs import allowed_pairs, pair_index
 from ..operators.sampler import sample
 from ..operators.spectral import component_spectra
 from ..operators.stats import mean_std, two_sided_p
-from ..operators.structures import KEYS, dedup_min_energy, dotbracket_pairs, encode_pairs, energy_window, enough_states, node_index
+from ..operators.structures import KEYS, dedup_min_energy, distinct_capped, dotbracket_pairs, encode_pairs, energy_window, enough_states, node_index
+from ..operators.triplets import between_share, weighted_score
 from ..params import Params
 from ..storage import kept
 
 SCORES = ("u_nt", "u_tr", "u_non")
+#: Counts of a run, and their names in a summary.
+COUNTED = {"n_structures": "n_structures", "total_basins": "n_basins", "n_components": "n_components"}
 
 
 def states_of(structures: DataFrame, sequences: DataFrame, p: Params, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -35,9 +38,13 @@ def states_of(structures: DataFrame, sequences: DataFrame, p: Params, keys: Sequ
     return enough_states(node_index(dedup_min_energy(coded, keys), keys), keys)
 
 
-def analyze_graph(nodes: DataFrame, edges: DataFrame, p: Params, keys: Sequence[str] = KEYS, random_seed: int | None = None, main_only: bool = False) -> DataFrame:
+def graph_members(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The components of each batch's graph, found once and kept: keys, node_id, component, comp_size."""
+    return kept(connected_components(nodes, edges, keys), "members")
+
+
+def analyze_graph(nodes: DataFrame, edges: DataFrame, members: DataFrame, p: Params, keys: Sequence[str] = KEYS, random: tuple[int, int] | None = None, main_only: bool = False) -> DataFrame:
     """One row for each component with enough basins: that of component_spectra, with u_nt, u_tr, u_non and num_triplets."""
-    members = kept(connected_components(nodes, edges, keys), "members")
     chosen = significant_components(members, p.alpha, keys).select(*keys, "component", "comp_id")
     if main_only:
         chosen = chosen.where("comp_id = 0")
@@ -48,61 +55,71 @@ def analyze_graph(nodes: DataFrame, edges: DataFrame, p: Params, keys: Sequence[
     ranked = top_basins(basin_weights(placed, p.rt, keys), p.min_basin_size, p.max_basins, keys, least=3)
     inside = placed.join(ranked.select(*keys, "comp_id", "basin_id", "rank"), [*keys, "comp_id", "basin_id"])
     groups = ranked.select(*keys, "comp_id").distinct()
-    spectra = component_spectra(local.join(groups, [*keys, "comp_id"], "left_semi"), inner.join(groups, [*keys, "comp_id"], "left_semi"), inside, p, keys, random_seed)
+    spectra = component_spectra(local.join(groups, [*keys, "comp_id"], "left_semi"), inner.join(groups, [*keys, "comp_id"], "left_semi"), inside, p, keys, random)
+    return with_scores(spectra)
+
+
+def with_scores(spectra: DataFrame) -> DataFrame:
+    """Adds num_triplets and the percentages u_nt, u_tr and u_non to rows with the three counts."""
     n = F.col("n_nontrivial") + F.col("n_trivial") + F.col("n_non")
     share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("num_triplets")), F.lit(0.0))
     return spectra.withColumn("num_triplets", n).withColumns({"u_nt": share("n_nontrivial"), "u_tr": share("n_trivial"), "u_non": share("n_non")})
 
 
-def run_stats(components: DataFrame, nodes: DataFrame, edges: DataFrame, p: Params, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row for each batch: weighted scores, f_inter, counts. Batches without a usable component have zeros."""
-    ok = F.col("status") == "ok"
-    b, t = F.sum(F.when(ok, F.col("num_basins"))).cast("double"), F.sum(F.when(ok, F.col("num_triplets")))
-    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.when(ok, F.col(c) * F.col("num_triplets"))), t), F.lit(0.0))
-    got = components.groupBy(*keys).agg(
-        *[mean(c).alias(f"weighted_{c}") for c in SCORES],
-        F.when(b >= 3, 1 - t / (b * (b - 1) * (b - 2) / 6)).otherwise(F.lit(0.0)).alias("f_inter"),
-        F.count(F.lit(1)).cast("int").alias("n_processed_components"),
-        b.cast("int").alias("total_basins"),
-        t.alias("total_triplets"),
-    )
-    found = significant_components(connected_components(nodes, edges, keys), p.alpha, keys).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_significant_components"))
-    every = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_structures"), F.min("energy").alias("min_energy"))
-    out = every.join(found, list(keys), "left").join(got, list(keys), "left")
-    return out.fillna(0)
-
-
-def analyze_structures(structures: DataFrame, sequences: DataFrame, p: Params, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, components, runs) of sampled structures."""
-    nodes = kept(states_of(structures, sequences, p, keys), "nodes")
+def run_stats(components: DataFrame, nodes: DataFrame, members: DataFrame, p: Params, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row for each batch: weighted scores, f_inter, counts (of all components too). Batches without a usable component have zeros."""
+    ok = components.where("status = 'ok'")
+    got = weighted_score(ok, keys).join(between_share(ok, keys), list(keys), "full") if keys else weighted_score(ok, keys).crossJoin(between_share(ok, keys))  # one row each
+    processed = components.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_processed_components"))
+    large = significant_components(members, p.alpha, keys).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_significant_components"))
+    every = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_components"))
+    out = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_structures"), F.min("energy").alias("min_energy"))
+    for x in (every, large, processed, got):
+        out = out.join(x, list(keys), "left") if keys else out.crossJoin(x)  # one row each
+    return out.withColumn("total_basins", F.col("total_basins").cast("int")).fillna(0)
+
+
+def analyze_structures(structures: DataFrame, sequences: DataFrame, p: Params, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, members, components, runs) of sampled structures: the first of each distinct one, up to the cap of each batch."""
+    first = distinct_capped(structures.where("structure is not null"), p.max_structures, keys)
+    nodes = kept(states_of(first, sequences, p, keys), "nodes")
     edges = kept(neighbor_graph(nodes, keys), "edges")
-    components = kept(analyze_graph(nodes, edges, p, keys), "components")
-    return nodes, edges, components, kept(run_stats(components, nodes, edges, p, keys), "runs")
+    members = graph_members(nodes, edges, keys)
+    components = kept(analyze_graph(nodes, edges, members, p, keys), "components")
+    return nodes, edges, members, components, kept(run_stats(components, nodes, members, p, keys), "runs")
+
+
+def successful(runs: DataFrame) -> DataFrame:
+    """Runs of the sequences themselves with at least one triplet; the others have failed and count nowhere."""
+    return nulls.usable_samples(runs.where("null_id = -1"))
 
 
-def null_runs(model: str, nodes: DataFrame, edges: DataFrame, sequences: DataFrame, p: Params) -> DataFrame:
-    """Runs of a null model on the first run of each sequence: seq_id, null_id, u_nt, u_tr, u_non (u_nt alone for random_basins)."""
+def null_runs(model: str, nodes: DataFrame, edges: DataFrame, members: DataFrame, runs: DataFrame, sequences: DataFrame, p: Params) -> DataFrame:
+    """Runs of a null model on the first successful run of each sequence: seq_id, null_id, u_nt, u_tr, u_non.
+
+    The components of the real graph serve all samples but those with other edges; random basins share one spectrum too.
+    """
     keys = list(KEYS)
-    first = nodes.where("null_id = -1").groupBy("seq_id").agg(F.min("run_id").alias("run_id"))
-    n = nodes.where("null_id = -1").join(first, ["seq_id", "run_id"])
-    e = edges.where("null_id = -1").join(first, ["seq_id", "run_id"])
+    first = successful(runs).groupBy("seq_id").agg(F.min("run_id").alias("run_id"))
+    n, e, m = (x.where("null_id = -1").join(first, ["seq_id", "run_id"]) for x in (nodes, edges, members))
+    if model == "random_basins":
+        e, m = e.select(*keys, "src", "dst"), kept(m, "main")
+        components = kept(analyze_graph(n, e, m, p, keys, random=(p.seed + nulls.RANDOM_BASINS, p.num_null), main_only=True), "null_components")
+        return _scores(weighted_score(components.where("status = 'ok'"), keys))
     if model == "energy_shuffle":
-        n, e = nulls.energy_shuffle(n, p.num_null, p.seed), nulls.with_samples(e, p.num_null)
+        n, e, m = nulls.energy_shuffle(n, p.num_null, p.seed), nulls.with_samples(e, p.num_null), kept(nulls.with_samples(m, p.num_null), "null_members")
     elif model == "topo_shuffle":
-        n, e = nulls.energy_shuffle(n, p.num_null, p.seed + nulls.TOPOLOGY - nulls.ENERGY), nulls.topology_shuffle(e, p.num_null, p.swaps_per_edge, p.seed)
-    elif model == "random_basins":
-        n, e = nulls.with_samples(n, p.num_null), nulls.with_samples(e, p.num_null)
+        n, e, m = nulls.energy_shuffle(n, p.num_null, p.seed + nulls.TOPOLOGY - nulls.ENERGY), nulls.topology_shuffle(e, p.num_null, p.swaps_per_edge, p.seed), None
     elif model == "nt_shuffle":
-        shuffled = kept(nulls.letter_shuffle(sequences, p.num_null, p.seed), "shuffled")
+        shuffled = kept(nulls.letter_shuffle(sequences.join(first.select("seq_id"), "seq_id", "left_semi"), p.num_null, p.seed), "shuffled")
         one = type(p)(**{**p.__dict__, "num_runs": 1})
-        n, e, _, runs = analyze_structures(kept(sample(shuffled, one), "samples"), shuffled, one)
-        return _scores(runs)
+        return _scores(analyze_structures(kept(sample(shuffled, one), "samples"), shuffled, one)[-1])
     else:
         raise ValueError(f"not a null model: {model}")
     n, e = kept(n, "null_nodes"), kept(e.select(*keys, "src", "dst"), "null_edges")
-    only = model == "random_basins"
-    components = kept(analyze_graph(n, e, p, keys, random_seed=p.seed + nulls.RANDOM_BASINS if only else None, main_only=only), "null_components")
-    return _scores(run_stats(components, n, e, p, keys))
+    m = graph_members(n, e, keys) if m is None else m
+    components = kept(analyze_graph(n, e, m, p, keys), "null_components")
+    return _scores(run_stats(components, n, m, p, keys))
 
 
 def _scores(runs: DataFrame) -> DataFrame:
@@ -111,48 +128,40 @@ def _scores(runs: DataFrame) -> DataFrame:
 
 
 def null_summary(runs: DataFrame, samples: DataFrame) -> DataFrame:
-    """seq_id, n, mean and std of each score over samples, and the p-value of the mean u_nt over all runs."""
-    real = runs.where("null_id = -1").groupBy("seq_id").agg(F.avg("weighted_u_nt").alias("real_value"))
+    """seq_id, n, mean and std of each score over samples, and the p-value of the mean u_nt over the successful runs."""
+    real = successful(runs).groupBy("seq_id").agg(F.avg("weighted_u_nt").alias("real_value"))
     p = two_sided_p(samples, real, ["seq_id"]).select("seq_id", "p_value")
     return mean_std(samples, SCORES, ["seq_id"]).join(p, "seq_id")
 
 
 def sequence_summary(sequences: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row for each sequence with a successful run: means and spreads over runs, counts as whole numbers."""
-    real = runs.where("null_id = -1")
-    means = [c for v in ("weighted_u_nt", "weighted_u_tr", "weighted_u_non", "f_inter") for c in (F.avg(v).alias(f"mean_{v.removeprefix('weighted_')}"), sample_std(F.col(v)).alias(f"std_{v.removeprefix('weighted_')}"))]
-    counts = [half_even(F.avg(v)).alias(v) for v in ("n_structures", "n_significant_components", "total_basins", "total_triplets")]
-    first = F.min_by("n_processed_components", "run_id").alias("n_processed_components")
-    each = real.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_runs"), *means, *counts, first)
+    """One row for each sequence with a successful run, over these runs: means and spreads of the scores and of f_inter; means and spreads of
+    structures, basins and components as whole numbers; the mean of significant components; the first run's processed ones."""
+    real = successful(runs)
+    values = [*(f"weighted_{c}" for c in SCORES), "f_inter"]
+    means = [c for v in values for c in (F.avg(v).alias(f"mean_{v.removeprefix('weighted_')}"), sample_std(F.col(v)).alias(f"std_{v.removeprefix('weighted_')}"))]
+    counts = [c for v, name in COUNTED.items() for c in (half_even(F.avg(v)).alias(name), half_even(sample_std(F.col(v))).alias(f"std_{name}"))]
+    others = [F.avg("n_significant_components").alias("n_significant_components"), F.min_by("n_processed_components", "run_id").alias("n_processed_components"), half_even(F.avg("total_triplets")).alias("total_triplets")]
+    each = real.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_runs"), *means, *counts, *others)
     return sequences.select("seq_id", F.substring("seq", 1, 50).alias("seq"), "description", F.length("seq").alias("length")).join(each, "seq_id")
 
 
 def analyze(sequences: DataFrame, p: Params = Params(), structures: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All results: nodes, edges, components, runs, summary, and null_<model> with its summary for the model(s) of the parameters.
+    """All results: nodes, edges, members, components, runs, summary, failures, and null_<model> with its summary for the model(s) of the parameters.
 
     sequences: seq_id, description, seq; structures, if given: seq_id, run_id, null_id, ord, structure, energy.
+    failures: seq_id, run_id, reason of what could not be sampled, and of runs without a triplet.
     """
     drawn = kept(sample(sequences, p), "samples") if structures is None else structures
-    nodes, edges, components, runs = analyze_structures(drawn, sequences, p)
-    out = {"nodes": nodes, "edges": edges, "components": components, "runs": runs, "summary": sequence_summary(sequences, runs)}
+    nodes, edges, members, components, runs = analyze_structures(drawn, sequences, p)
+    none = runs.where("null_id = -1 and total_triplets = 0").select("seq_id", "run_id", F.lit("no component with three basins").alias("reason"))
+    broken = drawn.where("reason is not null").select("seq_id", "run_id", "reason") if "reason" in drawn.columns else none.where("false")
+    out = {"nodes": nodes, "edges": edges, "members": members, "components": components, "runs": runs, "summary": sequence_summary(sequences, runs), "failures": broken.unionByName(none)}
     models = {"none": (), "full_analysis": ("energy_shuffle", "topo_shuffle")}.get(p.null_model, (p.null_model,))
     for model in models:
-        samples = kept(null_runs(model, nodes, edges, sequences, p), "null_runs")
+        samples = kept(null_runs(model, nodes, edges, members, runs, sequences, p), "null_runs")
         out[f"null_{model}"] = samples
         out[f"null_{model}_summary"] = null_summary(runs, samples)
     return out
 
 
-def report(summary: DataFrame, null: DataFrame | None = None) -> DataFrame:
-    """Lines of the summary table: description cut to 28 characters and 'mean+/-std' texts; with a null summary, its means and p-values, N/A where missing."""
-    base = [
-        F.substring("description", 1, 28).alias("description"),
-        "length",
-        *[plus_minus(F.col(f"mean_{v}"), F.col(f"std_{v}")).alias(v) for v in SCORES],
-        plus_minus(F.col("mean_f_inter"), F.col("std_f_inter"), 3).alias("f_inter"),
-    ]
-    if null is None:
-        return summary.select("seq_id", *base)
-    other = null.select("seq_id", *[plus_minus(F.col(f"mean_{v}"), F.col(f"std_{v}")).alias(f"null_{v}") for v in SCORES], F.format_string("%.4f", "p_value").alias("p_value"))
-    joined = summary.select("seq_id", *base).join(other, "seq_id", "left")
-    return joined.fillna("N/A", [*[f"null_{v}" for v in SCORES], "p_value"])

@@ -7,14 +7,16 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import half_even, plus_minus, sample_std
 from ..params import Params
-from .analysis import SCORES
+from ..storage import numbered as number_rows
+from .analysis import COUNTED, SCORES
 
-COUNTS = ("n_structures", "n_significant_components", "total_basins", "total_triplets")
+#: Titles of the null models' tables, and the prefixes of their columns.
+MODELS = {"energy_shuffle": "energy", "topo_shuffle": "topo", "nt_shuffle": "nt", "random_basins": "control"}
 
 
 def parameter_lines(p: Params) -> list[str]:
@@ -22,27 +24,79 @@ def parameter_lines(p: Params) -> list[str]:
     return [f"{k} = {v}" for k, v in asdict(p).items()]
 
 
+def statistics_lines(found: dict[str, DataFrame]) -> list[str]:
+    """One line for each count over all sequences: of the tables' rows, and of runs that failed."""
+    names = ("nodes", "edges", "components", "runs", "summary", "failures")
+    return [f"{k}: {found[k].count()}" for k in names if k in found]
+
+
 def numbered(summary: DataFrame) -> DataFrame:
-    """Adds number, from 1 by length and seq_id; a report has one row for each sequence of its batch."""
-    return summary.withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("length", "seq_id")))
+    """Adds number, from 1 by length and seq_id."""
+    return number_rows(summary, "number", ["length", "seq_id"]).withColumn("number", F.col("number") + 1)
+
+
+def _mean(c: str) -> Column:
+    return F.avg(f"mean_{c}").alias(f"mean_{c}")
+
+
+def _std(c: str) -> Column:
+    return sample_std(F.col(f"mean_{c}")).alias(f"std_{c}")
 
 
 def ensemble(summary: DataFrame, null: DataFrame | None = None) -> DataFrame:
-    """One row over all sequences: means of the sequences' means, their spread (0 for a single one), counts as whole numbers."""
-    mean = lambda c: F.avg(f"mean_{c}").alias(f"mean_{c}")
-    std = lambda c: sample_std(F.col(f"mean_{c}")).alias(f"std_{c}")
-    values = [*SCORES, "f_inter"]
-    base = summary.agg(F.count(F.lit(1)).alias("n"), *[f(c) for c in values for f in (mean, std)], *[half_even(F.avg(c)).alias(c) for c in COUNTS])
+    """One row over all sequences: means of the sequences' means, their spread (0 for a single one), counts and their spread as whole numbers."""
+    counts = [c for v in COUNTED.values() for c in (half_even(F.avg(v)).alias(v), half_even(sample_std(F.col(v))).alias(f"std_{v}"))]
+    base = summary.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("length"), *[f(c) for c in (*SCORES, "f_inter") for f in (_mean, _std)], *counts)
     if null is None:
         return base
-    other = null.agg(*[f(c) for c in SCORES for f in (mean, std)], F.avg("p_value").alias("p_value"))
+    other = null.agg(*[f(c) for c in SCORES for f in (_mean, _std)], F.avg("p_value").alias("p_value"))
     return base.crossJoin(other.toDF(*[f"null_{c}" for c in other.columns]))  # one row each
 
 
-def ensemble_line(summary: DataFrame) -> DataFrame:
-    """The ensemble row in the columns of `report`."""
+def _score(c: str, before: str = "") -> Column:
+    return plus_minus(F.col(f"{before}mean_{c}"), F.col(f"{before}std_{c}"), 4 if c == "f_inter" else 2).alias(before + c)
+
+
+def _count(c: str) -> Column:
+    return F.concat(F.col(c).cast("string"), F.lit("+/-"), F.coalesce(F.col(f"std_{c}"), F.lit(0)).cast("string")).alias(c)
+
+
+def main_table(summary: DataFrame) -> DataFrame:
+    """number, description (28 characters), length, structures, basins, f_inter with four digits, scores with two; each 'mean+/-std'."""
+    return numbered(summary).select("number", F.substring("description", 1, 28).alias("description"), "length", _count("n_structures"), _count("n_basins"), _score("f_inter"), *map(_score, SCORES))
+
+
+def main_average(summary: DataFrame) -> DataFrame:
+    """The row over all sequences in the columns of `main_table`."""
     row = ensemble(summary)
-    return row.select(F.lit("average").alias("description"), *[plus_minus(F.col(f"mean_{c}"), F.col(f"std_{c}"), 3 if c == "f_inter" else 2).alias(c) for c in (*SCORES, "f_inter")])
+    return row.select(F.lit(None).cast("long").alias("number"), F.lit("average").alias("description"), F.round("length").cast("int").alias("length"), _count("n_structures"), _count("n_basins"), _score("f_inter"), *map(_score, SCORES))
+
+
+def null_table(summary: DataFrame, null: DataFrame) -> DataFrame:
+    """number, description, length, the real u_nt, the null model's scores and its p-value with four digits; N/A where there is no sample."""
+    other = null.select("seq_id", *[F.col(f"{k}_{c}").alias(f"null_{k}_{c}") for c in SCORES for k in ("mean", "std")], "p_value")
+    joined = numbered(summary).join(other, "seq_id", "left")
+    p = F.when(F.col("p_value").isNull(), "N/A").otherwise(F.format_string("%.4f", "p_value")).alias("p_value")
+    return joined.select("number", F.substring("description", 1, 28).alias("description"), "length", _score("u_nt").alias("real_u_nt"), *[_score(c, "null_") for c in SCORES], p)
+
+
+def null_average(null: DataFrame) -> DataFrame:
+    """The row over all sequences in the columns of `null_table`."""
+    row = null.agg(*[f(c) for c in SCORES for f in (_mean, _std)]).select(*[F.col(f"{k}_{c}").alias(f"null_{k}_{c}") for c in SCORES for k in ("mean", "std")])
+    empty = F.lit("")
+    return row.select(F.lit(None).cast("long").alias("number"), F.lit("average").alias("description"), F.lit(None).cast("int").alias("length"), empty.alias("real_u_nt"), *[_score(c, "null_") for c in SCORES], empty.alias("p_value"))
+
+
+def report_tables(found: dict[str, DataFrame], p: Params) -> dict[str, DataFrame]:
+    """The main table and one for each null model that was run, by title; with the average row where the parameters ask for it."""
+    main = main_table(found["summary"])
+    out = {"main": main.unionByName(main_average(found["summary"])) if p.ensemble_row else main}
+    for model, name in MODELS.items():
+        null = found.get(f"null_{model}_summary")
+        if null is not None:
+            table = null_table(found["summary"], null)
+            out[name] = table.unionByName(null_average(null)) if p.ensemble_row else table
+    return out
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -50,9 +104,10 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.format(kind).mode("overwrite").option("header", "true").save(path)
 
 
-def text_table(df: DataFrame, most: int = 1000) -> str:
-    """A report's rows, at most so many, as text of fixed widths."""
-    rows = [[str(c) for c in df.columns]] + [["" if x is None else str(x) for x in r] for r in df.limit(most).collect()]
+def text_table(df: DataFrame) -> str:
+    """A report's rows, one for each sequence, as text of fixed widths; by number, a row without one last."""
+    found = sorted(df.collect(), key=lambda r: ("number" in r and r["number"] is None, r["number"] if "number" in r and r["number"] is not None else 0))
+    rows = [[str(c) for c in df.columns]] + [["" if x is None else str(x) for x in r] for r in found]
     widths = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
     lines = ["  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in rows]
     return "\n".join([lines[0], "  ".join("-" * w for w in widths), *lines[1:]])

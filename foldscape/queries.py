@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import COMPLEMENTARY, normalize_sequence, plus_minus, sample_std
+from .functions import COMPLEMENTARY, normalize_sequence
 from .operators import basins as B
 from .operators import components as C
 from .operators import kinetics as K
@@ -24,11 +26,13 @@ from .operators import stats as R
 from .operators import structures as G
 from .operators import triplets as T
 from .operators.sampler import sample
-from .operators.spectral import spectrum_distances
+from .operators.spectral import basin_distances, noise_modes, rate_matrix, score_triplets, spectrum_distances
 from .params import Params
-from .plans.analysis import analyze_graph, run_stats
+from .plans.analysis import analyze_graph, graph_members, run_stats, with_scores
+from .plans.analysis import sequence_summary as sequence_summary_of
+from .plans.report import main_table, null_table
 from .sources import fasta
-from .storage import kept
+from .storage import kept, numbered
 
 PARAMS = Params(min_basin_size=2)
 NONE: list[str] = []
@@ -135,9 +139,9 @@ def landscape(spark: SparkSession, sf: str) -> DataFrame:
     """node_id, pair_ids, pair_hash, energy of the events' states."""
     k = F.get_json_object("props", "$.k").cast("int") % 12
     sets = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.array_sort(F.collect_set(k)).alias("pair_ids"))
-    states = sets.groupBy("pair_ids").agg(F.count(F.lit(1)).alias("n")).withColumns({"name": F.array_join("pair_ids", ","), "batch": F.lit(0)})
-    numbered = G.node_index(states, ["batch"], "name").withColumn("energy", -PARAMS.rt * F.log("n"))
-    return kept(numbered.select("node_id", "pair_ids", "pair_hash", "energy"), "landscape")
+    states = sets.groupBy("pair_ids").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.array_join("pair_ids", ","))
+    nodes = G.node_index(states, NONE, "name").withColumn("energy", -PARAMS.rt * F.log("n"))
+    return kept(nodes.select("node_id", "pair_ids", "pair_hash", "energy"), "landscape")
 
 
 def land_edges(nodes: DataFrame) -> DataFrame:
@@ -191,14 +195,8 @@ def seq_length_filter(spark, sf):
 @query(f"SELECT doc_id, CAST(length(seq) AS INT) AS length, row_number() OVER (ORDER BY length(seq), doc_id) AS place FROM (SELECT doc_id, {NORMALIZED} AS seq FROM documents) WHERE length(seq) >= 10")
 def seq_length_order(spark, sf):
     """The place of each sequence in length order: ranges of lengths are counted first, so no task has all rows."""
-    ordered = fasta.accepted(_doc_sequences(spark, sf)).select("doc_id", "length").repartitionByRange("length", "doc_id")
-    from pyspark.sql import Window
-
-    ordered = kept(ordered.withColumn("part", F.spark_partition_id()), "ordered")
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each part
-    before = ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("length", "doc_id")) + F.col("before")
-    return ordered.join(F.broadcast(before), "part").select("doc_id", "length", place.alias("place"))
+    found = numbered(fasta.accepted(_doc_sequences(spark, sf)).select("doc_id", "length"), "place", ["length", "doc_id"])
+    return found.withColumn("place", F.col("place") + 1)
 
 
 FASTA_SQL = """WITH files AS (SELECT doc_id, '>' || doc_id || ' ' || lang || chr(10) || text || chr(10) || '>' || doc_id || ' again' || chr(10) || reverse(text) AS file FROM documents),
@@ -434,6 +432,15 @@ def basin_topk(spark, sf):
     return B.top_basins(w, 2, 500, NONE).select("comp_id", "basin_id", "size", "rank")
 
 
+@query(f"""{LANDSCAPE}, {REACH}, {DESCENT}, {WEIGHTS} SELECT comp_id, basin_id, size, CAST(r AS INT) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY comp_id ORDER BY round(z, 9) DESC, basin_id) AS r, count(*) OVER (PARTITION BY comp_id) AS n FROM weights) WHERE r <= 500 AND n >= 3""")
+def basin_least(spark, sf):
+    """Components with three basins or more."""
+    n = landscape(spark, sf)
+    w = B.basin_weights(land_placed(n, land_edges(n)), PARAMS.rt, NONE).withColumn("z", F.round("z", 9))
+    return B.top_basins(w, 1, 500, NONE, least=3).select("comp_id", "basin_id", "size", "rank")
+
+
 # --- kinetics -----------------------------------------------------------------------
 
 RATES = f"""rates AS MATERIALIZED (SELECT e.src AS p, e.dst AS q, exp(-(greatest(a.energy, b.energy) - a.energy) / CAST({RT} AS DOUBLE)) AS k_pq,
@@ -490,9 +497,82 @@ def pairwise_distance(spark, sf):
     return K.pairwise_distances(points(spark, sf), NONE).withColumn("d", F.round("d", 6))
 
 
+#: Modes that SQL can make too: of mode m, the eigenvalue and each node's value.
+FIXED_MODES = range(1, 5)
+FIXED_SQL = f"""chi AS (SELECT comp_id, basin_id, node_id, sqrt(w) / sum(w) OVER (PARTITION BY comp_id, basin_id) AS chi FROM (SELECT *, exp(-(energy - e0) / CAST({RT} AS DOUBLE)) AS w FROM placed)),
+    x AS (SELECT comp_id, basin_id, m, CAST({RT} AS DOUBLE) / sqrt(m / 8.0::DOUBLE) * sum(chi * ((node_id * (2 * m + 1)) % 11 - 5) / 7.0::DOUBLE) AS x FROM chi, (SELECT unnest(range(1, 5)) AS m) GROUP BY comp_id, basin_id, m)
+    SELECT a.comp_id, a.basin_id AS a, b.basin_id AS b, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) AS d FROM x a JOIN x b ON a.comp_id = b.comp_id AND a.m = b.m AND a.basin_id < b.basin_id GROUP BY a.comp_id, a.basin_id, b.basin_id"""
+
+
+@query(f"{LANDSCAPE}, {REACH}, {DESCENT}, {FIXED_SQL}")
+def mode_distance(spark, sf):
+    """Distances of basins from fixed modes by DataFrame functions: vectors, projection, weights by mode and energy, distances."""
+    n = landscape(spark, sf)
+    placed = land_placed(n, land_edges(n))
+    m = F.explode(F.array(*map(F.lit, FIXED_MODES))).alias("mode")
+    modes = placed.select("comp_id", "node_id", m).withColumn("v", ((F.col("node_id") * (2 * F.col("mode") + 1)) % 11 - 5) / 7.0)
+    values = placed.select("comp_id").distinct().select("comp_id", m).withColumn("eigenvalue", -F.col("mode") / 8.0)
+    points = K.weighted_coordinates(K.project_vectors(K.basin_vectors(placed, PARAMS.rt, NONE), modes, NONE), values, PARAMS.rt, keys=NONE)
+    return K.pairwise_distances(points, NONE).withColumn("d", F.round("d", 6))
+
+
+@query(f"{LANDSCAPE}, {REACH}, {DESCENT}, {FIXED_SQL}")
+def kernel_distance(spark, sf):
+    """The same by the function that the analysis runs for each component."""
+    n = landscape(spark, sf)
+
+    def solve(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("node_id")
+        ids = t["node_id"].to_numpy()
+        names = np.unique(t["basin_id"])
+        m = np.array(FIXED_MODES)
+        members = [np.flatnonzero(t["basin_id"].to_numpy() == x) for x in names]
+        d = basin_distances(t["energy"].to_numpy(), members, -m / 8.0, ((ids[:, None] * (2 * m + 1)) % 11 - 5) / 7.0, PARAMS.rt, 1.0)
+        i, j = np.triu_indices(len(names), 1)
+        return pd.DataFrame({"comp_id": key[0], "a": names[i], "b": names[j], "d": d[i, j]})
+
+    return land_placed(n, land_edges(n)).groupBy("comp_id").applyInPandas(solve, "comp_id int, a long, b long, d double").withColumn("d", F.round("d", 6))
+
+
+def _kernel_rates(spark: SparkSession, sf: str, emit, schema: str) -> DataFrame:
+    """emit(node ids, matrix) of the rate matrix that the analysis makes for each component."""
+    n = landscape(spark, sf)
+    placed = land_placed(n, land_edges(n))
+    inner = kept(J.edges_within(land_edges(n), placed.select("node_id", "comp_id"), NONE).select("comp_id", "src", "dst"), "inner")
+
+    def solve(key: tuple, t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("node_id")
+        ids = t["node_id"].to_numpy()
+        return emit(ids, rate_matrix(t["energy"].to_numpy(), np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy()), PARAMS.rt, 1.0)) if len(e) else pd.DataFrame()
+
+    return placed.groupBy("comp_id").cogroup(inner.groupBy("comp_id")).applyInPandas(solve, schema)
+
+
+@query(f"{LANDSCAPE}, {RATES} SELECT p, q, round(s_pq, 6) AS s_pq FROM rates")
+def kernel_rates(spark, sf):
+    emit = lambda ids, m: pd.DataFrame({"p": ids[m.p], "q": ids[m.q], "s_pq": m.s.round(6)})
+    return _kernel_rates(spark, sf, emit, "p long, q long, s_pq double")
+
+
+@query(f"{LANDSCAPE}, {RATES} SELECT p, round(-sum(k), 6) AS d FROM (SELECT p, k_pq AS k FROM rates UNION ALL SELECT q, k_qp FROM rates) GROUP BY p")
+def kernel_diagonal(spark, sf):
+    emit = lambda ids, m: pd.DataFrame({"p": ids, "d": m.diagonal})
+    return _kernel_rates(spark, sf, emit, "p long, d double").withColumn("d", F.round("d", 6))
+
+
+@query("""WITH m AS (SELECT user_id, abs(value) AS size, row_number() OVER (PARTITION BY user_id ORDER BY abs(value)) - 1 AS rank, lag(abs(value)) OVER (PARTITION BY user_id ORDER BY abs(value)) AS before FROM events)
+    SELECT user_id, CAST(coalesce(min(CASE WHEN CASE WHEN before IS NULL THEN false WHEN before < 1e-30 THEN size > 1e-30 ELSE size / before > 1.5 END THEN rank END), 1) AS INT) AS num_noise FROM m GROUP BY user_id""")
+def kernel_noise_modes(spark, sf):
+    def count(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]], "num_noise": [noise_modes(np.sort(t["value"].abs().to_numpy()), 1.5)]})
+
+    return table(spark, sf, "events").select("user_id", "value").groupBy("user_id").applyInPandas(count, "user_id long, num_noise int")
+
+
 def _spectra(spark: SparkSession, sf: str) -> DataFrame:
     n = landscape(spark, sf)
-    return kept(analyze_graph(n.select(F.lit(0).alias("batch"), "*"), land_edges(n).select(F.lit(0).alias("batch"), "*"), PARAMS, ["batch"]), "spectra")
+    n, e = n.select(F.lit(0).alias("batch"), "*"), land_edges(n).select(F.lit(0).alias("batch"), "*")
+    return kept(analyze_graph(n, e, graph_members(n, e, ["batch"]), PARAMS, ["batch"]), "spectra")
 
 
 @query(None)
@@ -525,6 +605,19 @@ def ultrametricity_score(spark, sf):
     return point_scores(spark, sf).select("comp_id", "num_triplets", *[F.round(c, 6).alias(c) for c in ("u_nt", "u_tr", "u_non")])
 
 
+@query(f"WITH {POINTS}, {TRIPLES} SELECT comp_id, num_triplets, round(u_nt, 6) AS u_nt, round(u_tr, 6) AS u_tr, round(u_non, 6) AS u_non FROM scores")
+def kernel_scores(spark, sf):
+    """The same by the function that the analysis runs for each component, a row of the matrix at a time."""
+
+    def solve(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(t.sort_values("id")["vector"].to_numpy())
+        nt, tr, non = score_triplets(np.stack([np.sqrt(((x - y) ** 2).sum(axis=1)) for y in x]), PARAMS)
+        return pd.DataFrame({"comp_id": [key[0]], "n_nontrivial": [nt], "n_trivial": [tr], "n_non": [non]})
+
+    found = points(spark, sf).groupBy("comp_id").applyInPandas(solve, "comp_id int, n_nontrivial long, n_trivial long, n_non long")
+    return with_scores(found).where("num_triplets > 0").select("comp_id", "num_triplets", *[F.round(c, 6).alias(c) for c in ("u_nt", "u_tr", "u_non")])
+
+
 @query(f"""WITH {POINTS}, {TRIPLES} SELECT CAST(sum(num_triplets) AS BIGINT) AS total_triplets, round(sum(u_nt * num_triplets) / sum(num_triplets), 6) AS weighted_u_nt,
     round(sum(u_tr * num_triplets) / sum(num_triplets), 6) AS weighted_u_tr, round(sum(u_non * num_triplets) / sum(num_triplets), 6) AS weighted_u_non FROM scores""")
 def weighted_component_score(spark, sf):
@@ -562,17 +655,26 @@ def null_mean_std(spark, sf):
 NULLS = 3
 
 
-@query(f"{LANDSCAPE} SELECT CAST(x AS INT) AS null_id, round(energy, 6) + 0.0 AS energy, count(*) AS n FROM nodes, (SELECT unnest(range({NULLS})) AS x) GROUP BY ALL")
+def _with_moved(found: DataFrame, moved: DataFrame) -> DataFrame:
+    """Adds to each sample's rows whether anything in it stands elsewhere than in the original. moved: null_id, differs."""
+    return found.join(moved.groupBy("null_id").agg(F.max("differs").alias("moved")), "null_id")
+
+
+@query(f"{LANDSCAPE} SELECT CAST(x AS INT) AS null_id, round(energy, 6) + 0.0 AS energy, count(*) AS n, true AS moved FROM nodes, (SELECT unnest(range({NULLS})) AS x) GROUP BY ALL")
 def energy_shuffle(spark, sf):
-    """The energies of each sample, which are those of the landscape; tests hold the places against brute force."""
-    n = N.energy_shuffle(landscape(spark, sf), NULLS, PARAMS.seed, NONE)
-    return n.groupBy("null_id", F.round("energy", 6).alias("energy")).agg(F.count(F.lit(1)).alias("n"))
+    """The energies of each sample, which are those of the landscape, on other nodes; tests hold the places against a slow version."""
+    own = landscape(spark, sf)
+    n = N.energy_shuffle(own, NULLS, PARAMS.seed, NONE)
+    moved = n.join(own.select("node_id", F.col("energy").alias("before")), "node_id").select("null_id", (F.col("energy") != F.col("before")).alias("differs"))
+    return _with_moved(n.groupBy("null_id", F.round("energy", 6).alias("energy")).agg(F.count(F.lit(1)).alias("n")), moved)
 
 
-@query(f"{LANDSCAPE} SELECT CAST(x AS INT) AS null_id, src AS node_id, count(*) AS degree FROM both_ways, (SELECT unnest(range({NULLS})) AS x) GROUP BY ALL")
+@query(f"{LANDSCAPE} SELECT CAST(x AS INT) AS null_id, src AS node_id, count(*) AS degree, true AS moved FROM both_ways, (SELECT unnest(range({NULLS})) AS x) GROUP BY ALL")
 def edge_swap_degrees(spark, sf):
-    e = N.topology_shuffle(land_edges(landscape(spark, sf)), NULLS, 10, PARAMS.seed, NONE)
-    return J.both_ways(e, ["null_id"]).groupBy("null_id", F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
+    own = land_edges(landscape(spark, sf))
+    e = kept(N.topology_shuffle(own, NULLS, 10, PARAMS.seed, NONE), "swapped")
+    moved = e.join(own.withColumn("same", F.lit(True)), ["src", "dst"], "left").select("null_id", F.col("same").isNull().alias("differs"))
+    return _with_moved(J.both_ways(e, ["null_id"]).groupBy("null_id", F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree")), moved)
 
 
 @query(None)
@@ -580,17 +682,21 @@ def topology_shuffle(spark, sf):
     return N.topology_shuffle(land_edges(landscape(spark, sf)), NULLS, 10, PARAMS.seed, NONE)
 
 
-@query(f"WITH {SEQS} SELECT seq_id, CAST(x AS INT) AS null_id, length(replace(seq, 'A', 'AA')) - length(seq) AS a, length(replace(seq, 'C', 'CC')) - length(seq) AS c, length(replace(seq, 'G', 'GG')) - length(seq) AS g, length(replace(seq, 'U', 'UU')) - length(seq) AS u FROM seqs, (SELECT unnest(range({NULLS})) AS x)")
+@query(f"WITH {SEQS} SELECT seq_id, CAST(x AS INT) AS null_id, length(replace(seq, 'A', 'AA')) - length(seq) AS a, length(replace(seq, 'C', 'CC')) - length(seq) AS c, length(replace(seq, 'G', 'GG')) - length(seq) AS g, length(replace(seq, 'U', 'UU')) - length(seq) AS u, true AS moved FROM seqs, (SELECT unnest(range({NULLS})) AS x)")
 def nt_shuffle_composition(spark, sf):
-    s = N.letter_shuffle(part_sequences(spark, sf), NULLS, PARAMS.seed)
-    return s.select("seq_id", "null_id", *[F.length(F.regexp_replace("seq", f"[^{x}]", "")).cast("long").alias(x.lower()) for x in "ACGU"])
+    own = part_sequences(spark, sf)
+    s = kept(N.letter_shuffle(own.withColumn("before", F.col("seq")), NULLS, PARAMS.seed), "shuffled")
+    found = s.select("seq_id", "null_id", *[F.length(F.regexp_replace("seq", f"[^{x}]", "")).cast("long").alias(x.lower()) for x in "ACGU"])
+    return _with_moved(found, s.select("null_id", (F.col("seq") != F.col("before")).alias("differs")))
 
 
-@query(f"{LANDSCAPE}, {REACH}, {DESCENT} SELECT CAST(x AS INT) AS null_id, comp_id, basin_id, count(*) AS size FROM placed, (SELECT unnest(range({NULLS})) AS x) GROUP BY ALL")
+@query(f"{LANDSCAPE}, {REACH}, {DESCENT} SELECT CAST(x AS INT) AS null_id, comp_id, basin_id, count(*) AS size, true AS moved FROM placed, (SELECT unnest(range({NULLS})) AS x) GROUP BY ALL")
 def random_basins(spark, sf):
     n = landscape(spark, sf)
-    got = N.random_basins(land_placed(n, land_edges(n)), NULLS, PARAMS.seed, NONE)
-    return got.groupBy("null_id", "comp_id", "basin_id").agg(F.count(F.lit(1)).alias("size"))
+    own = land_placed(n, land_edges(n))
+    got = kept(N.random_basins(own, NULLS, PARAMS.seed, NONE), "dealt")
+    moved = got.join(own.select("node_id", F.col("basin_id").alias("before")), "node_id").select("null_id", (F.col("basin_id") != F.col("before")).alias("differs"))
+    return _with_moved(got.groupBy("null_id", "comp_id", "basin_id").agg(F.count(F.lit(1)).alias("size")), moved)
 
 
 @query(None)
@@ -600,8 +706,9 @@ def energy_shuffle_scores(spark, sf):
     e = land_edges(n)
     shuffled = kept(N.energy_shuffle(n, NULLS, PARAMS.seed, NONE), "shuffled")
     edges = kept(N.with_samples(e, NULLS).select("null_id", "src", "dst"), "shuffled_edges")
-    components = kept(analyze_graph(shuffled, edges, PARAMS, ["null_id"]), "shuffled_components")
-    return run_stats(components, shuffled, edges, PARAMS, ["null_id"])
+    members = kept(N.with_samples(C.connected_components(n, e, NONE), NULLS), "members")
+    components = kept(analyze_graph(shuffled, edges, members, PARAMS, ["null_id"]), "shuffled_components")
+    return run_stats(components, shuffled, members, PARAMS, ["null_id"])
 
 
 # --- repeats and reports ------------------------------------------------------------
@@ -626,12 +733,54 @@ def ensemble_average(spark, sf):
     return R.ensemble_row(each, ["u"]).select("n", F.round("mean_u", 6).alias("mean_u"), F.round("std_u", 6).alias("std_u"))
 
 
-@query("""SELECT p_partkey, substr(any_value(p_name), 1, 28) AS description, coalesce(printf('%.2f+/-%.2f', avg(sqrt(l_extendedprice)), CASE WHEN count(l_orderkey) > 1 THEN stddev_samp(sqrt(l_extendedprice)) WHEN count(l_orderkey) = 1 THEN 0 END), 'N/A') AS u_nt
-    FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""")
+#: Line items as runs: a run of a supplier whose key is divisible by 5 has no triplet and has failed.
+RUNS = """runs AS (SELECT l_partkey AS seq_id, l_orderkey * 10 + l_linenumber AS run_id, sqrt(l_extendedprice) AS u_nt, sqrt(l_extendedprice + 1) AS u_tr, sqrt(l_extendedprice + 2) AS u_non, sqrt(l_extendedprice) / 1000 AS f,
+        CAST(l_quantity AS BIGINT) AS n_structures, l_linenumber AS n_basins, l_suppkey % 7 AS n_components, l_suppkey % 3 AS n_large, l_linenumber AS n_processed, l_suppkey % 5 AS total_triplets FROM lineitem),
+    summary AS (SELECT seq_id, count(*) AS n_runs, avg(u_nt) AS mean_u_nt, avg(u_tr) AS mean_u_tr, avg(u_non) AS mean_u_non, avg(f) AS mean_f_inter,
+        CASE WHEN count(*) > 1 THEN stddev_samp(u_nt) ELSE 0 END AS std_u_nt, CASE WHEN count(*) > 1 THEN stddev_samp(u_tr) ELSE 0 END AS std_u_tr, CASE WHEN count(*) > 1 THEN stddev_samp(u_non) ELSE 0 END AS std_u_non, CASE WHEN count(*) > 1 THEN stddev_samp(f) ELSE 0 END AS std_f_inter,
+        CAST(round_even(avg(n_structures), 0) AS BIGINT) AS n_structures, CAST(round_even(CASE WHEN count(*) > 1 THEN stddev_samp(n_structures) ELSE 0 END, 0) AS BIGINT) AS std_n_structures,
+        CAST(round_even(avg(n_basins), 0) AS BIGINT) AS n_basins, CAST(round_even(CASE WHEN count(*) > 1 THEN stddev_samp(n_basins) ELSE 0 END, 0) AS BIGINT) AS std_n_basins,
+        CAST(round_even(avg(n_components), 0) AS BIGINT) AS n_components, CAST(round_even(CASE WHEN count(*) > 1 THEN stddev_samp(n_components) ELSE 0 END, 0) AS BIGINT) AS std_n_components,
+        avg(n_large) AS n_significant_components, arg_min(n_processed, run_id) AS n_processed_components, CAST(round_even(avg(total_triplets), 0) AS BIGINT) AS total_triplets
+        FROM runs WHERE total_triplets > 0 GROUP BY seq_id)"""
+
+
+def _run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of the plans over line items as runs and parts as sequences."""
+    price = F.col("l_extendedprice")
+    runs = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("seq_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run_id"), F.lit(-1).alias("null_id"),
+        F.sqrt(price).alias("weighted_u_nt"), F.sqrt(price + 1).alias("weighted_u_tr"), F.sqrt(price + 2).alias("weighted_u_non"), (F.sqrt(price) / 1000).alias("f_inter"),
+        F.col("l_quantity").cast("long").alias("n_structures"), F.col("l_linenumber").alias("total_basins"), (F.col("l_suppkey") % 7).alias("n_components"),
+        (F.col("l_suppkey") % 3).alias("n_significant_components"), F.col("l_linenumber").alias("n_processed_components"), (F.col("l_suppkey") % 5).alias("total_triplets"),
+    )
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("description"), F.col("p_type").alias("seq"))
+    return sequence_summary_of(parts, runs)
+
+
+@query(f"""WITH {RUNS} SELECT s.* REPLACE (round(mean_u_nt, 6) AS mean_u_nt, round(mean_u_tr, 6) AS mean_u_tr, round(mean_u_non, 6) AS mean_u_non, round(mean_f_inter, 8) AS mean_f_inter, round(std_u_nt, 6) AS std_u_nt, round(std_u_tr, 6) AS std_u_tr,
+        round(std_u_non, 6) AS std_u_non, round(std_f_inter, 8) AS std_f_inter, round(n_significant_components, 6) AS n_significant_components), substr(p_type, 1, 50) AS seq, p_name AS description, CAST(length(p_type) AS INT) AS length FROM summary s JOIN part ON p_partkey = seq_id""")
+def sequence_summary(spark, sf):
+    got = _run_summary(spark, sf)
+    digits = {c: 8 if c.endswith("f_inter") else 6 for c in got.columns if c.startswith(("mean_", "std_u", "std_f")) or c == "n_significant_components"}
+    return got.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query(f"""WITH {RUNS} SELECT row_number() OVER (ORDER BY length(p_type), seq_id) AS number, substr(p_name, 1, 28) AS description, CAST(length(p_type) AS INT) AS length, n_structures || '+/-' || std_n_structures AS n_structures, n_basins || '+/-' || std_n_basins AS n_basins,
+        printf('%.4f+/-%.4f', mean_f_inter, std_f_inter) AS f_inter, printf('%.2f+/-%.2f', mean_u_nt, std_u_nt) AS u_nt, printf('%.2f+/-%.2f', mean_u_tr, std_u_tr) AS u_tr, printf('%.2f+/-%.2f', mean_u_non, std_u_non) AS u_non FROM summary JOIN part ON p_partkey = seq_id""")
 def summary_report(spark, sf):
-    u = F.sqrt("l_extendedprice")
-    runs = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg(u).alias("mean"), sample_std(u).alias("std"))
-    return table(spark, sf, "part").join(runs, "p_partkey", "left").select("p_partkey", F.substring("p_name", 1, 28).alias("description"), plus_minus(F.col("mean"), F.col("std")).alias("u_nt"))
+    return main_table(_run_summary(spark, sf))
+
+
+@query(f"""WITH {RUNS}, samples AS (SELECT l_suppkey AS seq_id, count(*) AS n, avg(sqrt(l_quantity)) AS u, CASE WHEN count(*) > 1 THEN stddev_samp(sqrt(l_quantity)) ELSE 0 END AS s FROM lineitem GROUP BY l_suppkey)
+    SELECT row_number() OVER (ORDER BY length(p_type), a.seq_id) AS number, substr(p_name, 1, 28) AS description, CAST(length(p_type) AS INT) AS length, printf('%.2f+/-%.2f', mean_u_nt, std_u_nt) AS real_u_nt,
+        coalesce(printf('%.2f+/-%.2f', u, s), 'N/A') AS null_u_nt, coalesce(printf('%.2f+/-%.2f', u, s), 'N/A') AS null_u_tr, coalesce(printf('%.2f+/-%.2f', u, s), 'N/A') AS null_u_non, CASE WHEN u IS NULL THEN 'N/A' ELSE printf('%.4f', 1.0 / (n + 1)) END AS p_value
+    FROM summary a JOIN part ON p_partkey = a.seq_id LEFT JOIN samples b ON b.seq_id = a.seq_id""")
+def null_report(spark, sf):
+    """The table of a null model, whose samples are line items by supplier; most parts have none."""
+    u = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("seq_id"), *[F.sqrt("l_quantity").alias(c) for c in ("u_nt", "u_tr", "u_non")])
+    null = R.mean_std(u, ["u_nt", "u_tr", "u_non"], ["seq_id"])
+    return null_table(_run_summary(spark, sf), null.withColumn("p_value", 1 / (F.col("n") + 1)))
 
 
 @query(None)
@@ -639,7 +788,8 @@ def full_pipeline(spark, sf):
     """The landscape from its states to its scores."""
     n = landscape(spark, sf).select(F.lit(0).alias("batch"), "*")
     e = land_edges(n).select(F.lit(0).alias("batch"), "src", "dst")
-    return run_stats(kept(analyze_graph(n, e, PARAMS, ["batch"]), "components"), n, e, PARAMS, ["batch"])
+    m = graph_members(n, e, ["batch"])
+    return run_stats(kept(analyze_graph(n, e, m, PARAMS, ["batch"]), "components"), n, m, PARAMS, ["batch"])
 
 
 QUERIES = {k: f for k, (f, _) in _q.items()}

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize_sequence
+from ..storage import kept, numbered
 
 MIN_LENGTH = 10
 
@@ -14,11 +20,48 @@ def read_fasta(spark: SparkSession, folder: str) -> DataFrame:
     """file, ordinal, record of every record in the folder's *.fasta files (not below it).
 
     Records are split by the reader itself, so a large file is read by many tasks; ordinal only orders records of one file.
+    What stands ahead of a file's first > is no record. A file that can't be read gives no rows; `unreadable` names it.
     """
-    rows = spark.read.option("lineSep", "\n>").option("pathGlobFilter", "*.fasta").text(folder)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal"), F.regexp_replace("value", "\r", "").alias("record"))
-    first = F.col("record").startswith(">")
-    return rows.withColumn("record", F.when(first, F.substring("record", 2, 1 << 30)).otherwise(F.col("record")))
+    return _records(_lines(spark.read.option("ignoreCorruptFiles", "true"), folder, F.monotonically_increasing_id()))
+
+
+def _lines(reader, folder: str, ordinal: Column) -> DataFrame:
+    rows = reader.option("lineSep", "\n>").option("pathGlobFilter", "*.fasta").text(folder)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), ordinal.alias("ordinal"), F.regexp_replace("value", "\r", "").alias("record"))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Only a file's first row has its > still, or is what stands ahead of one: the first row that a task reads of block 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            file, block, record = (b.column(c) for c in ("file", "block", "record"))
+            first = np.zeros(b.num_rows, dtype=bool)
+            at = [(f, k) for f, k in zip(file.to_pylist(), block.to_pylist(), strict=True)]
+            for i, x in enumerate(at):
+                first[i] = x != before and x[1] == 0
+                before = x
+            marked = pc.starts_with(record, ">").to_numpy(zero_copy_only=False)
+            body = pc.if_else(pa.array(first & marked), pc.utf8_slice_codeunits(record, 1), record)
+            out = pa.RecordBatch.from_arrays([file, b.column("ordinal"), body], ["file", "ordinal", "record"])
+            yield out.filter(pa.array(~first | marked))
+
+    return lines.mapInArrow(run, "file string, ordinal long, record string")
+
+
+def unreadable(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
+    """file and reason of the folder's files that gave no record."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.fasta").load(folder).select(F.col("_metadata.file_path").alias("file"))
+    return listed.join(records.select("file").distinct(), "file", "left_anti").withColumn("reason", F.lit("no record could be read"))
+
+
+def load_folder(spark: SparkSession, folder: str, least: int = MIN_LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(seq_id, file, description, seq, length of accepted sequences, numbered from the shortest; file, description, reason of what was left out)."""
+    parsed = kept(parse_records(read_fasta(spark, folder)), "fasta")
+    good = numbered(accepted(parsed, least), "seq_id", ["length", "file", "ordinal"]).select("seq_id", "file", "description", "seq", "length")
+    bad = rejected(parsed, least).select("file", "description", "reason")
+    return good, bad.unionByName(unreadable(spark, folder, parsed), allowMissingColumns=True)
 
 
 def split_fasta(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, one of our own, for tests in local mode."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own in local mode; elsewhere an error,
+    because the machines of a cluster don't see one another's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="foldscape-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -30,16 +36,53 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it again: cuts lineage and outlives executors."""
     where = shared_folder(df.sparkSession, name)
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    out._kept_in = where
+    return out
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what `kept` wrote for this DataFrame, which can't be used any more."""
+    where = df._kept_in
+    if where in _made:
+        _made.remove(where)
+        _delete(df.sparkSession, where)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all folders that this process has made; DataFrames that read them can't be used any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _made.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the folders made inside, once nothing reads them any more."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for where in [w for w in _made if w not in before]:
+            _made.remove(where)
+            _delete(spark, where)
+
+
+def numbered(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """Adds a column with the row's number from 0 in the order of some columns, which must tell all rows apart.
+
+    Rows are dealt into ranges of the order, each range is counted, and numbers begin where those of the ranges before
+    end: no task has all rows.
+    """
+    ranges = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    begin = ranges.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_begin")
+    return ranges.join(F.broadcast(begin), "_part").withColumn(name, place.cast("long")).drop("_part", "_begin")
 
 
 def join_batch(df: DataFrame, of_batch: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.fasta import accepted, parse_records
+from ..sources.fasta import _lines, _records, accepted, parse_records
 
 
 def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
     """Streaming file, record, description, seq, length of accepted records of new *.fasta files in a folder."""
-    rows = spark.readStream.option("lineSep", "\n>").option("pathGlobFilter", "*.fasta").text(folder)
-    record = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
-    return accepted(parse_records(rows.select(F.col("_metadata.file_path").alias("file"), record.alias("record"))))
+    return accepted(parse_records(_records(_lines(spark.readStream, folder, F.lit(0).cast("long"))).drop("ordinal")))
 
 
 def sink_sequences(stream: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -164,16 +164,18 @@ def test_kinetic_distance(spark, prefactor):
     p = Params(min_basin_size=1, alpha=0.0, num_modes=50, prefactor=prefactor)
     n = nodes_of(spark, PATH).withColumn("batch", F.lit(0))
     e = edges_of(spark, [(k, k + 1) for k in range(6)]).withColumn("batch", F.lit(0))
-    r = analysis.analyze_graph(n, e, p, ["batch"]).first()
+    m = analysis.graph_members(n, e, ["batch"])
+    found = analysis.analyze_graph(n, e, m, p, ["batch"]).cache()
+    r = found.first()
     assert np.allclose(np.array(r.eigenvalues)[1:] / prefactor, [-0.0198449, -0.08091003, -1.10461961, -1.49110668, -2.09341206], atol=1e-7)
     assert r.num_noise_modes == 1 and r.num_phys_modes == 5 and (r.n_nontrivial, r.n_trivial, r.n_non) == (0, 0, 1)
     named = {frozenset((r.basins[a], r.basins[b])): d for (a, b), d in zip([(0, 1), (0, 2), (1, 2)], r.distances, strict=True)}
     assert np.allclose([named[frozenset(k)] for k in ((0, 4), (0, 6), (4, 6))], [4.589977, 6.365706, 4.316244], atol=1e-6)
-    stats_row = analysis.run_stats(analysis.analyze_graph(n, e, p, ["batch"]), n, e, p, ["batch"]).first()
+    stats_row = analysis.run_stats(found, n, m, p, ["batch"]).first()
     assert stats_row.weighted_u_non == 100 and stats_row.f_inter == 0 and stats_row.total_basins == 3
     from foldscape.operators.spectral import spectrum_distances
 
-    flat = spectrum_distances(analysis.analyze_graph(n, e, p, ["batch"]), ["batch"])
+    flat = spectrum_distances(found, ["batch"])
     assert np.allclose([x.d for x in flat.orderBy("a", "b").collect()], r.distances)
 
 
@@ -238,6 +240,48 @@ def test_null_models_keep_what_they_must(spark):
     assert all(sorted(x) == sorted("AAAACCCCGGGGUUUU") for x in got) and len(set(got)) == 3
 
 
+def test_places_of_the_null_models(spark):
+    """The places of each sample against a slow version: the hashes that the models order by are asked for one at a time."""
+    def hashed(*values):
+        return spark.range(1).select(F.xxhash64(*values).alias("h")).first().h
+
+    energies = [5.0, 3.0, 8.0, 1.0, 9.0, 2.0]
+    n = nodes_of(spark, energies).withColumns({"comp_id": F.lit(0), "basin_id": F.when(F.col("node_id") < 4, (F.col("node_id") / 2).cast("long"))})
+    seed = 11
+    for k in range(2):
+        order = sorted(range(6), key=lambda v: (hashed(F.lit(seed + nulls.ENERGY + k), F.lit(v).cast("long")), v))  # noqa: B023
+        got = {r.node_id: r.energy for r in nulls.energy_shuffle(n, 2, seed, []).where(f"null_id = {k}").collect()}
+        assert [got[v] for v in range(6)] == [energies[v] for v in order]
+        order = sorted(range(6), key=lambda v: (hashed(F.lit(seed + nulls.RANDOM_BASINS + k), F.lit(v).cast("long")), v))  # noqa: B023
+        got = {r.node_id: r.basin_id for r in nulls.random_basins(n, 2, seed, []).where(f"null_id = {k}").collect()}
+        assert [got[v] for v in order] == [0, 0, 1, 1, None, None]
+    text = "ACGUUGCA"
+    s = spark.createDataFrame([(7, text)], "seq_id long, seq string")
+    for r in nulls.letter_shuffle(s, 2, seed).collect():
+        order = sorted(range(8), key=lambda i: (hashed(F.lit(i), F.lit(seed + nulls.LETTERS + r.null_id), F.lit(7).cast("long")), i))  # noqa: B023
+        assert r.seq == "".join(text[i] for i in order)
+
+
+def test_swaps_against_a_slow_version():
+    """The same draws, with the edges as a list that is searched through."""
+    rng = np.random.RandomState(1)
+    edges = sorted({tuple(sorted(x)) for x in rng.randint(0, 12, (30, 2)).tolist() if x[0] != x[1]})
+    got = nulls.swap_edges(*map(np.array, zip(*edges, strict=True)), 40, np.random.RandomState(5))
+    slow, draws = [set(e) for e in edges], np.random.RandomState(5)
+    ordered, done = [tuple(e) for e in edges], 0
+    picks, coins = draws.randint(0, len(edges), (4000, 2)).tolist(), (draws.random_sample(4000) < 0.5).tolist()
+    for (i, j), coin in zip(picks, coins, strict=True):
+        (a, b), (c, d) = ordered[i], ordered[j][:: -1 if coin else 1]
+        new = [{a, d}, {c, b}]
+        if len({a, b, c, d}) == 4 and not any(x in slow for x in new):
+            slow[i], slow[j] = new
+            ordered[i], ordered[j] = tuple(sorted(new[0])), tuple(sorted(new[1]))
+            done += 1
+            if done == 40:
+                break
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == ordered
+
+
 def test_sampler():
     seq = "GGGAAACCCAGGCGAAAGCC"
     p = Params(max_structures=300)
@@ -301,33 +345,100 @@ def test_sampling_of_every_part(spark, sf, monkeypatch):
 def test_degenerate_inputs(spark):
     n = nodes_of(spark, [0, 1, 2]).withColumn("batch", F.lit(0))
     e = edges_of(spark, [(0, 1)]).withColumn("batch", F.lit(0))
-    got = analysis.analyze_graph(n, e, P, ["batch"])
+    m = analysis.graph_members(n, e, ["batch"])
+    got = analysis.analyze_graph(n, e, m, P, ["batch"])
     assert got.count() == 0
-    r = analysis.run_stats(got, n, e, P, ["batch"]).first()
-    assert r.weighted_u_nt == 0 and r.f_inter == 0 and r.total_triplets == 0 and r.n_significant_components == 0
+    r = analysis.run_stats(got, n, m, P, ["batch"]).first()
+    assert r.weighted_u_nt == 0 and r.f_inter == 0 and r.total_triplets == 0 and r.n_significant_components == 0 and r.n_components == 2
 
 
 @pytest.mark.parametrize("model", ["full_analysis", "random_basins", "nt_shuffle"])
 def test_whole_analysis(spark, model, tmp_path):
     seqs = spark.createDataFrame([(1, "first", "GGGAAACCCAGGGAAACCC"), (2, "second", "GGCGAAAGCCAAGGCAAAGCC")], "seq_id long, description string, seq string")
-    p = Params(num_runs=2, max_structures=60, min_basin_size=1, alpha=0.001, null_model=model, num_null=2)
+    p = Params(num_runs=2, max_structures=400, min_basin_size=1, alpha=0.001, null_model=model, num_null=2)
     out = analysis.analyze(seqs, p)
     summary = out["summary"].collect()
-    assert {r.seq_id for r in summary} == {1, 2} and all(r.n_runs == 2 and r.n_structures > 2 for r in summary)
+    assert {r.seq_id for r in summary} == {1, 2} and all(r.n_runs == 1 and r.n_structures > 2 for r in summary)  # the other run of each has no triplet
+    assert {(r.seq_id, r.run_id) for r in out["failures"].collect()} == {(1, 1), (2, 0)}
     for r in summary:
-        assert math.isclose(r.mean_u_nt + r.mean_u_tr + r.mean_u_non, 100, abs_tol=1e-6) or r.total_triplets == 0
+        assert math.isclose(r.mean_u_nt + r.mean_u_tr + r.mean_u_non, 100, abs_tol=1e-6)
     names = [k for k in out if k.endswith("_summary")]
     assert len(names) == (2 if model == "full_analysis" else 1)
-    text = analysis.report(out["summary"], out[names[0]])
-    assert {"description", "u_nt", "null_u_nt", "p_value"} <= set(text.columns) and text.count() == 2
-    row = reporting.ensemble(out["summary"], out[names[0]]).first()
+    null = out[names[0]]
+    tables = reporting.report_tables(out, Params(**{**p.__dict__, "ensemble_row": True}))
+    assert set(tables) == {"main"} | {v for k, v in reporting.MODELS.items() if f"null_{k}_summary" in out}
+    main = [r.asDict() for r in tables["main"].collect()]
+    assert sorted(x["description"] for x in main) == ["average", "first", "second"] and all("+/-" in x["n_basins"] and len(x["f_inter"].split("+/-")[0].split(".")[1]) == 4 for x in main)
+    other = next(v for k, v in tables.items() if k != "main")
+    assert other.columns == ["number", "description", "length", "real_u_nt", "null_u_nt", "null_u_tr", "null_u_non", "p_value"] and other.count() == 3
+    row = reporting.ensemble(out["summary"], null).first()
     assert row.n == 2 and (row.null_p_value is None or 0 <= row.null_p_value <= 1)
     assert reporting.ensemble(out["summary"].limit(1)).first().std_u_nt == 0
-    assert reporting.ensemble_line(out["summary"]).first().description == "average"
-    assert reporting.text_table(reporting.numbered(text.withColumn("length", F.lit(1)))).count("\n") == 3
-    reporting.write_table(text, str(tmp_path / "t"), "csv")
-    assert spark.read.option("header", "true").csv(str(tmp_path / "t")).count() == 2
+    assert reporting.text_table(tables["main"]).count("\n") == 4
+    reporting.write_table(tables["main"], str(tmp_path / "t"), "csv")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "t")).count() == 3
     assert "num_runs = 2" in reporting.parameter_lines(p)
+    if model == "random_basins":  # one spectrum, other distances: samples differ, and none has more triplets than the real run
+        samples = out["null_random_basins"].collect()
+        assert {(r.seq_id, r.null_id) for r in samples} <= {(s, k) for s in (1, 2) for k in range(2)} and samples
+
+
+def test_failed_runs_count_nowhere(spark):
+    """A run without a triplet is in no mean, no spread and no p-value, and serves no null model."""
+    columns = "seq_id long, run_id int, null_id int, weighted_u_nt double, weighted_u_tr double, weighted_u_non double, f_inter double, n_structures long, n_components long, n_significant_components int, n_processed_components int, total_basins int, total_triplets long"
+    runs = spark.createDataFrame([(1, 0, -1, 0.0, 0.0, 0.0, 0.0, 7, 9, 9, 9, 0, 0), (1, 1, -1, 60.0, 30.0, 10.0, 0.5, 10, 4, 2, 1, 5, 10), (1, 2, -1, 40.0, 40.0, 20.0, 0.25, 13, 7, 3, 2, 8, 20), (2, 0, -1, 0.0, 0.0, 0.0, 0.0, 3, 1, 0, 0, 0, 0)], columns)
+    seqs = spark.createDataFrame([(1, "one", "ACGU" * 20), (2, "two", "GGGG")], "seq_id long, description string, seq string")
+    [r] = analysis.sequence_summary(seqs, runs).collect()
+    assert (r.seq_id, r.n_runs, r.mean_u_nt, r.mean_f_inter, r.n_structures, r.std_n_structures, r.n_basins, r.std_n_basins, r.n_components, r.std_n_components) == (1, 2, 50.0, 0.375, 12, 2, 6, 2, 6, 2)
+    assert (r.n_significant_components, r.n_processed_components, r.length, len(r.seq)) == (2.5, 1, 80, 50)
+    samples = spark.createDataFrame([(1, k, x, 0.0, 0.0) for k, x in enumerate((0.0, 100.0, 49.0, 51.0))], "seq_id long, null_id int, u_nt double, u_tr double, u_non double")
+    assert analysis.null_summary(runs, samples).first().p_value == 1.0
+    assert [(r.seq_id, r.run_id) for r in analysis.successful(runs).orderBy("run_id").collect()] == [(1, 1), (1, 2)]
+
+
+def test_program(spark, tmp_path):
+    """From FASTA files, one with text ahead of its first record and one that holds none, to the report and the tables."""
+    from foldscape import storage
+    from foldscape.plans import program
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.fasta").write_text("a preface\nof two lines\n>first\nGGGAAACCCAGGGAAACCC\n>>odd\nACG\n")
+    (tmp_path / "in/b.fasta").write_text(">second\nGGCGAAAGCCAAGG\nCAAAGCC")
+    (tmp_path / "in/c.fasta").write_text("nothing here")
+    made = len(storage._made)
+    text = program.run(spark, str(tmp_path / "in"), program.parameters(["num_runs=2", "max_structures=400", "min_basin_size=1", "null_model=random_basins", "num_null=2", "ensemble_row=true"]), str(tmp_path / "out"))
+    assert len(storage._made) == made
+    for line in ("num_runs = 2", "summary: 2", "first", "second", "average", ">odd", "shorter than 10", "no record could be read", "control", "analysis:"):
+        assert line in text, line
+    assert "preface" not in text
+    assert spark.read.parquet(str(tmp_path / "out/summary")).count() == 2
+    assert "literal" in program.run(spark, "GGGAAACCCAGGGAAACCC", program.parameters(["num_runs=1", "max_structures=400", "min_basin_size=1", "null_model=none"]), literal=True)
+    with pytest.raises(ValueError):
+        program.parameters(["nothing=1"])
+
+
+def test_sampling_failures_have_reasons(spark, monkeypatch):
+    s = spark.createDataFrame([(1, "GGGAAACCC"), (2, ""), (3, None)], "seq_id long, seq string")
+    got = sample(s, Params(num_runs=2, max_structures=5)).collect()
+    assert {(r.seq_id, r.run_id) for r in got if r.reason} == {(k, run) for k in (2, 3) for run in (0, 1)}
+    assert all((r.structure is None) == (r.reason is not None) for r in got)
+
+
+def test_shared_folder_is_set_outside_local_mode(spark, monkeypatch):
+    from foldscape import storage
+
+    class Context:
+        master = "spark://x:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        storage.shared_root(Session())
 
 
 def test_stream(spark, tmp_path):
