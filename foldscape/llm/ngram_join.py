@@ -2,15 +2,17 @@
 
 MinHash bands pick candidates: of BANDS bands of ROWS minimum hashes each, chosen so that
 a pair at the threshold agrees in a band with the wanted probability.  Documents with the
-same set are one class from the start, so that copies, however many, are one node.  Band
-keys are grouped with their least node (map-side first, so no key is hot), which gives
-stars, not pairs; the components of the stars are the candidate groups.
-
-Sets are told apart by 128-bit keys, and numbered.  Each group is verified on the full
-n-gram sets.  A group of more than BLOCK nodes (SMALL_BLOCK, up to SPREAD blocks), or
-BLOCK_GRAMS n-grams, is dealt into blocks, and each two blocks meet in one task: intersections of all their pairs are a
-matrix product over the n-grams that more than one of them has.  Tasks return, for each
-node, how many documents it is linked to and a forest of the links, never pairs.
+same set are one class from the start, so that copies, however many, are one node; sets
+are told apart by 128-bit keys, and numbered.  The nodes of one band key are a bucket;
+of buckets with the same nodes one stays.
+
+Pairs are verified on the full n-gram sets, bucket by bucket, each pair in the first
+bucket that both are in: what is verified are candidates alone, not what chains of
+candidates lead to.  A bucket of more than BLOCK nodes (SMALL_BLOCK, up to SPREAD blocks),
+or BLOCK_GRAMS n-grams, is dealt into blocks, and each two blocks meet in one task:
+intersections of all their pairs are a matrix product over the n-grams that more than one
+of them has.  Tasks return, for each node, how many documents it is linked to and a forest
+of the links, never pairs; the forests' components are the classes.
 
 Defined results: a text of one to n-1 words has one n-gram of all its words; a null or
 empty text, or one without words, is linked to nothing; repeated rows are copies of one
@@ -115,7 +117,7 @@ def _sketches(docs: DataFrame, s: Sketcher) -> DataFrame:
 
 
 def _verify(threshold: float):
-    """Over rows sorted by (component, x, y): the links of each node within its group, as (node, links, root)."""
+    """Over rows sorted by (bucket, x, y): the links of each node that are verified there, as (node, links, root)."""
 
     def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -142,13 +144,32 @@ def _verify(threshold: float):
         union = sizes[left][:, None] + sizes[right][None, :] - both
         return both / union >= threshold - 1e-9
 
+    def elsewhere(rows: list[tuple], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs are both in a bucket of a lesser number, and so verified there."""
+        out = np.zeros((len(left), len(right)), dtype=bool)
+        lists = [r[7] for r in rows]
+        bucket, row = np.concatenate(lists), np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+        row = row[bucket < rows[0][0]]
+        bucket = bucket[bucket < rows[0][0]]
+        order = np.argsort(bucket, kind="stable")
+        bucket, row = bucket[order], row[order]
+        at_left, at_right = np.full(len(rows), -1), np.full(len(rows), -1)
+        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+        for members in np.split(row, np.flatnonzero(np.diff(bucket)) + 1):
+            i, j = at_left[members], at_right[members]
+            out[np.ix_(i[i >= 0], j[j >= 0])] = True
+        return out
+
     def solve(rows: list[tuple]) -> dict[str, list]:
         x, y = rows[0][1], rows[0][2]
         own = np.array([r[3] for r in rows])
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        found = links([r[6] for r in rows], left, right)
+        here = ~elsewhere(rows, left, right)
         if x == y:
-            np.fill_diagonal(found, False)
+            np.fill_diagonal(here, False)
+        if not here.any():
+            return {"node": [], "links": [], "root": []}
+        found = links([r[6] for r in rows], left, right) & here
         weight = np.array([r[5] for r in rows], dtype=np.int64)
         number = np.zeros(len(rows), dtype=np.int64)
         number[left] += found @ weight[right]
@@ -162,10 +183,10 @@ def _verify(threshold: float):
             if (new == root).all():
                 break
             root = new
-        node = [r[4] for r in rows]
-        return {"node": node, "links": number.tolist(), "root": [node[r] for r in root.tolist()], "many": [rows[0][7]] * len(rows)}
+        at = np.flatnonzero(number).tolist()
+        return {"node": [rows[k][4] for k in at], "links": number[at].tolist(), "root": [rows[root[k]][4] for k in at]}
 
-    kinds = {"node": pa.int64(), "links": pa.int64(), "root": pa.int64(), "many": pa.bool_()}
+    kinds = {"node": pa.int64(), "links": pa.int64(), "root": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -183,13 +204,13 @@ def _verify(threshold: float):
             held.clear()
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "x", "y", "own", "node", "weight", "grams", "many")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "own", "node", "weight", "grams", "buckets")]
             for row in zip(*columns, strict=True):
                 if held and held[0][:3] != row[:3]:
                     close()
                     if len(out["node"]) > 10_000:
                         yield done()
-                held.append((*row[:6], np.frombuffer(row[6], dtype="<u8"), row[7]))
+                held.append((*row[:6], np.frombuffer(row[6], dtype="<u8"), np.array(row[7], dtype=np.int64)))
         if held:
             close()
         yield done()
@@ -213,17 +234,17 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    stars = keyed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = keyed.join(stars, ["band", "key"]).where("node != hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct()
-    groups = kept(star_contraction(edges), "groups")
-    grouped = kept(nodes.drop("bands").join(groups, "node"), "grouped")
-    number = F.count(F.lit(1))
-    blocks = F.ceil(F.greatest(number / block, F.least(number / SMALL_BLOCK, F.lit(SPREAD)), F.sum("size") / BLOCK_GRAMS)).cast("int")
-    dealt = grouped.join(grouped.groupBy("component").agg(blocks.alias("n")), "component").select("component", "n", "node", "weight", "least.doc_id", "least.tie")
+    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    members = [F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")]
+    number = F.count(F.lit(1)).alias("n")
+    full = keyed.groupBy("band", "key").agg(number, F.sum("size").alias("grams"), *members).where("n > 1")
+    of_bucket = F.ceil(F.greatest(F.col("n") / block, F.least(F.col("n") / SMALL_BLOCK, F.lit(SPREAD)), F.col("grams") / BLOCK_GRAMS)).cast("int")
+    buckets = kept(full.groupBy("n", "grams", "a", "b").agg(F.min(F.struct("band", "key")).alias("least")).select("least.*", of_bucket.alias("blocks"), F.monotonically_increasing_id().alias("bucket")), "buckets")
+    inside = keyed.join(buckets, ["band", "key"]).groupBy("node").agg(F.collect_list(F.struct("bucket", "blocks")).alias("inside"))  # one for each band at most
+    dealt = nodes.select("node", "weight", "least.doc_id", "least.tie").join(inside, "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["component", "n", "node", "weight"]
+        names = ["node", "weight", "inside"]
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             for i, j in chunks(offsets):
@@ -235,24 +256,21 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     of_nodes = (
         rows.alias("r")
         .join(dealt.hint("merge").alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.tie") == F.col("d.tie")))
-        .select("component", "n", "node", "weight", "text")
+        .select("node", "weight", "inside", "text")
     )
     if _repeats(sketches):
         of_nodes = of_nodes.dropDuplicates(["node"])
     met = (
-        of_nodes.mapInArrow(sets, "component long, n int, node long, weight long, grams binary")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "weight", "grams", (F.col("n") > 1).alias("many"))
-        .repartition("component", "x", "y")
-        .sortWithinPartitions("component", "x", "y", "node")
+        of_nodes.mapInArrow(sets, "node long, weight long, inside array<struct<bucket:long,blocks:int>>, grams binary")
+        .withColumns({"of": F.explode("inside"), "buckets": F.col("inside.bucket")})
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("of.blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of.blocks") - 1)))
+        .select("of.bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "weight", "grams", "buckets")
+        .repartition("bucket", "x", "y")
+        .sortWithinPartitions("bucket", "x", "y", "node")
     )
-    verified = kept(met.mapInArrow(_verify(threshold), "node long, links long, root long, many boolean"), "verified")
-    roots = verified.where("not many").select("node", "root")
-    split = verified.where("many and node != root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
-    if not split.isEmpty():
-        roots = roots.union(star_contraction(split).toDF("node", "root"))
-    roots = roots.distinct()
+    verified = kept(met.mapInArrow(_verify(threshold), "node long, links long, root long"), "verified")
+    roots = star_contraction(verified.where("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst"))).toDF("node", "root")
     counted = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = (
         nodes.drop("bands")
