@@ -5,8 +5,8 @@ the last return the columns of documents, COLUMNS, and no others.
 
 Defined results: a null text is an empty one for every judgement and stays null until it is
 packed, as the end id alone; documents without words are never toxic beyond the model's
-score for nothing, near duplicates or contaminated; of rows with the same id and text one
-stays; null ids, languages, sources and n_chars pass through (n_chars follows the masked
+score for nothing, near duplicates or contaminated; of rows with the same id and a text
+with words one stays, those without words all stay; null ids, languages, sources and n_chars pass through (n_chars follows the masked
 text); an empty table stays empty.
 """
 
@@ -22,6 +22,7 @@ from foldscape.llm.ngram_join import drop_near_duplicates
 from foldscape.llm.packing import pack
 from foldscape.llm.secrets import redact_secrets
 from foldscape.llm.toxicity import fit_toxicity, score_toxicity
+from foldscape.storage import dropped, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,10 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; what a stage needed beside its result is deleted behind it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = kept(docs, name)
+        if k == len(STAGES) - 1:  # not run yet: what it needs stays
+            return stage(spark, docs, sf_dir)
+        before = docs
+        with scratch(spark) as made:
+            docs = kept(stage(spark, before, sf_dir), name)
+            made.keep(docs)
+        if k:
+            dropped(before)
     return docs

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,16 +59,23 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _made.pop())
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the folders made inside, once nothing reads them any more."""
-    before = set(_made)
-    try:
-        yield
-    finally:
-        for where in [w for w in _made if w not in before]:
+class scratch:  # noqa: N801
+    """Deletes at its end the folders made inside, once nothing reads them any more, but those of DataFrames it is told to keep."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> scratch:
+        self.before = set(_made)
+        return self
+
+    def keep(self, df: DataFrame) -> None:
+        self.before.add(df._kept_in)
+
+    def __exit__(self, *_) -> None:
+        for where in [w for w in _made if w not in self.before]:
             _made.remove(where)
-            _delete(spark, where)
+            _delete(self.spark, where)
 
 
 def numbered(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
