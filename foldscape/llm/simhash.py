@@ -43,6 +43,8 @@ RADIUS = 26
 EXACT = 6
 MISS = 0.01
 BLOCK = 2048
+#: Bytes of a range of documents, about.
+RANGE_BYTES = 1 << 27
 #: Rows of a table that are sorted at once.
 TABLE_ROWS = 1 << 22
 _SMALL = 64  # groups up to this size are compared together
@@ -108,31 +110,32 @@ def edited(text: str, following: str) -> str:
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The fingerprint of each document and of its edited text, and its likeness to that and to the next document.
 
-    Documents are parted by ranges of ids, by quantiles; the first document of each range goes to the one before it
-    too, so that each task sees the next document of its last. One shuffle of the texts.
+    Documents are parted by ranges of ids, by quantiles, and where one id (or none) fills several ranges, of hashes of
+    their texts too; the first document of each range goes to the one before it too, so that each task sees the next
+    document of its last. One shuffle of the texts, into as many ranges as there are shuffle partitions, or more if the
+    input's files are larger than RANGE_BYTES each would take.
     """
     spark = docs.sparkSession
     ship(spark)
-    low = -(1 << 63)
-    rows = id_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(low)))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = id_text(docs, id_col, text_col).withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(_file_bytes(docs) / RANGE_BYTES))
     found = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] if n > 1 else [0.5], 100_000).alias("q")).first()["q"]
-    bounds = np.unique(np.array(found or [0], dtype=np.int64))
+    bounds, times = np.unique(np.array(found or [0], dtype=np.int64), return_counts=True)
 
     @F.pandas_udf("int")
-    def bucket_of(key):  # ranges are as many as partitions
+    def bucket_of(key, tie):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
+        return pd.Series(range_of(key.to_numpy(), tie.to_numpy(), bounds, times))
 
-    heads = sorted((r["bucket"], r["head"]) for r in rows.select("key", bucket_of("key").alias("bucket")).groupBy("bucket").agg(F.min("key").alias("head")).collect())
-    before = {h: heads[i - 1][0] for i, (_, h) in enumerate(heads)}
-    ahead = spark.createDataFrame(list(before.items()) or [(0, 0)], "head long, target int")
+    first = rows.select("key", "tie", bucket_of("key", "tie").alias("bucket")).groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("head"))
+    heads = sorted((r["bucket"], *r["head"]) for r in first.collect())  # a row for each range
+    ahead = spark.createDataFrame([(k, t, heads[i - 1][0]) for i, (_, k, t) in enumerate(heads)] or [(0, 0, 0)], "head long, head_tie long, target int")
     own = F.struct(F.col("bucket"), F.lit(False).alias("ahead"))
     forward = F.struct(F.col("target").alias("bucket"), F.lit(True).alias("ahead"))
     dealt = (
-        rows.withColumns({"bucket": bucket_of("key"), "tie": F.xxhash64("text")})
-        .join(F.broadcast(ahead), F.col("key") == F.col("head"), "left")  # a row for each partition
+        rows.withColumn("bucket", bucket_of("key", "tie"))
+        .join(F.broadcast(ahead), (F.col("key") == F.col("head")) & (F.col("tie") == F.col("head_tie")), "left")  # a row for each range
         .withColumn("to", F.explode(F.when(F.col("head").isNotNull(), F.array(own, forward)).otherwise(F.array(own))))
         .select("to.bucket", "to.ahead", "key", "tie", "doc_id", "text")
         .repartitionById(n, F.col("bucket"))
@@ -172,6 +175,22 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return dealt.mapInArrow(run, schema)
 
 
+def range_of(key: np.ndarray, tie: np.ndarray, bounds: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The range of each (key, tie): one ends ahead of each bound; a bound that stands several times ends ranges of its ties, of equal widths."""
+    at = np.searchsorted(bounds, key, side="left")
+    out = np.concatenate([[0], np.cumsum(times)])[at]
+    same = np.flatnonzero(bounds[np.minimum(at, len(bounds) - 1)] == key)
+    share = (tie[same].astype(np.float64) + 2.0**63) / 2.0**64
+    out[same] += 1 + np.minimum((share * times[at[same]]).astype(np.int64), times[at[same]] - 1)
+    return out.astype(np.int32)
+
+
+def _file_bytes(df: DataFrame) -> int:
+    """What Spark takes the input's size to be, 0 where it has no idea."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def tables(n: int, radius: int) -> np.ndarray:
     """Of each table, the bits of its key, as two words; n fingerprints are to be held."""
     edges = np.linspace(0, BITS, min(radius, EXACT) + 2).astype(int)
@@ -431,6 +450,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
 def add_links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Adds class_id and n_links (other documents within the radius, copies too) to rows with doc_id and fingerprint."""
     found = kept(found, "fingerprints")
-    links = near_links(found.select("doc_id", "fingerprint"), radius).where(f"n_near > 0 and fingerprint != '{'0' * (BITS // 4)}'")
+    near = near_links(found.select("doc_id", "fingerprint"), radius).where(f"n_near > 0 and fingerprint != '{'0' * (BITS // 4)}'")
+    links = kept(near, "links")  # read anew, so that a fingerprint of many copies can be split in the join
     both = found.join(links.select("fingerprint", F.col("class_id").alias("least"), "n_near").hint("merge"), "fingerprint", "left")
     return both.select(*found.columns, F.when(F.col("n_near").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_links"))

@@ -129,6 +129,56 @@ def test_edit_likeness(spark):
     assert simhash.fingerprint(docs).count() == len(rows)
 
 
+def slow_simhash(text):
+    """Votes of every term on every bit, one at a time, from the terms' two hashes of 64 bits."""
+    w = words_of(text)
+    terms = [w[k : k + 5] for k in range(max(1, len(w) - 4))] if w else []
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * factor & mask
+        return h ^ h >> 33
+
+    votes = [0] * 128
+    for term in terms:
+        h = 0
+        for k in range(5):
+            h = (h * 0x9FB21C651E98DF25 + 0x632BE59BD9B4E019) & mask
+            h = mix(h ^ words.hash_word(term[k].encode()) if k < len(term) else h)
+        both = h.to_bytes(8, "little") + mix(h ^ 0xD6E8FEB86659FD93).to_bytes(8, "little")
+        for i, byte in enumerate(both):
+            for j in range(8):
+                votes[8 * i + j] += 1 if byte >> (7 - j) & 1 else -1
+    return bytes(sum((votes[8 * i + j] > 0) << (7 - j) for j in range(8)) for i in range(16)).hex()
+
+
+def test_fingerprints_are_the_slow_ones():
+    rng = random.Random(8)
+    texts = ["", "...", "one", "One two!", "a b c d e", "a b c d e f", "é 日本 x y z é"] + [" ".join(rng.choice("abcdef") + rng.choice("gh") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    assert [p.tobytes().hex() for p in simhash.fingerprints(texts)] == [slow_simhash(t) for t in texts]
+
+
+def test_ranges_split_one_id(spark):
+    """One id (or none) on a third of the rows is dealt over several ranges, in the same order."""
+    rng = np.random.RandomState(4)
+    key = np.concatenate([np.full(4000, -(1 << 63)), rng.randint(0, 50, 2000), np.full(4000, 7)])
+    tie = rng.randint(-(1 << 62), 1 << 62, len(key)) * 2
+    bounds, times = np.unique(np.quantile(key.astype(float), np.arange(1, 20) / 20, method="nearest").astype(np.int64), return_counts=True)
+    got = simhash.range_of(key, tie, bounds, times)
+    order = np.lexsort((tie, key))
+    assert (np.diff(got[order]) >= 0).all() and np.bincount(got).max() < 0.12 * len(key)
+    docs = spark.createDataFrame([(None if k % 3 else k, f"text {k % 90} of many words") for k in range(300)], SCHEMA).repartition(4)
+    found = simhash.edit_likeness(docs).collect()
+    rows = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in docs.collect())
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in found) == [k for k, _ in rows]
+    near = {r.doc_id: r for r in found if r.doc_id is not None}
+    texts = dict(x for x in rows if x[0] >= 0)
+    ids = sorted(texts)
+    for a, b in zip(ids, ids[1:]):
+        assert near[a].edited_sha256 == hashlib.sha256(simhash.edited(texts[a], texts[b]).encode()).hexdigest()
+
+
 def test_near_links(spark):
     rng = np.random.RandomState(1)
     base = rng.randint(0, 256, (12, 16)).astype(np.uint8)
