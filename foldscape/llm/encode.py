@@ -24,10 +24,10 @@ from .common import chunks, flat
 #: The end-of-document id that every document gets.
 END_ID = 0
 #: Units kept for each worker (some 200 bytes each) and their characters; the table is emptied beyond either.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 600_000
 CACHE_CHARS = 1 << 25
 #: Bytes of text that are cut at once.
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 22
 #: Units that are encoded together.
 _JOINED = 200
 
