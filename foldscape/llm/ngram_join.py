@@ -280,7 +280,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
         .where("n_links > 0")
     )
     linked = kept(linked, "linked")
-    leasts = linked.groupBy("root").agg(F.min("least").alias("first"))
+    leasts = kept(linked.groupBy("root").agg(F.min("least").alias("first")), "leasts")  # read anew, so that a large class can be split in the join
     classes = linked.join(leasts, "root").select("k1", "k2", "n_links", "first")
     return (
         sketches.drop("bands", "size")

@@ -350,7 +350,7 @@ def _classes(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
 def _met(distinct: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """The fingerprints of each class, dealt into blocks of which each two meet in one task."""
     members = distinct.join(groups.hint("merge"), "node")
-    size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    size = kept(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")), "sizes")  # read anew, as in add_links
     return (
         members.join(size.hint("merge"), "component")
         .withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("n")).cast("int"))
@@ -436,7 +436,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     counted = _met(distinct, groups, block).mapInArrow(_compare(radius, emit), "fingerprint string, links long, docs long")
     number = counted.groupBy("fingerprint").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     of = distinct.join(groups.hint("merge"), "node").select("component", "fingerprint", "least")
-    first = of.groupBy("component").agg(F.min("least").alias("first"))
+    first = kept(of.groupBy("component").agg(F.min("least").alias("first")), "firsts")
     linked = of.join(first.hint("merge"), "component").join(number.hint("merge"), "fingerprint").select("fingerprint", "first", "links", "docs")
     return distinct.join(linked.hint("merge"), "fingerprint", "left").select(
         "fingerprint",
