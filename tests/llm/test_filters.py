@@ -302,8 +302,9 @@ def test_many_findings_in_one_text():
     assert {text[a:z] for a, k, z in found if k == 3} <= set(keys) and sum(k == 3 for _, k, _ in found) > 4500 and sum(k == 0 for _, k, _ in found) == 5000
 
 
-def test_network_is_kept(spark, monkeypatch):
+def test_network_is_kept(spark, monkeypatch, tmp_path):
     net = secrets.default_network()
+    monkeypatch.setattr(secrets, "shared_root", lambda _: f"file://{tmp_path}")
     monkeypatch.setattr(secrets, "_trained", None)
     monkeypatch.setattr(secrets, "train", lambda *a: net)
     assert secrets.default_network(spark) is net
