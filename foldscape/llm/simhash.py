@@ -43,6 +43,8 @@ RADIUS = 26
 EXACT = 6
 MISS = 0.01
 BLOCK = 2048
+#: A smaller class is dealt into blocks of so many fingerprints too, into SPREAD blocks at most.
+SMALL_BLOCK, SPREAD = 64, 16
 #: Bytes of a range of documents, about.
 RANGE_BYTES = 1 << 27
 #: Rows of a table that are sorted at once.
@@ -350,7 +352,7 @@ def _classes(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
 def _met(distinct: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """The fingerprints of each class, dealt into blocks of which each two meet in one task."""
     members = distinct.join(groups.hint("merge"), "node")
-    size = kept(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")), "sizes")  # read anew, as in add_links
+    size = kept(groups.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.least(F.count(F.lit(1)) / SMALL_BLOCK, F.lit(SPREAD)))).cast("int").alias("n")), "sizes")  # read anew, as in add_links
     return (
         members.join(size.hint("merge"), "component")
         .withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("n")).cast("int"))
