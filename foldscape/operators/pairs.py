@@ -35,7 +35,7 @@ def shared_conflicts(pairs: DataFrame, key: str = "seq_id") -> DataFrame:
     return a.join(b, [key, "place"]).where("pair_a < pair_b").select(key, "pair_a", "pair_b")
 
 
-def crossing_conflicts(pairs: DataFrame, key: str = "seq_id", block: int = 8) -> DataFrame:
+def crossing_conflicts(pairs: DataFrame, key: str = "seq_id", block: int = 32) -> DataFrame:
     """key, pair_a < pair_b of indexed pairs that cross: i_a < i_b < j_a < j_b.
 
     A pair meets those that begin inside it, by blocks of places: a long sequence is many keys, and pairs that begin elsewhere never meet.

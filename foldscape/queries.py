@@ -119,9 +119,9 @@ def part_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return P.pair_index(P.allowed_pairs(part_sequences(spark, sf)))
 
 
-def stem_structures(spark: SparkSession, sf: str) -> DataFrame:
+def stem_structures(sequences: DataFrame) -> DataFrame:
     """seq_id, ord, structure, energy: four symmetric stems of each sequence."""
-    s = part_sequences(spark, sf).withColumns({"ord": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))), "c": F.split("seq", "")})
+    s = sequences.withColumns({"ord": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))), "c": F.split("seq", "")})
 
     def sign(k):
         other = F.length("seq") - 1 - k
@@ -262,12 +262,12 @@ coded AS (SELECT s.seq_id, s.ord, any_value(s.structure) AS structure, any_value
 
 @query(STEM + " SELECT s.seq_id, s.ord, s.structure, s.energy FROM structures s JOIN (SELECT seq_id, min(energy) AS e FROM structures GROUP BY seq_id) m ON m.seq_id = s.seq_id WHERE s.energy <= m.e + 1.0 + 1e-9")
 def energy_window_filter(spark, sf):
-    return G.energy_window(stem_structures(spark, sf), 1.0, ["seq_id"])
+    return G.energy_window(stem_structures(part_sequences(spark, sf)), 1.0, ["seq_id"])
 
 
 @query(STEM + " SELECT seq_id, ord, structure, energy FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY ord) AS r FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, structure ORDER BY ord) AS f FROM structures) WHERE f = 1) WHERE r <= 2")
 def sample_distinct_cap(spark, sf):
-    return G.distinct_capped(stem_structures(spark, sf), 2, ["seq_id"])
+    return G.distinct_capped(stem_structures(part_sequences(spark, sf)), 2, ["seq_id"])
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size % 12 AS a, p_partkey % 7 AS b FROM part)
@@ -279,8 +279,9 @@ def dotbracket_pairs(spark, sf):
 
 
 def _coded(spark: SparkSession, sf: str) -> DataFrame:
-    s = stem_structures(spark, sf).withColumn("pairs", G.dotbracket_pairs(F.col("structure")))
-    return G.encode_pairs(kept(s, "stems"), part_pairs(spark, sf), ["seq_id"])
+    sequences = kept(part_sequences(spark, sf), "sequences")
+    s = stem_structures(sequences).withColumn("pairs", G.dotbracket_pairs(F.col("structure")))
+    return G.encode_pairs(kept(s, "stems"), P.pair_index(P.allowed_pairs(sequences)), ["seq_id"])
 
 
 @query(f"{STEM}, {CODED} SELECT seq_id, ord, pair_ids FROM coded")
