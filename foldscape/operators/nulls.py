@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shuffled_letters
+from ..storage import ship
 
 #: Added to the run's seed for each model, before null_id.
 RANDOM_BASINS, ENERGY, TOPOLOGY, LETTERS = 20_000, 30_000, 40_000, 50_000
@@ -65,6 +66,7 @@ def swap_edges(src: np.ndarray, dst: np.ndarray, swaps: int, rng: np.random.Rand
 
 def topology_shuffle(edges: DataFrame, n: int, swaps_per_edge: int, seed: int, keys: Sequence[str] = ("seq_id", "run_id")) -> DataFrame:
     """The edges of each batch in n samples after swaps_per_edge swaps for each edge: the same degrees, other neighbours."""
+    ship(edges.sparkSession)
     on = [*keys, "null_id"]
     every = with_samples(edges.select(*keys, "src", "dst"), n)
     kinds = {f.name: f.dataType.simpleString() for f in every.schema}

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import COMPLEMENTARY
 from ..params import Params
+from ..storage import ship
 
 # Published nearest-neighbour energies at 37 degrees in kcal/mol (Xia et al. 1998; Mathews et al. 1999, rounded).
 #: Pair, then the pair inside it, both read 5' to 3'.
@@ -281,6 +282,7 @@ def sample(sequences: DataFrame, p: Params) -> DataFrame:
     sequences: seq_id, seq, and null_id (-1 for real ones) if it has one. One task for a sequence and run. A failure keeps what
     was drawn, and adds a row without a structure whose reason says what went wrong; a null or empty sequence is such a failure.
     """
+    ship(sequences.sparkSession)
     has = "null_id" in sequences.columns
     jobs = sequences.select("seq_id", "seq", (F.col("null_id") if has else F.lit(-1)).cast("int").alias("null_id")).withColumn("run_id", F.explode(F.sequence(F.lit(0), F.lit(p.num_runs - 1))))
     jobs = jobs.repartition("seq_id", "run_id", "null_id")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
+from ..storage import ship
 from .structures import KEYS
 
 DENSE = 2500
@@ -184,6 +185,7 @@ def component_spectra(nodes: DataFrame, edges: DataFrame, basins: DataFrame, p:
     of the same sizes, over the same spectrum, with the seed + null_id; a task makes SAMPLES_AT_ONCE of them.
     A failure of one component is a status and a reason, not an error.
     """
+    ship(nodes.sparkSession)
     on = [*keys, "comp_id", "block"]
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + RESULT

@@ -32,7 +32,7 @@ from .plans.analysis import analyze_graph, graph_members, run_stats, with_scores
 from .plans.analysis import sequence_summary as sequence_summary_of
 from .plans.report import main_table, null_table
 from .sources import fasta
-from .storage import kept, numbered
+from .storage import kept, numbered, ship
 
 PARAMS = Params(min_basin_size=2)
 NONE: list[str] = []
@@ -522,6 +522,8 @@ def kernel_distance(spark, sf):
     """The same by the function that the analysis runs for each component."""
     n = landscape(spark, sf)
 
+    ship(spark)
+
     def solve(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("node_id")
         ids = t["node_id"].to_numpy()
@@ -541,6 +543,8 @@ def _kernel_rates(spark: SparkSession, sf: str, emit, schema: str) -> DataFrame:
     placed = land_placed(n, land_edges(n))
     inner = kept(J.edges_within(land_edges(n), placed.select("node_id", "comp_id"), NONE).select("comp_id", "src", "dst"), "inner")
 
+    ship(spark)
+
     def solve(key: tuple, t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("node_id")
         ids = t["node_id"].to_numpy()
@@ -564,6 +568,8 @@ def kernel_diagonal(spark, sf):
 @query("""WITH m AS (SELECT user_id, abs(value) AS size, row_number() OVER (PARTITION BY user_id ORDER BY abs(value)) - 1 AS rank, lag(abs(value)) OVER (PARTITION BY user_id ORDER BY abs(value)) AS before FROM events)
     SELECT user_id, CAST(coalesce(min(CASE WHEN CASE WHEN before IS NULL THEN false WHEN before < 1e-30 THEN size > 1e-30 ELSE size / before > 1.5 END THEN rank END), 1) AS INT) AS num_noise FROM m GROUP BY user_id""")
 def kernel_noise_modes(spark, sf):
+    ship(spark)
+
     def count(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"user_id": [key[0]], "num_noise": [noise_modes(np.sort(t["value"].abs().to_numpy()), 1.5)]})
 
@@ -610,6 +616,8 @@ def ultrametricity_score(spark, sf):
 def kernel_scores(spark, sf):
     """The same by the function that the analysis runs for each component, a row of the matrix at a time."""
 
+    ship(spark)
+
     def solve(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(t.sort_values("id")["vector"].to_numpy())
         nt, tr, non = score_triplets(np.stack([np.sqrt(((x - y) ** 2).sum(axis=1)) for y in x]), PARAMS)

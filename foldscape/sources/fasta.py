@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize_sequence
-from ..storage import kept, numbered
+from ..storage import kept, numbered, ship
 
 MIN_LENGTH = 10
 
@@ -47,6 +47,7 @@ def _records(lines: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([file, b.column("ordinal"), body], ["file", "ordinal", "record"])
             yield out.filter(pa.array(~first | marked))
 
+    ship(lines.sparkSession)
     return lines.mapInArrow(run, "file string, ordinal long, record string")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 _made: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foldscape_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="foldscape-")) / "foldscape_src.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    sc.addPyFile(str(target))
+    sc._foldscape_shipped = True
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where that is unset, one of our own in local mode; elsewhere an error,
     because the machines of a cluster don't see one another's folders."""
