@@ -1,41 +1,24 @@
-"""What the operators of this subpackage share: folders that all executors see,
-columns as flat bytes, and shipping this package to executors."""
+"""What the operators of this subpackage share: files that all executors see and
+columns as flat bytes."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import kept, shared_folder  # noqa: F401
+from ..storage import kept, shared_folder, ship  # noqa: F401
 
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
 CHUNK_BYTES = 1 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_foldscape_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="foldscape-")) / "foldscape_src.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(Path(root.name) / p.relative_to(root)))
-    sc.addPyFile(str(target))
-    sc._foldscape_shipped = True
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI or plain path."""
     from pyarrow import fs

@@ -424,3 +424,34 @@ def test_toxicity_on_held_out_documents(spark, sf):
     got = QUERIES["op5_toxicity"](spark, big).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted for r in got if not r.toxic]) < 0.01
     assert np.mean([r.predicted for r in got if r.toxic]) > 0.75
+
+
+def test_a_very_long_text(spark):
+    """A megabyte of words, licence lines, a benchmark passage again and again, and one word alone: whole results, in time."""
+    import time
+
+    from foldscape.llm import decontaminate, ngram_join, simhash
+    from foldscape.llm.common import flat
+
+    rng = random.Random(21)
+    passage = " ".join(f"bench{k}" for k in range(20))
+    lines = ["released under the MIT License", "All rights reserved.", passage, " ".join("w" + str(rng.randint(0, 999)) for _ in range(30))]
+    long = "\n".join(rng.choice(lines) for _ in range(10_000))
+    texts = [long, "x" * 1_000_000, "short text"]
+    assert len(long) > 800_000
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], SCHEMA)
+    began = time.time()
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert found[0].n_base == long.count("All rights reserved") and found[0].labels == "mit,reserved" and found[1].n_words == 1
+    shard = decontaminate.Shard(decontaminate.Windows([("a", passage)]))
+    shard.add(pa.array(texts))
+    counts, spans, items = shard.result()
+    assert items == [["a"], [], []] and sum(s["end"] - s["start"] for s in spans[0]) == 20 * long.count(passage) and counts[0] == found[0].n_words
+    prints = simhash.fingerprints(texts)
+    assert prints.any(axis=1).all() and np.array_equal(prints[0], simhash.fingerprints([long])[0])
+    h, first = ngram_join.Sketcher(20, 5, 5).sets(*flat(pa.array(texts)))
+    w = re.findall("[a-z0-9]+", long.lower())
+    assert first[1] == len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) and np.diff(first).tolist()[1:] == [1, 1]
+    model = toxicity.Model([toxicity.count_grams(["good words here"]), toxicity.count_grams(["bad words here"])])
+    assert np.isfinite(toxicity.Scorer(model, 1.0, 0.0).features(pa.array(texts))).all()
+    assert time.time() - began < 120
