@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import dropped, join_batch, kept, numbered
+from ..storage import dropped, join_batch, kept, ranked
 
 
 def star_contraction(edges: DataFrame, batch: Sequence[str] = (), src: str = "src", dst: str = "dst") -> DataFrame:
@@ -54,11 +54,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
 def component_order(members: DataFrame, keys: Sequence[str] = ("seq_id", "run_id", "null_id")) -> DataFrame:
     """keys, component, comp_size, comp_id: components from the largest down, ties by the least node."""
     each = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("comp_size"))
-    if not keys:
-        ordered = numbered(each.withColumn("_size", -F.col("comp_size")), "comp_id", ["_size", "component"])
-        return ordered.select("component", "comp_size", F.col("comp_id").cast("int").alias("comp_id"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("comp_size"), "component")) - 1
-    return each.withColumn("comp_id", rank.cast("int"))
+    ordered = ranked(each.withColumn("_size", -F.col("comp_size")), "comp_id", ["_size", "component"], keys)
+    return ordered.select(*keys, "component", "comp_size", F.col("comp_id").cast("int").alias("comp_id"))
 
 
 def significant_components(members: DataFrame, alpha: float, keys: Sequence[str] = ("seq_id", "run_id", "null_id")) -> DataFrame:

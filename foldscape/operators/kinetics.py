@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import ship
+from . import triplets
 from .structures import KEYS
 
 
@@ -65,10 +69,61 @@ def weighted_coordinates(projected: DataFrame, modes: DataFrame, rt: float, pref
     return x.groupBy(*keys, group, F.col("basin_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("mode", "x"))), lambda s: s["x"]).alias("vector"))
 
 
-def pairwise_distances(points: DataFrame, keys: Sequence[str] = KEYS, group: str = "comp_id") -> DataFrame:
-    """keys, group, a < b, d: Euclidean distances of the vectors in a group, by one equi-join on the group and a fold over the arrays."""
+def distance_tiles(points: DataFrame, keys: Sequence[str] = KEYS, group: str = "comp_id") -> DataFrame:
+    """keys, group and a tile (triplets.TILE) of Euclidean distances for each two blocks of a group's points: no task has more than two blocks.
+
+    points: keys, group, id, vector, of the same length in a group; points without a vector are left out.
+    """
     on = [*keys, group]
-    a = points.select(*on, F.col("id").alias("a"), F.col("vector").alias("_x"))
-    b = points.select(*on, F.col("id").alias("b"), F.col("vector").alias("_y"))
-    square = F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    return a.join(b, on).where("a < b").select(*on, "a", "b", F.sqrt(square).alias("d"))
+    ship(points.sparkSession)
+    given = points.where("vector is not null").select(*on, F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    sizes = given.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / triplets.BLOCK).cast("int").alias("blocks"))
+    dealt = given.join(sizes, on).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.select(*on, "id", "vector", "blocks", "own", F.least("own", "_other").alias("x"), F.greatest("own", "_other").alias("y"))
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+
+    def tile(t: pa.Table) -> pa.Table:
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        t = t.sort_by("id")
+        own, ids = t.column("own").to_numpy(), t.column("id").to_numpy()
+        v = t.column("vector").combine_chunks()
+        v = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        d = np.empty((len(left), len(right)))
+        for k, i in enumerate(left):
+            away = v[right] - v[i]
+            d[k] = np.sqrt((away * away).sum(axis=1))
+        has = np.ones(d.shape, dtype=np.uint8)
+        if x == y:
+            np.fill_diagonal(has, 0)
+        cells = {"x": x, "y": y, "blocks": t.column("blocks")[0].as_py(), "left": ids[left].tolist(), "right": ids[right].tolist(), "d": d.tobytes(), "has": has.tobytes()}
+        return pa.table([*(t.column(c).slice(0, 1) for c in on), *(pa.array([c], type=k) for c, k in zip(cells.values(), triplets._KINDS, strict=True))], names=[*on, *cells])
+
+    return met.groupBy(*on, "x", "y").applyInArrow(tile, ", ".join(f"`{c}` {kinds[c]}" for c in on) + ", " + triplets.TILE)
+
+
+def pairs_of_tiles(tiles: DataFrame, keys: Sequence[str] = KEYS, group: str = "comp_id") -> DataFrame:
+    """keys, group, a < b, d of each pair in tiles."""
+    on = [*keys, group]
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1)
+                left, right = (np.array(r.column(c)[0].as_py(), dtype=np.int64) for c in ("left", "right"))
+                has = np.frombuffer(r.column("has")[0].as_py(), dtype=np.uint8).reshape(len(left), len(right)).astype(bool)
+                if r.column("x")[0] == r.column("y")[0]:
+                    has &= left[:, None] < right[None, :]
+                i, j = np.nonzero(has)
+                a, b = left[i], right[j]
+                d = np.frombuffer(r.column("d")[0].as_py()).reshape(has.shape)[i, j]
+                same = pa.array(np.zeros(len(i), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*(r.column(c).take(same) for c in on), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], [*on, "a", "b", "d"])
+
+    return tiles.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in on) + ", a long, b long, d double")
+
+
+def pairwise_distances(points: DataFrame, keys: Sequence[str] = KEYS, group: str = "comp_id") -> DataFrame:
+    """keys, group, a < b, d: Euclidean distances of the vectors in a group."""
+    return pairs_of_tiles(distance_tiles(points, keys, group), keys, group)

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import ranked
 from .structures import KEYS
 
 
@@ -73,6 +74,4 @@ def edges_within(edges: DataFrame, members: DataFrame, keys: Sequence[str] = KEY
 
 def local_ids(members: DataFrame, keys: Sequence[str] = KEYS, group: str = "comp_id") -> DataFrame:
     """Adds local_id: the place of a node in its group, from 0, by node_id."""
-    from pyspark.sql import Window
-
-    return members.withColumn("local_id", (F.row_number().over(Window.partitionBy(*keys, group).orderBy("node_id")) - 1).cast("long"))
+    return ranked(members, "local_id", ["node_id"], [*keys, group])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import set_key
-from ..storage import join_batch, numbered
+from ..storage import join_batch, ranked
 
 KEYS = ("seq_id", "run_id", "null_id")
 
@@ -79,11 +79,8 @@ def dedup_min_energy(structures: DataFrame, keys: Sequence[str] = KEYS, by: str
 
 
 def node_index(states: DataFrame, keys: Sequence[str] = KEYS, order: str = "ord") -> DataFrame:
-    """Adds node_id from 0 in the batch's order, and pair_hash, the order-free key of pair_ids. Without keys order must tell all rows apart."""
-    if not keys:
-        return numbered(states.withColumn("pair_hash", set_key(F.col("pair_ids"))), "node_id", [order])
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return states.withColumns({"node_id": number.cast("long"), "pair_hash": set_key(F.col("pair_ids"))})
+    """Adds node_id from 0 in the batch's order, and pair_hash, the order-free key of pair_ids. order must tell a batch's rows apart."""
+    return ranked(states.withColumn("pair_hash", set_key(F.col("pair_ids"))), "node_id", [order], keys)
 
 
 def enough_states(states: DataFrame, keys: Sequence[str] = KEYS, least: int = 2) -> DataFrame:

@@ -25,7 +25,6 @@ from .operators import pairs as P
 from .operators import stats as R
 from .operators import structures as G
 from .operators import triplets as T
-from .operators.sampler import sample
 from .operators.spectral import basin_distances, noise_modes, rate_matrix, score_triplets, spectrum_distances
 from .params import Params
 from .plans.analysis import analyze_graph, graph_members, run_stats, with_scores
@@ -169,7 +168,9 @@ def point_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def point_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return T.score(T.classify_triplets(T.triplets(point_distances(spark, sf), NONE)), NONE)
+    """Scores of all triplets of each label's points; the tiles of distances are written once, for the tasks that each goes to."""
+    tiles = kept(K.distance_tiles(points(spark, sf), NONE), "tiles")
+    return T.shares(T.score_tiles(tiles, PARAMS, NONE))
 
 
 # --- sequences ----------------------------------------------------------------------
@@ -307,12 +308,6 @@ def enough_states(spark, sf):
     return G.enough_states(d, ["seq_id"]).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
-def boltzmann_sample(spark, sf):
-    """Structures of every part's sequence, with the parameters of an analysis."""
-    return sample(part_sequences(spark, sf), Params())
-
-
 # --- neighbours ---------------------------------------------------------------------
 
 
@@ -637,7 +632,7 @@ def weighted_component_score(spark, sf):
     SELECT CAST(sum(num_basins) AS BIGINT) AS total_basins, round(1 - sum(num_triplets) / (sum(num_basins)::DOUBLE * (sum(num_basins) - 1) * (sum(num_basins) - 2) / 6), 9) AS f_inter FROM c JOIN n USING (comp_id)""")
 def f_inter(spark, sf):
     sizes = table(spark, sf, "embeddings").groupBy(F.col("label").alias("comp_id")).agg(F.count(F.lit(1)).alias("num_basins"))
-    counts = T.triplets(point_distances(spark, sf), NONE).groupBy("comp_id").agg(F.count(F.lit(1)).alias("num_triplets"))
+    counts = point_scores(spark, sf).select("comp_id", "num_triplets")
     return T.between_share(counts.join(sizes, "comp_id"), NONE).withColumn("f_inter", F.round("f_inter", 9))
 
 

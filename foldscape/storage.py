@@ -94,17 +94,24 @@ class scratch:  # noqa: N801
             _delete(self.spark, where)
 
 
-def numbered(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """Adds a column with the row's number from 0 in the order of some columns, which must tell all rows apart.
+def ranked(df: DataFrame, name: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Adds a column with the row's number from 0 in the order of some columns, which must tell the rows of a key apart.
 
-    Rows are dealt into ranges of the order, each range is counted, and numbers begin where those of the ranges before
-    end: no task has all rows.
+    Rows are dealt into ranges of (keys, order), the rows of each key in each range are counted, and a key's numbers in a range
+    begin where those of the ranges before end: no task has all rows of a key, nor has one range more than its share.
     """
-    ranges = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
-    begin = ranges.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_begin"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_begin")
-    return ranges.join(F.broadcast(begin), "_part").withColumn(name, place.cast("long")).drop("_part", "_begin")
+    ranges = kept(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ahead = Window.partitionBy(*keys).orderBy("_part") if keys else Window.orderBy("_part")  # over a row for each range that a key is in
+    counts = ranges.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_count"))
+    begin = counts.withColumn("_begin", F.coalesce(F.sum("_count").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    placed = ranges.withColumn("_place", F.row_number().over(inside) - 1)
+    return placed.join(begin.drop("_count"), ["_part", *keys]).withColumn(name, (F.col("_place") + F.col("_begin")).cast("long")).drop("_part", "_begin", "_place")
+
+
+def numbered(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """`ranked` over all rows."""
+    return ranked(df, name, order)
 
 
 def join_batch(df: DataFrame, of_batch: DataFrame, keys: list[str]) -> DataFrame:
