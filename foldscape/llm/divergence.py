@@ -36,61 +36,70 @@ LEAST_DOCS = 10
 #: Sources of a tile, postings of a block of terms (about), and pairs of postings at once.
 TILE, BLOCK_ROWS, PAIRS = 512, 1 << 18, 1 << 20
 #: Bytes of text at once, and rows of counts that a task holds before it hands them on.
-CHUNK, HELD = 4 << 20, 1 << 20
+CHUNK, HELD = 1 << 20, 1 << 19
 
 COUNTS = "lang string, source string, term string, count long, docs long"
 
 
+def _run_lengths(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ascending ones, and how often each stands."""
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, count (occurrences), docs (documents with it), summed up in each task; and a row with an empty term for each
     language and source, so that those without terms are there too. docs: lang, source, text, none null. Sums over tasks are still to be made."""
     ship(docs.sparkSession)
-    names = ["lang", "source", "term", "count", "docs"]
+    held_as = pa.schema([("group", pa.int64()), ("term", pa.large_string()), ("count", pa.int64()), ("docs", pa.int64())])
 
-    def count(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    def count(batch: pa.RecordBatch, number: dict[tuple[str, str], int]) -> Iterator[pa.Table]:
+        """group (numbers given to languages and sources as they come), term, count, docs of a batch, piece by piece."""
         data, offsets = flat(batch.column("text"))
+        names = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+        of_doc = np.array([number.setdefault(x, len(number)) for x in names], dtype=np.int64)
         for i, j in chunks(offsets, CHUNK):
-            part = batch.slice(i, j - i)
-            lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
-            width = len(source.dictionary)
-            _, group, which = np.unique(lang.indices.to_numpy() * width + source.indices.to_numpy(), return_index=True, return_inverse=True)
             letters, sizes, doc, _ = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], LETTERS)
             words = as_strings(letters, sizes).dictionary_encode()
             most = max(len(words.dictionary), 1)
-            key = np.sort(doc * most + words.indices.to_numpy())  # a run for each document's term
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-            times, key = np.diff(np.append(first, len(key))), key[first]
-            key = which[key // most] * most + key % most
+            key, times = _run_lengths(np.sort(doc * most + words.indices.to_numpy()))  # each document's terms
+            key = of_doc[i:j][key // most] * most + key % most
             order = np.argsort(key, kind="stable")
-            key, times = key[order], times[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else first
-            of, term = key[first] // most, key[first] % most
-            times = np.add.reduceat(times, first) if len(first) else times
-            rows = pa.array(np.concatenate([group, group[of]]))
-            terms = pa.concat_arrays([pa.array([""] * len(group), pa.large_string()), words.dictionary.take(pa.array(term))])
-            zero = np.zeros(len(group), dtype=np.int64)
-            yield pa.table([part.column("lang").take(rows), part.column("source").take(rows), terms, np.concatenate([zero, times]), np.concatenate([zero, np.diff(np.append(first, len(key)))])], names)
+            times = np.concatenate([[0], np.cumsum(times[order])])
+            key, docs_with = _run_lengths(key[order])
+            times = np.diff(times[np.concatenate([[0], np.cumsum(docs_with)])])
+            groups = np.unique(of_doc[i:j])
+            none = np.zeros(len(groups), dtype=np.int64)
+            terms = pa.concat_arrays([pa.array([""] * len(groups), pa.large_string()), words.dictionary.take(pa.array(key % most))])
+            yield pa.table([np.concatenate([groups, key // most]), terms, np.concatenate([none, times]), np.concatenate([none, docs_with])], held_as.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[tuple[str, str], int] = {}
         held: list[pa.Table] = []
 
         def merged() -> pa.Table:
-            t = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("count", "sum"), ("docs", "sum")])
-            return t.rename_columns(names).cast(pa.schema([(n, pa.int64() if n in ("count", "docs") else pa.string()) for n in names]))
+            t = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
+            return t.rename_columns(held_as.names)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            known = list(number)
+            lang, source = (pa.array([x[k] for x in known], pa.string()) for k in (0, 1))
+            for b in merged().to_batches(max_chunksize=1 << 14):
+                at = b.column("group")
+                yield pa.RecordBatch.from_arrays([lang.take(at), source.take(at), b.column("term").cast(pa.string()), b.column("count"), b.column("docs")], ["lang", "source", "term", "count", "docs"])
+            held.clear()
 
         for batch in batches:
-            for t in count(batch):
-                t = t.cast(pa.schema([(n, pa.int64() if n in ("count", "docs") else pa.large_string()) for n in names]))
-                held.append(t)
+            if not held:
+                number.clear()
+            for t in count(batch, number):
+                held.append(t.cast(held_as))
                 if sum(map(len, held)) > HELD:
                     held[:] = [merged()]
                     if len(held[0]) > HELD // 2:
-                        yield from held[0].to_batches(max_chunksize=1 << 16)
-                        held.clear()
-                    else:
-                        held[0] = held[0].cast(t.schema)
+                        yield from out()
         if held:
-            yield from merged().to_batches(max_chunksize=1 << 16)
+            yield from out()
 
     return docs.mapInArrow(run, COUNTS)
 
@@ -125,7 +134,7 @@ def _tile_sums(left0: np.ndarray, right0: np.ndarray, left: tuple, right: tuple,
         place, p = rows[0], rows[1]
         order = np.lexsort((p, place))
         place, p = place[order], p[order]
-        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (p[1:] != p[:-1])])) if len(p) else np.zeros(0, dtype=np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (p[1:] != p[:-1])])) if len(p) else place
         times = np.diff(np.append(first, len(p)))
         place, p = place[first], p[first]
         step = max(1, PAIRS // max(len(other), 1))
