@@ -46,7 +46,6 @@ _TAG = re.compile(
 #: The same, whatever quotes there are.
 _BARE = re.compile(r"""<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>()()()|<[!?/][^>]*>""")
 _HINT = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words in class, id and role that mark what is not main text.
 _NOT_MAIN = frozenset(
@@ -57,12 +56,12 @@ _NOT_MAIN = frozenset(
 )
 #: The same within longer words.
 _STEMS = re.compile("comment(?!ar)|sidebar|cookie|advert|newsletter|breadcrumb|navigation|sponsor|disqus|masthead|subscrib|subscription|mainmenu|topnav|navmenu|adsense|footer")
-_RAW = frozenset("script style noscript template textarea title iframe object select canvas noembed noframes xmp desc metadata annotation".split())
-_SKIP = frozenset("nav header footer aside form menu dialog button label fieldset head".split())
+_RAW = frozenset("script style noscript template textarea title select noembed noframes xmp desc metadata annotation".split())
+_SKIP = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 _BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main "
-    "nav ol p pre section summary table tbody td tfoot th thead tr ul aside footer header form hgroup legend fieldset option".split()
+    "nav ol p pre section summary table tbody td tfoot th thead tr ul aside footer header form hgroup legend fieldset option menu dialog".split()
 )
 _HOLDS_P = ("td", "th", "table", "button", "caption")
 _ENDS_P = _BLOCK - frozenset("body html caption td th tr tbody thead tfoot option".split())
@@ -181,11 +180,8 @@ class Page:
                         out = _Open()
                     else:
                         continue
-                    if out or not names.count(name):
-                        block += 1
-                        continue
-                    if name in _SKIP:
-                        block += 1
+                    if out or not names.count(name) or name in _SKIP:
+                        block += name in _BLOCK  # an inline element parts no block, left out or not
                         continue
                 if name in _BLOCK:
                     block += 1
@@ -245,8 +241,6 @@ class Page:
             return True
         if not attributes or not hints or name in ("article", "main"):
             return hints and name == "article" and _marks(attributes, _COMMENT)
-        if bool(_HIDDEN.search(attributes)):
-            return True
         if not inside:
             return _marks(attributes, _NOT_MAIN)
         if name == "section":

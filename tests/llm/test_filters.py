@@ -175,7 +175,7 @@ def test_licenses(spark):
 def test_chains_are_the_best():
     """Against all runs followed by all others, on edited templates; and a repeated passage inside a whole one."""
     rng = random.Random(7)
-    sizes = [30, 18]
+    sizes = [30, 22]
     scanner = licenses.Scanner([(str(k), " ".join(f"w{rng.randint(0, 8)}" for _ in range(n))) for k, n in enumerate(sizes)], {})
     for _ in range(300):
         runs = [(rng.randint(0, 60), rng.randint(0, 1), rng.randint(0, 20), rng.randint(4, 9)) for _ in range(rng.randint(0, 14))]
@@ -188,7 +188,7 @@ def test_chains_are_the_best():
                 if other == k and cut < n and p + cut - q - m <= licenses.GAP and at + cut - before - m <= licenses.GAP:
                     words_[i] = max(words_[i], words_[j] + n - cut)
         expected = {k: min(1.0, max(w for w, r in zip(words_, ordered, strict=True) if r[1] == k) / scanner.sizes[k]) for k in {r[1] for r in runs}}
-        assert scanner.covered(runs) == expected
+        assert scanner.chained(runs)[0] == expected
     whole = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
     mit = licenses.TEMPLATES[0][1].split()
     for at in (10, 30, 50):
@@ -196,7 +196,39 @@ def test_chains_are_the_best():
         ids = [whole.vocabulary.number.get(w, 0) for w in licenses.word_list(text)]
         runs: list = []
         whole.scan(ids, 0, [], runs)
-        assert whole.covered(runs)[0] > 0.95
+        assert whole.chained(runs)[0][0] > 0.95
+
+
+NAMES = [
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"), ("cc-by-nc-nd", "a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"), ("cc-by-sa", "Creative Commons Attribution-ShareAlike 2.5"), ("cc-by", "Creative Commons Attribution 4.0 International"),
+    ("cc-by-nc", "Creative Commons Attribution-Non Commercial licence"), ("cc-by,cc-by-nc-sa", "CC BY-NC-SA 4.0"), ("cc-by,cc-by-nd", "under CC-BY-ND"), ("cc-by", "CC BY 4.0"), ("cc-by,cc-by-nc-nd", "CC BY-NC-ND"),
+    ("gpl,lgpl", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("agpl,gpl", "GNU AFFERO GENERAL PUBLIC LICENSE"), ("gpl", "GNU GENERAL PUBLIC LICENSE Version 3"), ("mpl-2.0", "Mozilla Public License Version 2.0"),
+    ("mit", "The MIT License (MIT)"), ("bsd", "BSD 3-Clause License"), ("apache-2.0", "Apache License, Version 2.0"), ("cc0", "CC0 1.0 Universal"), ("reserved", "All rights reserved."), ("", "Creative Commons"), ("", "any License"),
+]
+
+
+def test_each_licence_has_its_own_label_and_no_other(spark):
+    notices = [(label, text) for label, text in licenses.NOTICES]
+    base = lambda t: {x for p, x in licenses.PHRASES.items() if f" {p} " in f" {' '.join(w.decode() for w in licenses.word_list(t))} "}
+    asked = [(set(filter(None, label.split(","))), text) for label, text in NAMES] + [({label} | base(t), t) for label, t in notices + licenses.creative_commons()]
+    docs = spark.createDataFrame([(k, f"before this, {t} and behind it") for k, (_, t) in enumerate(asked)] + [(-1, " ... ".join(t for _, t in asked))], SCHEMA)
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for k, (labels, text) in enumerate(asked):
+        assert set(filter(None, got[k].labels.split(","))) == labels, text
+    assert set(got[-1].labels.split(",")) == set().union(*(x for x, _ in asked))
+
+
+def test_overlapping_licences():
+    """Against all orders of taking: more words first."""
+    rng = random.Random(3)
+    for _ in range(300):
+        found = [(z - a, a, z, k) for k in range(rng.randint(0, 12)) for a in [rng.randint(0, 30)] for z in [a + rng.randint(1, 9)]]
+        taken = []
+        for x in sorted(found, key=lambda x: (-x[0], x[1], x[3])):
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in taken):
+                taken.append(x)
+        assert licenses.Scanner.apart(found) == sorted(taken, key=lambda x: x[1])
 
 
 def reference_spans(text):
@@ -455,3 +487,12 @@ def test_a_very_long_text(spark):
     model = toxicity.Model([toxicity.count_grams(["good words here"]), toxicity.count_grams(["bad words here"])])
     assert np.isfinite(toxicity.Scorer(model, 1.0, 0.0).features(pa.array(texts))).all()
     assert time.time() - began < 120
+
+
+def test_inline_elements_part_no_block():
+    """What is left out inside a paragraph parts it only where it is a block; what is hidden, or stands in place of an object, stays."""
+    for tag, other in (("button", "x"), ("select", "<option>x</option>"), ("script", "x"), ("noscript", "x")):
+        assert html_text.main_text(f"<article><p>a <{tag}>{other}</{tag}> b</p><p>c</p></article>") == "a b\n\nc"
+    assert html_text.main_text('<p>a <span aria-hidden="true">b</span> <b hidden>c</b> <i style="display:none">d</i> e</p>') == "a b c d e"
+    assert html_text.main_text("<article><p>a <object>b</object> <canvas>c</canvas> <label>d</label></p></article>") == "a b c d"
+    assert html_text.main_text("<article>a <nav>m</nav> b<menu>n</menu>c</article>") == "a\n\nb\n\nc"
