@@ -48,15 +48,27 @@ def spectral_gap_filter(modes: DataFrame, threshold: float, keys: Sequence[str]
     return ranked.withColumn("num_noise", noise).withColumn("physical", F.col("rank") >= F.col("num_noise")).drop("_ratio")
 
 
-def basin_vectors(members: DataFrame, rt: float, keys: Sequence[str] = KEYS, group: str = "comp_id") -> DataFrame:
-    """keys, group, basin_id, node_id, chi = sqrt(w) / sum of the basin's w, with w from the group's least energy."""
-    least = members.groupBy(*keys, group).agg(F.min("energy").alias("_e0"))
-    w = members.join(least, [*keys, group]).withColumn("_w", F.exp(-(F.col("energy") - F.col("_e0")) / rt))
+def basin_vectors(members: DataFrame, rt: float, keys: Sequence[str] = KEYS, group: str = "comp_id", least: DataFrame | None = None) -> DataFrame:
+    """keys, group, basin_id, node_id, chi = sqrt(w) / sum of the basin's w, with w from the group's least energy (or least, with _e0)."""
+    if least is None:
+        least = members.groupBy(*keys, group).agg(F.min("energy").alias("_e0"))
+    w = members.join(least, [c for c in (*keys, group) if c in least.columns]).withColumn("_w", F.exp(-(F.col("energy") - F.col("_e0")) / rt))
     total = w.groupBy(*keys, group, "basin_id").agg(F.sum("_w").alias("_total"))
     chi = F.when(F.col("_total") > 0, F.sqrt("_w") / F.col("_total")).otherwise(F.lit(0.0))
     return w.join(total, [*keys, group, "basin_id"]).select(*keys, group, "basin_id", "node_id", chi.alias("chi"))
 
 
+def project_arrays(vectors: DataFrame, modes: DataFrame, number: int, keys: Sequence[str] = KEYS, group: str = "comp_id", shared: bool = False) -> DataFrame:
+    """`project_vectors` with a node's values on all modes (at most number) in one array: modes has keys, group, node_id, v.
+
+    shared: modes has no null_id and serves all samples. Sums are made in each task before anything is shuffled.
+    """
+    on = [c for c in (*keys, group, "node_id") if not (shared and c == "null_id")]
+    sums = F.array(*[F.sum(F.col("chi") * F.get("v", F.lit(k))) for k in range(number)])
+    each = vectors.join(modes, on).groupBy(*keys, group, "basin_id").agg(sums.alias("_x"))
+    return each.select(*keys, group, "basin_id", F.posexplode("_x").alias("mode", "x")).where("x is not null")
+
+
 def project_vectors(vectors: DataFrame, modes: DataFrame, keys: Sequence[str] = KEYS, group: str = "comp_id") -> DataFrame:
     """keys, group, basin_id, mode, x = sum over nodes of chi * v: a sparse matrix product. modes: keys, group, mode, node_id, v."""
     return vectors.join(modes, [*keys, group, "node_id"]).groupBy(*keys, group, "basin_id", "mode").agg(F.sum(F.col("chi") * F.col("v")).alias("x"))

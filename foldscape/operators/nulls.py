@@ -74,12 +74,11 @@ def _swapped(edges: DataFrame, on: Sequence[str], seed: int, turn: int) -> DataF
     with these degrees are equally likely in the long run.
     """
     found = _proposals(edges, on, seed, turn)
-    touched = found.select(*on, "id", F.explode(F.concat("olds", "news")).alias("e")).select(*on, "id", "e.src", "e.dst")
-    often = F.count(F.lit(1)).over(Window.partitionBy(*on, "src", "dst"))
-    clash = touched.withColumn("_often", often).where("_often > 1").select(*on, "id").distinct().withColumn("_clash", F.lit(True))
-    judged = found.join(clash, [*on, "id"], "left")
-    after = F.when(F.col("_clash").isNull() & (F.size("news") > 0), F.col("news")).otherwise(F.col("olds"))
-    return judged.select(*on, "_buckets", F.explode(after).alias("e")).select(*on, "_buckets", "e.src", "e.dst", "e.swaps")
+    ends = lambda c, new: F.transform(c, lambda e: F.struct(F.lit(new).alias("new"), e["src"].alias("src"), e["dst"].alias("dst"), e["swaps"].alias("swaps")))
+    touched = found.select(*on, "_buckets", "id", F.explode(F.concat(ends("olds", False), ends("news", True))).alias("e"))
+    often = F.count(F.lit(1)).over(Window.partitionBy(*on, "e.src", "e.dst"))
+    judged = touched.withColumn("_often", often).groupBy(*on, "_buckets", "id").agg(F.collect_list("e").alias("es"), ((F.max("_often") == 1) & F.max("e.new")).alias("_swap"))  # four edges
+    return judged.select(*on, "_buckets", F.explode(F.filter("es", lambda e: e["new"] == F.col("_swap"))).alias("e")).select(*on, "_buckets", "e.src", "e.dst", "e.swaps")
 
 
 def topology_shuffle(edges: DataFrame, n: int, swaps_per_edge: int, seed: int, keys: Sequence[str] = ("seq_id", "run_id"), most: int = 100) -> DataFrame:

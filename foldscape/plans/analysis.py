@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +12,15 @@ from ..functions import half_even, sample_std
 from ..operators import nulls
 from ..operators.basins import basin_weights, gradient_basins, top_basins
 from ..operators.components import connected_components, significant_components
+from ..operators.kinetics import basin_vectors, distance_tiles, pairwise_distances, project_arrays, spectral_gap_filter, weighted_coordinates
+from ..operators.modes import slow_modes
 from ..operators.neighbors import edges_within, neighbor_graph
+from ..operators.nulls import random_basins, with_samples
 from ..operators.pairs import allowed_pairs, pair_index
 from ..operators.sampler import sample
-from ..operators.spectral import component_spectra
 from ..operators.stats import mean_std, two_sided_p
 from ..operators.structures import KEYS, dedup_min_energy, distinct_capped, dotbracket_pairs, encode_pairs, energy_window, enough_states, node_index
-from ..operators.triplets import between_share, weighted_score
+from ..operators.triplets import between_share, score_tiles, shares, weighted_score
 from ..params import Params
 from ..storage import kept
 
@@ -43,27 +46,75 @@ def graph_members(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS
     return kept(connected_components(nodes, edges, keys), "members")
 
 
-def analyze_graph(nodes: DataFrame, edges: DataFrame, members: DataFrame, p: Params, keys: Sequence[str] = KEYS, random: tuple[int, int] | None = None, main_only: bool = False) -> DataFrame:
-    """One row for each component with enough basins: that of component_spectra, with u_nt, u_tr, u_non and num_triplets."""
+@dataclass
+class Spectra:
+    """What the distances of basins come from: keys, comp_id in all of them; with samples of random basins, null_id is theirs in basins and points."""
+
+    #: comp_size, num_basins, basins (by rank)
+    basins: DataFrame
+    #: mode, eigenvalue, rank, num_noise, physical
+    modes: DataFrame
+    #: id (the basin's rank), vector
+    points: DataFrame
+    #: reason of components whose modes were not found
+    failed: DataFrame
+
+
+def component_spectra(nodes: DataFrame, edges: DataFrame, members: DataFrame, p: Params, keys: Sequence[str] = KEYS, samples: int | None = None, main_only: bool = False) -> Spectra:
+    """Basins, slow modes and the basins' coordinates on them, of the significant components (or the main ones) with three basins or more.
+
+    samples: so many deals of the nodes to basins of the same sizes at random, over the same modes, with null_id (one of keys) from 0.
+    """
+    on = [*keys, "comp_id"]
     chosen = significant_components(members, p.alpha, keys).select(*keys, "component", "comp_id")
     if main_only:
         chosen = chosen.where("comp_id = 0")
-    local = kept(nodes.select(*keys, "node_id", "energy").join(members, [*keys, "node_id"]).join(chosen, [*keys, "component"]).select(*keys, "comp_id", "node_id", "energy"), "local")
-    inner = kept(edges_within(edges, local.select(*keys, "node_id", "comp_id"), keys).select(*keys, "comp_id", "src", "dst"), "inner")
-    basins = gradient_basins(local, inner, keys, p.tolerance)
-    placed = kept(local.join(basins, [*keys, "node_id"]), "placed")
-    ranked = top_basins(basin_weights(placed, p.rt, keys), p.min_basin_size, p.max_basins, keys, least=3)
-    inside = placed.join(ranked.select(*keys, "comp_id", "basin_id", "rank"), [*keys, "comp_id", "basin_id"])
-    groups = ranked.select(*keys, "comp_id").distinct()
-    spectra = component_spectra(local.join(groups, [*keys, "comp_id"], "left_semi"), inner.join(groups, [*keys, "comp_id"], "left_semi"), inside, p, keys, random)
-    return with_scores(spectra)
-
-
-def with_scores(spectra: DataFrame) -> DataFrame:
-    """Adds num_triplets and the percentages u_nt, u_tr and u_non to rows with the three counts."""
-    n = F.col("n_nontrivial") + F.col("n_trivial") + F.col("n_non")
-    share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("num_triplets")), F.lit(0.0))
-    return spectra.withColumn("num_triplets", n).withColumns({"u_nt": share("n_nontrivial"), "u_tr": share("n_trivial"), "u_non": share("n_non")})
+    local = kept(nodes.select(*keys, "node_id", "energy").join(members, [*keys, "node_id"]).join(chosen, [*keys, "component"]).select(*on, "node_id", "energy"), "local")
+    inner = kept(edges_within(edges, local.select(*on, "node_id"), keys).select(*on, "src", "dst"), "inner")
+    placed = kept(local.join(gradient_basins(local, inner, keys, p.tolerance), [*keys, "node_id"]), "placed")
+    ranked = kept(top_basins(basin_weights(placed, p.rt, keys), p.min_basin_size, p.max_basins, keys, least=3).select(*on, "basin_id", "rank"), "ranked")
+    groups = ranked.select(*on).distinct()
+    usable = placed.join(groups, on, "left_semi")
+    values, vectors, failed = slow_modes(usable, inner.join(groups, on, "left_semi"), p.num_modes, p.rt, p.prefactor, keys, order=["basin_id"])
+    modes = spectral_gap_filter(values.select(*on, F.posexplode("eigenvalues").alias("mode", "eigenvalue")), p.gap_threshold, on)
+    modes = kept(modes, "physical")
+    dealt = usable.join(ranked, [*on, "basin_id"], "left").select(*on, "node_id", "energy", F.col("rank").cast("long").alias("basin_id"))
+    sizes = usable.groupBy(*on).agg(F.count(F.lit(1)).alias("comp_size"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "basin_id"))), lambda x: x["basin_id"])  # of max_basins at most
+    basins = ranked.groupBy(*on).agg(F.max("rank").cast("int").alias("num_basins"), names.alias("basins")).join(sizes, on)
+    others = [k for k in keys if k != "null_id"]
+    if samples is not None:
+        energies = dealt.select(*on, "node_id", "energy")
+        dealt = random_basins(dealt.drop("energy", "null_id"), samples, p.seed, others).join(energies.drop("null_id"), [*others, "comp_id", "node_id"])
+        basins = with_samples(basins, samples)
+    chi = basin_vectors(dealt.where("basin_id is not null"), p.rt, keys, least=usable.groupBy(*on).agg(F.min("energy").alias("_e0")).drop(*[k for k in ["null_id"] if samples is not None]))
+    x = project_arrays(chi, vectors.drop(*(["null_id"] if samples is not None else [])), p.num_modes, keys, shared=samples is not None)
+    physical = modes.where("physical")
+    if samples is not None:
+        physical = with_samples(physical, samples)
+    points = weighted_coordinates(x, physical, p.rt, p.prefactor, keys)
+    return Spectra(basins, modes, kept(points, "points"), failed)
+
+
+def component_distances(found: Spectra, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, comp_id, a < b (basins by rank, from 0), d."""
+    return pairwise_distances(found.points, keys).withColumns({"a": F.col("a") - 1, "b": F.col("b") - 1})
+
+
+def analyze_graph(nodes: DataFrame, edges: DataFrame, members: DataFrame, p: Params, keys: Sequence[str] = KEYS, samples: int | None = None, main_only: bool = False) -> DataFrame:
+    """One row for each component with enough basins: keys, comp_id, comp_size, num_basins, basins, eigenvalues, num_noise_modes, num_phys_modes,
+    n_nontrivial, n_trivial, n_non, num_triplets, u_nt, u_tr, u_non, status and, where it failed, reason."""
+    on = [*keys, "comp_id"]
+    found = component_spectra(nodes, edges, members, p, keys, samples, main_only)
+    counts = score_tiles(kept(distance_tiles(found.points, keys), "tiles"), p, keys)
+    spectrum = F.transform(F.array_sort(F.collect_list(F.struct("rank", "eigenvalue"))), lambda x: x["eigenvalue"])
+    values = found.modes.groupBy(*on).agg(spectrum.alias("eigenvalues"), F.max("num_noise").cast("int").alias("num_noise_modes"), F.count_if("physical").cast("int").alias("num_phys_modes"))
+    shared = on if samples is None else [c for c in on if c != "null_id"]
+    drop = [] if samples is None else ["null_id"]
+    rows = found.basins.join(values.drop(*drop), shared, "left").join(found.failed.drop(*drop), shared, "left").join(counts, on, "left")
+    reason = F.coalesce("reason", F.when(F.coalesce("num_phys_modes", F.lit(0)) == 0, "no physical mode is left"))
+    rows = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("failed"))
+    return shares(rows.fillna(0, ["n_nontrivial", "n_trivial", "n_non", "num_noise_modes", "num_phys_modes"]))
 
 
 def run_stats(components: DataFrame, nodes: DataFrame, members: DataFrame, p: Params, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -104,7 +155,7 @@ def null_runs(model: str, nodes: DataFrame, edges: DataFrame, members: DataFrame
     n, e, m = (x.where("null_id = -1").join(first, ["seq_id", "run_id"]) for x in (nodes, edges, members))
     if model == "random_basins":
         e, m = e.select(*keys, "src", "dst"), kept(m, "main")
-        components = kept(analyze_graph(n, e, m, p, keys, random=(p.seed + nulls.RANDOM_BASINS, p.num_null), main_only=True), "null_components")
+        components = kept(analyze_graph(n, e, m, p, keys, samples=p.num_null, main_only=True), "null_components")
         return _scores(weighted_score(components.where("status = 'ok'"), keys))
     if model == "energy_shuffle":
         n, e, m = nulls.energy_shuffle(n, p.num_null, p.seed), nulls.with_samples(e, p.num_null), kept(nulls.with_samples(m, p.num_null), "null_members")

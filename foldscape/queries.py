@@ -10,28 +10,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import COMPLEMENTARY, normalize_sequence
 from .operators import basins as B
 from .operators import components as C
 from .operators import kinetics as K
+from .operators import modes as M
 from .operators import neighbors as J
 from .operators import nulls as N
 from .operators import pairs as P
 from .operators import stats as R
 from .operators import structures as G
 from .operators import triplets as T
-from .operators.spectral import basin_distances, noise_modes, rate_matrix, score_triplets, spectrum_distances
 from .params import Params
-from .plans.analysis import analyze_graph, graph_members, run_stats, with_scores
+from .plans.analysis import analyze_graph, component_distances, component_spectra, graph_members, run_stats
 from .plans.analysis import sequence_summary as sequence_summary_of
 from .plans.report import main_table, null_table
 from .sources import fasta
-from .storage import kept, numbered, ship
+from .storage import kept, numbered
 
 PARAMS = Params(min_basin_size=2)
 NONE: list[str] = []
@@ -514,78 +512,72 @@ def mode_distance(spark, sf):
 
 @query(f"{LANDSCAPE}, {REACH}, {DESCENT}, {FIXED_SQL}")
 def kernel_distance(spark, sf):
-    """The same by the function that the analysis runs for each component."""
-    n = landscape(spark, sf)
-
-    ship(spark)
-
-    def solve(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("node_id")
-        ids = t["node_id"].to_numpy()
-        names = np.unique(t["basin_id"])
-        m = np.array(FIXED_MODES)
-        members = [np.flatnonzero(t["basin_id"].to_numpy() == x) for x in names]
-        d = basin_distances(t["energy"].to_numpy(), members, -m / 8.0, ((ids[:, None] * (2 * m + 1)) % 11 - 5) / 7.0, PARAMS.rt, 1.0)
-        i, j = np.triu_indices(len(names), 1)
-        return pd.DataFrame({"comp_id": key[0], "a": names[i], "b": names[j], "d": d[i, j]})
-
-    return land_placed(n, land_edges(n)).groupBy("comp_id").applyInPandas(solve, "comp_id int, a long, b long, d double").withColumn("d", F.round("d", 6))
-
-
-def _kernel_rates(spark: SparkSession, sf: str, emit, schema: str) -> DataFrame:
-    """emit(node ids, matrix) of the rate matrix that the analysis makes for each component."""
+    """The same with a node's values on all modes as one array, as the analysis has them."""
     n = landscape(spark, sf)
     placed = land_placed(n, land_edges(n))
-    inner = kept(J.edges_within(land_edges(n), placed.select("node_id", "comp_id"), NONE).select("comp_id", "src", "dst"), "inner")
-
-    ship(spark)
+    v = F.array(*[((F.col("node_id") * (2 * m + 1)) % 11 - 5) / 7.0 for m in FIXED_MODES])
+    x = K.project_arrays(K.basin_vectors(placed, PARAMS.rt, NONE), placed.select("comp_id", "node_id", v.alias("v")), len(FIXED_MODES), NONE)
+    values = placed.select("comp_id").distinct().select("comp_id", F.posexplode(F.array(*[F.lit(-m / 8.0) for m in FIXED_MODES])).alias("mode", "eigenvalue"))
+    return K.pairwise_distances(K.weighted_coordinates(x, values, PARAMS.rt, keys=NONE), NONE).withColumn("d", F.round("d", 6))
 
-    def solve(key: tuple, t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("node_id")
-        ids = t["node_id"].to_numpy()
-        return emit(ids, rate_matrix(t["energy"].to_numpy(), np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy()), PARAMS.rt, 1.0)) if len(e) else pd.DataFrame()
 
-    return placed.groupBy("comp_id").cogroup(inner.groupBy("comp_id")).applyInPandas(solve, schema)
+def _block_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """The rates as the solver's blocks hold them, of all components as one graph."""
+    n = landscape(spark, sf)
+    return M.block_rates(n.select(F.lit(0).alias("comp_id"), "node_id", "energy"), land_edges(n).select(F.lit(0).alias("comp_id"), "src", "dst"), PARAMS.rt, keys=NONE)
 
 
 @query(f"{LANDSCAPE}, {RATES} SELECT p, q, round(s_pq, 6) AS s_pq FROM rates")
 def kernel_rates(spark, sf):
-    emit = lambda ids, m: pd.DataFrame({"p": ids[m.p], "q": ids[m.q], "s_pq": m.s.round(6)})
-    return _kernel_rates(spark, sf, emit, "p long, q long, s_pq double")
+    return _block_rates(spark, sf).where("p < q").select("p", "q", F.round(F.sqrt(F.col("leave") * F.col("back")), 6).alias("s_pq"))
 
 
 @query(f"{LANDSCAPE}, {RATES} SELECT p, round(-sum(k), 6) AS d FROM (SELECT p, k_pq AS k FROM rates UNION ALL SELECT q, k_qp FROM rates) GROUP BY p")
 def kernel_diagonal(spark, sf):
-    emit = lambda ids, m: pd.DataFrame({"p": ids, "d": m.diagonal})
-    return _kernel_rates(spark, sf, emit, "p long, d double").withColumn("d", F.round("d", 6))
+    return _block_rates(spark, sf).groupBy("p").agg(F.round(-F.sum("leave"), 6).alias("d"))
 
 
 @query("""WITH m AS (SELECT user_id, abs(value) AS size, row_number() OVER (PARTITION BY user_id ORDER BY abs(value)) - 1 AS rank, lag(abs(value)) OVER (PARTITION BY user_id ORDER BY abs(value)) AS before FROM events)
     SELECT user_id, CAST(coalesce(min(CASE WHEN CASE WHEN before IS NULL THEN false WHEN before < 1e-30 THEN size > 1e-30 ELSE size / before > 1.5 END THEN rank END), 1) AS INT) AS num_noise FROM m GROUP BY user_id""")
 def kernel_noise_modes(spark, sf):
-    ship(spark)
-
-    def count(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]], "num_noise": [noise_modes(np.sort(t["value"].abs().to_numpy()), 1.5)]})
+    modes = table(spark, sf, "events").select("user_id", F.col("event_id").alias("mode"), F.col("value").alias("eigenvalue"))
+    return K.spectral_gap_filter(modes, 1.5, ["user_id"]).groupBy("user_id").agg(F.max("num_noise").cast("int").alias("num_noise"))
 
-    return table(spark, sf, "events").select("user_id", "value").groupBy("user_id").applyInPandas(count, "user_id long, num_noise int")
 
-
-def _spectra(spark: SparkSession, sf: str) -> DataFrame:
+def _components(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = landscape(spark, sf)
     n, e = n.select(F.lit(0).alias("batch"), "*"), land_edges(n).select(F.lit(0).alias("batch"), "*")
-    return kept(analyze_graph(n, e, graph_members(n, e, ["batch"]), PARAMS, ["batch"]), "spectra")
+    return n, e, graph_members(n, e, ["batch"])
 
 
 @query(None)
 def eigenmodes(spark, sf):
-    s = _spectra(spark, sf)
-    return s.select("comp_id", "comp_size", "num_noise_modes", "num_phys_modes", F.posexplode("eigenvalues").alias("mode", "eigenvalue"))
+    found = component_spectra(*_components(spark, sf), PARAMS, ["batch"])
+    count = F.count(F.lit(1)).over(Window.partitionBy("comp_id")).cast("int")
+    each = found.modes.withColumn("num_phys_modes", count - F.col("num_noise")).join(found.basins.select("comp_id", "comp_size"), "comp_id")
+    return each.select("comp_id", "comp_size", F.col("num_noise").alias("num_noise_modes"), "num_phys_modes", F.col("rank").alias("mode"), "eigenvalue")
 
 
 @query(None)
 def kinetic_distance(spark, sf):
-    return spectrum_distances(_spectra(spark, sf), ["batch"]).drop("batch")
+    return component_distances(component_spectra(*_components(spark, sf), PARAMS, ["batch"]), ["batch"]).drop("batch")
+
+
+#: Slow modes of the path that is asked for.
+PATH_MODES = 20
+
+
+@query(f"""SELECT CAST(k AS INT) AS mode, round(n * CAST(n AS DOUBLE) * (2 - 2 * cos(pi() * k / n)), 2) AS scaled
+    FROM (SELECT count(*) AS n FROM orders), (SELECT unnest(range({PATH_MODES})) AS k)""")
+def path_spectrum(spark, sf):
+    """The slow modes of one component of all orders, each joined to the next by key, at one energy: a path, whose spectrum is known. Scaled by n^2."""
+    nodes = kept(numbered(table(spark, sf, "orders").select("o_orderkey"), "node_id", ["o_orderkey"]).select(F.lit(0).alias("comp_id"), "node_id", F.lit(0.0).alias("energy")), "path")
+    ends = nodes.agg(F.max("node_id").alias("last"))
+    edges = nodes.join(F.broadcast(ends), F.col("node_id") < F.col("last")).select("comp_id", F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))  # one row
+    values, _, _ = M.slow_modes(nodes, edges, PATH_MODES, 1.0, keys=NONE)
+    n = F.col("last") + 1
+    each = values.join(F.broadcast(ends)).select("last", F.posexplode("eigenvalues").alias("mode", "value"))
+    return each.select("mode", F.round(-F.col("value") * n * n.cast("double"), 2).alias("scaled"))
 
 
 # --- triplets and scores ------------------------------------------------------------
@@ -609,17 +601,9 @@ def ultrametricity_score(spark, sf):
 
 @query(f"WITH {POINTS}, {TRIPLES} SELECT comp_id, num_triplets, round(u_nt, 6) AS u_nt, round(u_tr, 6) AS u_tr, round(u_non, 6) AS u_non FROM scores")
 def kernel_scores(spark, sf):
-    """The same by the function that the analysis runs for each component, a row of the matrix at a time."""
-
-    ship(spark)
-
-    def solve(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(t.sort_values("id")["vector"].to_numpy())
-        nt, tr, non = score_triplets(np.stack([np.sqrt(((x - y) ** 2).sum(axis=1)) for y in x]), PARAMS)
-        return pd.DataFrame({"comp_id": [key[0]], "n_nontrivial": [nt], "n_trivial": [tr], "n_non": [non]})
-
-    found = points(spark, sf).groupBy("comp_id").applyInPandas(solve, "comp_id int, n_nontrivial long, n_trivial long, n_non long")
-    return with_scores(found).where("num_triplets > 0").select("comp_id", "num_triplets", *[F.round(c, 6).alias(c) for c in ("u_nt", "u_tr", "u_non")])
+    """The same from a table of distances, some of which might be missing."""
+    found = T.shares(T.score_tiles(kept(T.tiles_of(point_distances(spark, sf), NONE), "tiles"), PARAMS, NONE))
+    return found.select("comp_id", "num_triplets", *[F.round(c, 6).alias(c) for c in ("u_nt", "u_tr", "u_non")])
 
 
 @query(f"""WITH {POINTS}, {TRIPLES} SELECT CAST(sum(num_triplets) AS BIGINT) AS total_triplets, round(sum(u_nt * num_triplets) / sum(num_triplets), 6) AS weighted_u_nt,

@@ -105,8 +105,8 @@ def ranked(df: DataFrame, name: str, order: Sequence[str], keys: Sequence[str] =
     counts = ranges.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_count"))
     begin = counts.withColumn("_begin", F.coalesce(F.sum("_count").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("_part", *keys).orderBy(*order)
-    placed = ranges.withColumn("_place", F.row_number().over(inside) - 1)
-    return placed.join(begin.drop("_count"), ["_part", *keys]).withColumn(name, (F.col("_place") + F.col("_begin")).cast("long")).drop("_part", "_begin", "_place")
+    placed = ranges.withColumn("_within", F.row_number().over(inside) - 1)
+    return placed.join(begin.drop("_count"), ["_part", *keys]).withColumn(name, (F.col("_within") + F.col("_begin")).cast("long")).drop("_part", "_begin", "_within")
 
 
 def numbered(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
