@@ -6,11 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldscape import queries
 from foldscape.functions import half_even, triangle_label
-from foldscape.operators import basins, components, kinetics, neighbors, nulls, pairs, stats, structures, triplets
+from foldscape.operators import basins, components, kinetics, modes, neighbors, nulls, pairs, stats, structures, triplets
 from foldscape.operators.sampler import Fold, sample, sample_structures, structure_energy
-from foldscape.operators.spectral import Sparse, basin_distances, noise_modes, rate_matrix, score_triplets, slow_modes
 from foldscape.params import Params
 from foldscape.plans import analysis
 from foldscape.plans import report as reporting
@@ -32,6 +30,17 @@ def edges_of(spark, edges):
     return spark.createDataFrame(edges, "src long, dst long")
 
 
+def dense(energies, edges, prefactor=1.0):
+    """The symmetric rate matrix, entry by entry."""
+    out = np.zeros((len(energies), len(energies)))
+    for a, b in edges:
+        top = max(energies[a], energies[b])
+        out[a, b] = out[b, a] = prefactor * math.exp(-abs(energies[a] - energies[b]) / (2 * RT))
+        for x in (a, b):
+            out[x, x] -= prefactor * math.exp(-(top - energies[x]) / RT)
+    return out
+
+
 def test_params_are_checked():
     assert math.isclose(RT, 0.61633140092885)
     for bad in ({"epsilon": 0.2, "delta": 0.1}, {"temperature_celsius": 101.0}, {"null_model": "other"}, {"energy_window": 0.0}, {"num_runs": 0}):
@@ -123,8 +132,7 @@ def test_rates_and_weights(spark):
     assert math.isclose(x.s_pq, 0.44430151130865936) and x.k_pq == 1 and math.isclose(x.k_qp, 0.19740383295115874)
     d = dict(rows(kinetics.rate_diagonal(r, []), "p", "d"))
     assert math.isclose(d[0], -1) and math.isclose(d[1], -0.19740383295115874)
-    m = rate_matrix(np.array([-1.0, -2.0]), np.array([0]), np.array([1]), RT, 1.0)
-    assert np.allclose(np.linalg.eigvalsh(m.dense()), [-1.19740383, 0], atol=1e-8)
+    assert np.allclose(np.linalg.eigvalsh(dense([-1.0, -2.0], [(0, 1)])), [-1.19740383, 0], atol=1e-8)
     w = basins.basin_weights(nodes_of(spark, [0, 1]).withColumns({"comp_id": F.lit(0), "basin_id": F.lit(0)}), RT, [])
     assert math.isclose(w.first().z, 1.1974038329511587)
     chi = kinetics.basin_vectors(nodes_of(spark, [0, 1]).withColumns({"comp_id": F.lit(0), "basin_id": F.lit(0)}), RT, [])
@@ -135,7 +143,7 @@ def test_rates_and_weights(spark):
 def test_gap(spark, values, noise):
     modes = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "mode int, eigenvalue double")
     got = kinetics.spectral_gap_filter(modes, 1e6)
-    assert {r.num_noise for r in got.collect()} == {noise} == {noise_modes(np.array(values, dtype=float), 1e6)}
+    assert {r.num_noise for r in got.collect()} == {noise}
     assert got.where("physical").count() == len(values) - noise
 
 
@@ -151,9 +159,36 @@ def test_triangles(spark):
     got = [r.x for r in t.select(triangle_label(F.col("c"), F.col("a"), F.col("b")).alias("x")).collect()]
     assert got == list(TRIANGLES.values())
     for sides, label in TRIANGLES.items():
-        d = np.zeros((3, 3))
-        d[0, 1], d[0, 2], d[1, 2] = sides
-        assert score_triplets(d, P) == tuple(int(label == x) for x in ("nontrivial", "trivial", "non_ultrametric"))
+        assert triplets.label_counts(*map(np.array, sides), P).tolist() == [int(label == x) for x in ("nontrivial", "trivial", "non_ultrametric")]
+
+
+@pytest.mark.parametrize("block", [256, 7, 1])
+def test_scores_by_blocks(spark, monkeypatch, block):
+    """Scores from tiles of distances against all triplets, one at a time; with pairs that are missing, null, infinite or no number."""
+    monkeypatch.setattr(triplets, "BLOCK", block)
+    rng = np.random.RandomState(4)
+    points = [(g, int(k), [float(x) for x in rng.randint(0, 5, 3)]) for g, n in ((0, 23), (1, 9), (2, 2), (3, 1)) for k in rng.choice(1000, n, replace=False)]
+    t = spark.createDataFrame(points, "comp_id int, id long, vector array<double>")
+    d = {(g, min(a, b), max(a, b)): math.dist(x, y) for g, a, x in points for h, b, y in points if g == h and a < b}
+    pairs_ = kinetics.pairwise_distances(t, []).collect()
+    assert len(pairs_) == len(d) and all(math.isclose(r.d, d[r.comp_id, r.a, r.b], abs_tol=1e-12) for r in pairs_)
+    odd = dict(d)
+    for k, key in enumerate(sorted(d)):
+        if k % 7 == 0:
+            del odd[key]
+        elif k % 11 == 0:
+            odd[key] = [None, math.nan, math.inf][k % 3]
+    table = spark.createDataFrame([(*k, v) for k, v in odd.items()], "comp_id int, a int, b int, d double")
+    for tiles, known in ((kinetics.distance_tiles(t, []), d), (triplets.tiles_of(table, []), odd)):
+        want = {}
+        for (g, i, j), ij in known.items():
+            for (h, a, k), ik in known.items():
+                if (g, i) == (h, a) and j < k and (g, j, k) in known:
+                    sides = [math.nan if x is None else x for x in (ij, ik, known[g, j, k])]
+                    want[g] = want.get(g, 0) + triplets.label_counts(*map(np.array, sides), P)
+        got = {r.comp_id: [r.n_nontrivial, r.n_trivial, r.n_non] for r in triplets.score_tiles(tiles, P, []).collect()}
+        assert got == {g: n.tolist() for g, n in want.items()} and len(got) == 2
+    assert triplets.score_tiles(kinetics.distance_tiles(t.where("false"), []), P, []).count() == 0
 
 
 PATH = [0, 1, 2, 1, 0.5, 2, 0.25]
@@ -169,33 +204,83 @@ def test_kinetic_distance(spark, prefactor):
     r = found.first()
     assert np.allclose(np.array(r.eigenvalues)[1:] / prefactor, [-0.0198449, -0.08091003, -1.10461961, -1.49110668, -2.09341206], atol=1e-7)
     assert r.num_noise_modes == 1 and r.num_phys_modes == 5 and (r.n_nontrivial, r.n_trivial, r.n_non) == (0, 0, 1)
-    named = {frozenset((r.basins[a], r.basins[b])): d for (a, b), d in zip([(0, 1), (0, 2), (1, 2)], r.distances, strict=True)}
+    apart = analysis.component_distances(analysis.component_spectra(n, e, m, p, ["batch"]), ["batch"]).collect()
+    named = {frozenset((r.basins[x.a], r.basins[x.b])): x.d for x in apart}
+    assert len(named) == len(apart) == 3
     assert np.allclose([named[frozenset(k)] for k in ((0, 4), (0, 6), (4, 6))], [4.589977, 6.365706, 4.316244], atol=1e-6)
     stats_row = analysis.run_stats(found, n, m, p, ["batch"]).first()
     assert stats_row.weighted_u_non == 100 and stats_row.f_inter == 0 and stats_row.total_basins == 3
-    from foldscape.operators.spectral import spectrum_distances
 
-    flat = spectrum_distances(found, ["batch"])
-    assert np.allclose([x.d for x in flat.orderBy("a", "b").collect()], r.distances)
 
+def solved(spark, energies, edges, k, labels=None):
+    """Eigenvalues and vectors (by node) of one component."""
+    n = nodes_of(spark, energies).withColumn("comp_id", F.lit(0))
+    n = n.withColumn("near", F.lit(0)) if labels is None else n.join(spark.createDataFrame(list(enumerate(labels)), "node_id long, near long"), "node_id")
+    values, vectors, failed = modes.slow_modes(n, edges_of(spark, edges).withColumn("comp_id", F.lit(0)), k, RT, keys=[], order=["near"])
+    assert failed.count() == 0
+    return np.array(values.first().eigenvalues), np.array([r.v for r in vectors.orderBy("node_id").collect()])
 
-def test_lanczos_is_the_dense_solution(monkeypatch):
-    from foldscape.operators import spectral
 
+@pytest.mark.parametrize(("block", "coarse"), [(1024, 2048), (60, 80)])
+def test_slow_modes_are_the_dense_solution(spark, monkeypatch, block, coarse):
+    """A graph without any order, as one block and as blocks of which each has a share of the coarse space only."""
+    monkeypatch.setattr(modes, "BLOCK", block)
+    monkeypatch.setattr(modes, "COARSE", coarse)
     rng = np.random.RandomState(3)
-    n = 300
-    p, q = zip(*{(min(a, b), max(a, b)) for a, b in [(k, k + 1) for k in range(n - 1)] + [tuple(rng.randint(0, n, 2)) for _ in range(900)] if a != b}, strict=True)
-    energy = rng.standard_normal(n)
-    m = rate_matrix(energy, np.array(p), np.array(q), RT, 1.0)
-    weight = np.exp(-(energy - energy.min()) / RT)
-    dense, vectors = slow_modes(m, weight, 20, 1e-4)
-    monkeypatch.setattr(spectral, "DENSE", 10)
-    values, found = spectral.slow_modes(m, weight, 20, 1e-4)
-    assert np.allclose(values[1:], dense[1:], rtol=1e-6) and abs(dense[0]) < 1e-10
+    n = 240
+    edges = sorted({(min(a, b), max(a, b)) for a, b in [(k, k + 1) for k in range(n - 1)] + [tuple(map(int, rng.randint(0, n, 2))) for _ in range(300)] if a != b})
+    energy = rng.standard_normal(n).tolist()
+    values, vectors = np.linalg.eigh(dense(energy, edges))
+    values, vectors = values[::-1][:12], vectors[:, ::-1][:, :12]
+    got, found = solved(spark, energy, edges, 12)
+    assert got[0] == 0 and np.allclose(got[1:], values[1:], rtol=1e-8)
+    w = np.exp(-(np.array(energy) - min(energy)) / RT)
     groups = np.array_split(rng.permutation(n), 6)
-    a, b = (basin_distances(energy, groups, v[1:], x[:, 1:], RT, 1.0) for v, x in ((dense, vectors), (values, found)))
-    assert np.allclose(a, b, rtol=1e-5)
-    assert isinstance(m, Sparse)
+    place = lambda x, v: np.array([np.sqrt(w[g]) @ x[g, 1:] / w[g].sum() for g in groups]) / np.sqrt(np.abs(v[1:]))
+    a, b = place(vectors, values), place(found, got)
+    apart = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.allclose(apart(a), apart(b), rtol=1e-5)
+
+
+def test_slow_modes_of_deep_wells(spark, monkeypatch):
+    """Two wells of a path, far below the hill between them: a mode that is some ten orders slower than the rest keeps its digits."""
+    monkeypatch.setattr(modes, "BLOCK", 16)
+    monkeypatch.setattr(modes, "COARSE", 24)
+    energy = [abs(abs(k - 30) - 15) / -1.0 for k in range(61)]
+    energy = [-e if e else 0.0 for e in energy]
+    edges = [(k, k + 1) for k in range(60)]
+    got, _ = solved(spark, energy, edges, 5)
+    # the second mode's rate in exact numbers, by bisection on the signs of a Sturm sequence
+    from fractions import Fraction
+
+    m = [[Fraction(x) for x in row] for row in (-dense(energy, edges)).tolist()]
+
+    def below(x):
+        q, n = Fraction(1), 0
+        for k in range(61):
+            q = m[k][k] - x - (m[k - 1][k] ** 2 / q if k else 0)
+            n += q < 0
+            q = Fraction(float(q)) or Fraction(1, 10**30)
+        return n
+
+    low, high = Fraction(1, 10**14), Fraction(1)
+    for _ in range(60):
+        mid = Fraction(float(low * high) ** 0.5)
+        low, high = (low, mid) if below(mid) >= 2 else (mid, high)
+    assert math.isclose(-got[1], float(high), rel_tol=1e-4)
+
+
+def test_ranks_of_one_key_with_all_rows(spark):
+    from foldscape.storage import ranked
+
+    rng = np.random.RandomState(2)
+    values = [(1, int(x)) for x in rng.permutation(3000)] + [(2, 5), (None, 7), (None, 3)]
+    t = spark.createDataFrame(values, "k int, x long").repartition(9)
+    got = ranked(t, "place", ["x"], ["k"]).collect()
+    assert sorted((r.k, r.x, r.place) for r in got if r.k == 1) == [(1, x, x) for x in range(3000)]
+    assert [(r.k, r.x, r.place) for r in got if r.k == 2] == [(2, 5, 0)]
+    assert rows(ranked(t.where("k = 1"), "place", ["x"]).where("x != place"), "x") == []
+    assert ranked(t.where("false"), "place", ["x"], ["k"]).count() == 0
 
 
 def test_scores_over_components(spark):
@@ -262,24 +347,36 @@ def test_places_of_the_null_models(spark):
         assert r.seq == "".join(text[i] for i in order)
 
 
-def test_swaps_against_a_slow_version():
-    """The same draws, with the edges as a list that is searched through."""
-    rng = np.random.RandomState(1)
-    edges = sorted({tuple(sorted(x)) for x in rng.randint(0, 12, (30, 2)).tolist() if x[0] != x[1]})
-    got = nulls.swap_edges(*map(np.array, zip(*edges, strict=True)), 40, np.random.RandomState(5))
-    slow, draws = [set(e) for e in edges], np.random.RandomState(5)
-    ordered, done = [tuple(e) for e in edges], 0
-    picks, coins = draws.randint(0, len(edges), (4000, 2)).tolist(), (draws.random_sample(4000) < 0.5).tolist()
-    for (i, j), coin in zip(picks, coins, strict=True):
-        (a, b), (c, d) = ordered[i], ordered[j][:: -1 if coin else 1]
-        new = [{a, d}, {c, b}]
-        if len({a, b, c, d}) == 4 and not any(x in slow for x in new):
-            slow[i], slow[j] = new
-            ordered[i], ordered[j] = tuple(sorted(new[0])), tuple(sorted(new[1]))
-            done += 1
-            if done == 40:
-                break
-    assert list(zip(*(x.tolist() for x in got), strict=True)) == ordered
+def test_swaps_reach_all_graphs_alike(spark):
+    """All graphs with the degrees of a small one, enumerated: 1,500 samples fall on them alike."""
+    import itertools
+
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 5), (0, 3)]
+    degree = lambda g: tuple(sum(v in e for e in g) for v in range(6))
+    every = {g for g in itertools.combinations(itertools.combinations(range(6), 2), len(edges)) if degree(g) == degree(edges)}
+    swapped = nulls.topology_shuffle(edges_of(spark, edges), 1500, 6, 3, [])
+    found = {}
+    for r in swapped.groupBy("null_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("g")).collect():
+        g = tuple((e["src"], e["dst"]) for e in r.g)
+        found[g] = found.get(g, 0) + 1
+    assert set(found) <= every and sum(found.values()) == 1500
+    expected = 1500 / len(every)
+    chi = sum((found.get(g, 0) - expected) ** 2 / expected for g in every)
+    free = len(every) - 1
+    assert chi < free + 4 * math.sqrt(2 * free), (chi, free)
+
+
+def test_swaps_that_cannot_be_made(spark, monkeypatch):
+    """A complete graph, a star and a single edge stay as they are, beside one that doesn't."""
+    monkeypatch.setattr(nulls, "STILL", 2)
+    graphs = {1: [(a, b) for a in range(4) for b in range(a)], 2: [(0, k) for k in range(1, 6)], 3: [(0, 1)], 4: [(k, k + 1) for k in range(12)]}
+    e = spark.createDataFrame([(g, min(x), max(x)) for g, xs in graphs.items() for x in xs], "g int, src long, dst long")
+    got = nulls.topology_shuffle(e, 2, 3, 1, ["g"])
+    for g, xs in graphs.items():
+        for k in range(2):
+            now = rows(got.where(f"g = {g} and null_id = {k}"), "src", "dst")
+            assert (now == sorted((min(x), max(x)) for x in xs)) == (g != 4) and len(set(now)) == len(xs)
+    assert nulls.topology_shuffle(e.where("false"), 2, 3, 1, ["g"]).count() == 0
 
 
 def test_sampler():
@@ -328,20 +425,6 @@ def test_draws_made_together():
         assert 1 <= len(list(sample_structures(seq, Params(max_structures=most), 1))) <= most
 
 
-def test_sampling_of_every_part(spark, sf, monkeypatch):
-    """The query hands each part's sequence to the sampler, with the parameters of an analysis; some of them are sampled here."""
-    asked = []
-    monkeypatch.setattr(queries, "sample", lambda s, p: asked.append((s, p)) or sample(s.where("seq_id <= 8"), p))
-    got = queries.boltzmann_sample(spark, sf).groupBy("seq_id", "run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("structure").alias("different"), F.max(F.length("structure")).alias("length")).collect()
-    [(sequences, p)] = asked
-    lengths = {r.seq_id: len(r.seq) for r in queries.part_sequences(spark, sf).collect()}
-    assert {r.seq_id: len(r.seq) for r in sequences.collect()} == lengths and len(lengths) > 100
-    assert p == Params()
-    assert {(r.seq_id, r.run_id) for r in got} == {(k, run) for k in lengths if k <= 8 for run in range(p.num_runs)}
-    assert all(r.n == r.different <= p.max_structures and r.length == lengths[r.seq_id] for r in got)
-    assert max(r.n for r in got) > 200
-
-
 def test_degenerate_inputs(spark):
     n = nodes_of(spark, [0, 1, 2]).withColumn("batch", F.lit(0))
     e = edges_of(spark, [(0, 1)]).withColumn("batch", F.lit(0))
