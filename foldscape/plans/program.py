@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..params import Params
 from ..session import build
 from ..sources.fasta import literal_sequence, load_folder
-from ..storage import scratch
+from ..storage import measured, scratch
 from .analysis import analyze
-from .report import Timer, parameter_lines, report_tables, statistics_lines, text_table, write_table
+from .report import MODELS, Timer, parameter_lines, report_tables, stage_table, statistics, statistics_lines, text_table, write_table, write_text
 
 #: Null models that are slow with more samples than this.
 MANY_SAMPLES = {"energy_shuffle": 30, "topo_shuffle": 20, "full_analysis": 20, "nt_shuffle": 10}
@@ -44,17 +44,26 @@ def run(spark: SparkSession, source: str, p: Params = Params(), out: str | None
         with timer.stage("read"):
             sequences, left_out = (literal_sequence(spark, source), None) if literal else load_folder(spark, source)
         with timer.stage("analysis"):
-            found = analyze(sequences, p)
+            with measured() as noted:
+                found = analyze(sequences, p)
         with timer.stage("report"):
             lines += ["", "statistics", *statistics_lines(found)]
             for title, df in ([] if left_out is None else [("left out", left_out)]) + [("failures", found["failures"])]:
                 if not df.isEmpty():
                     lines += ["", title, text_table(df)]
-            for title, df in report_tables(found, p).items():
+            nulls = {title: found[f"null_{model}_summary"] for model, title in MODELS.items() if f"null_{model}_summary" in found}
+            blocks = statistics(found["summary"], nulls)
+            lines += [r["text"] for r in blocks.orderBy("number").toLocalIterator()]
+            tables = report_tables(found, p)
+            for title, df in tables.items():
                 lines += ["", title, text_table(df)]
+            lines += ["", "stages", text_table(stage_table(spark, noted.found, p.num_null if nulls else 1))]
         if out:
             with timer.stage("write"):
                 _write(found, out)
+                for title, df in tables.items():
+                    write_text(df, f"{out}/text/{title}")
+                blocks.select("text").write.mode("overwrite").text(f"{out}/text/statistics")
     lines += ["", "seconds", *(f"{k}: {v:.1f}" for k, v in timer.seconds.items())]
     return "\n".join(lines)
 

@@ -760,6 +760,15 @@ def summary_report(spark, sf):
     return main_table(_run_summary(spark, sf))
 
 
+@query(f"""WITH {RUNS} SELECT row_number() OVER (ORDER BY length(p_type), seq_id) AS number, substr(p_name, 1, 28) AS description, CAST(length(p_type) AS INT) AS length, n_structures || '+/-' || std_n_structures AS n_structures, n_basins || '+/-' || std_n_basins AS n_basins,
+        printf('%.4f+/-%.4f', mean_f_inter, std_f_inter) AS f_inter, printf('%.2f+/-%.2f', mean_u_nt, std_u_nt) AS u_nt, printf('%.2f+/-%.2f', mean_u_tr, std_u_tr) AS u_tr, printf('%.2f+/-%.2f', mean_u_non, std_u_non) AS u_non FROM summary JOIN part ON p_partkey = seq_id
+    UNION ALL SELECT NULL, 'average', CAST(round(avg(length(p_type))) AS INT), CAST(round_even(avg(n_structures), 0) AS BIGINT) || '+/-' || CAST(round_even(stddev_samp(n_structures), 0) AS BIGINT), CAST(round_even(avg(n_basins), 0) AS BIGINT) || '+/-' || CAST(round_even(stddev_samp(n_basins), 0) AS BIGINT),
+        printf('%.4f+/-%.4f', avg(mean_f_inter), stddev_samp(mean_f_inter)), printf('%.2f+/-%.2f', avg(mean_u_nt), stddev_samp(mean_u_nt)), printf('%.2f+/-%.2f', avg(mean_u_tr), stddev_samp(mean_u_tr)), printf('%.2f+/-%.2f', avg(mean_u_non), stddev_samp(mean_u_non)) FROM summary JOIN part ON p_partkey = seq_id""")
+def summary_report_average(spark, sf):
+    """The same with the row over all sequences, in one aggregation."""
+    return main_table(_run_summary(spark, sf), average=True)
+
+
 @query(f"""WITH {RUNS}, samples AS (SELECT l_suppkey AS seq_id, count(*) AS n, avg(sqrt(l_quantity)) AS u, CASE WHEN count(*) > 1 THEN stddev_samp(sqrt(l_quantity)) ELSE 0 END AS s FROM lineitem GROUP BY l_suppkey)
     SELECT row_number() OVER (ORDER BY length(p_type), a.seq_id) AS number, substr(p_name, 1, 28) AS description, CAST(length(p_type) AS INT) AS length, printf('%.2f+/-%.2f', mean_u_nt, std_u_nt) AS real_u_nt,
         coalesce(printf('%.2f+/-%.2f', u, s), 'N/A') AS null_u_nt, coalesce(printf('%.2f+/-%.2f', u, s), 'N/A') AS null_u_tr, coalesce(printf('%.2f+/-%.2f', u, s), 'N/A') AS null_u_non, CASE WHEN u IS NULL THEN 'N/A' ELSE printf('%.4f', 1.0 / (n + 1)) END AS p_value

@@ -534,3 +534,40 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(60)
         assert rows(spark.read.parquet(str(tmp_path / "out")), "description", "length") == [("a", 12), ("c", 10)][: k + 1]
         (tmp_path / "in/c.fasta").write_text(">c\nACGUACGUAC")
+
+
+def test_statistics_and_text(spark, tmp_path):
+    """The block of each sequence word by word, the average row beside the others', and text of fixed widths in files."""
+    columns = "seq_id long, seq string, description string, length int, n_runs long, " + ", ".join(f"{k}_{c} double" for c in ("u_nt", "u_tr", "u_non", "f_inter") for k in ("mean", "std")) + ", " + ", ".join(f"{c} long, std_{c} long" for c in ("n_structures", "n_basins", "n_components"))
+    summary = spark.createDataFrame([(7, "ACGU", "long one", 30, 2, 50.0, 1.5, 30.0, 0.25, 20.0, 0.0, 0.5, 0.125, 10, 1, 5, 0, 2, 0), (3, "GG", "short", 12, 1, 40.0, 0.0, 30.0, 0.0, 30.0, 0.0, 0.25, 0.0, 8, 0, 4, 0, 1, 0)], columns)
+    null = spark.createDataFrame([(7, 4, 45.0, 2.0, 35.0, 1.0, 20.0, 0.5, 0.25)], "seq_id long, n long, mean_u_nt double, std_u_nt double, mean_u_tr double, std_u_tr double, mean_u_non double, std_u_non double, p_value double")
+    got = [r.text for r in reporting.statistics(summary, {"energy": null}).orderBy("number").collect()]
+    assert got[1] == "\n".join(
+        ["long one, 30 letters, runs: 2", "  nontrivial: 50.00+/-1.50 %", "  trivial: 30.00+/-0.25 %", "  not ultrametric: 20.00+/-0.00 %", "  triplets between components: 0.5000+/-0.1250", "  structures: 10+/-1", "  basins: 5+/-0", "  components: 2+/-0",
+         "  null model energy, samples: 4; nontrivial 45.00+/-2.00 %, trivial 35.00+/-1.00 %, not ultrametric 20.00+/-0.50 %; p = 0.2500"]
+    )
+    assert got[0].startswith("short, 12 letters, runs: 1\n") and got[0].endswith("\n  null model energy: no sample")
+    table = reporting.main_table(summary, average=True)
+    want = ["number  description  length  n_structures  n_basins  f_inter           u_nt          u_tr          u_non", "------  -----------  ------  ------------  --------  ----------------  ------------  ------------  ------------",
+            "1       short        12      8+/-0         4+/-0     0.2500+/-0.0000   40.00+/-0.00  30.00+/-0.00  30.00+/-0.00", "2       long one     30      10+/-1        5+/-0     0.5000+/-0.1250   50.00+/-1.50  30.00+/-0.25  20.00+/-0.00",
+            "        average      21      9+/-1         4+/-1     0.3750+/-0.1768   45.00+/-7.07  30.00+/-0.00  25.00+/-7.07"]
+    squeezed = lambda lines: [" ".join(x.split()) for x in lines]
+    text = reporting.text_table(table)
+    assert squeezed(text.split("\n"))[2:] == squeezed(want)[2:] and text.split("\n")[0].startswith("number  description  length")
+    assert len({x.rstrip().find("+/-") for x in text.split("\n")[2:]}) <= 2
+    reporting.write_text(table, str(tmp_path / "t"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] and sorted(squeezed(r.value for r in spark.read.text(str(tmp_path / "t")).collect())) == sorted(squeezed(text.split("\n")))
+    assert reporting.main_table(summary.where("false"), average=True).count() == 0
+
+
+def test_stages_are_measured(spark):
+    from foldscape.storage import kept, measured
+
+    with measured() as noted:
+        for n in (5, 7):
+            assert kept(spark.range(n), "some").count() == n
+        kept(spark.range(3).where("id > 9"), "none")
+    kept(spark.range(4), "after")
+    assert [(n, r) for n, r, _ in noted.found] == [("some", 5), ("some", 7), ("none", 0)]
+    got = {r.stage: (r.tables, r.rows) for r in reporting.stage_table(spark, noted.found, 2).collect()}
+    assert got == {"some": (2, 12), "none": (1, 0)}
