@@ -36,7 +36,7 @@ LEAST_DOCS = 10
 #: Sources of a tile, postings of a block of terms (about), and pairs of postings at once.
 TILE, BLOCK_ROWS, PAIRS = 512, 1 << 18, 1 << 20
 #: Bytes of text at once, and rows of counts that a task holds before it hands them on.
-CHUNK, HELD = 1 << 20, 1 << 19
+CHUNK, HELD = 3 << 20, 1 << 19
 
 COUNTS = "lang string, source string, term string, count long, docs long"
 
