@@ -15,7 +15,8 @@ What is found is the same however it is parted.
 Defined results: a null or empty text has no words, is not hit and not contaminated;
 items without words have no window; the windows of an item with a null id are searched
 and hit like others, but there is no id to list; repeated items count once; repeated documents are
-each judged; empty tables give no rows, or no hits.  Other columns pass through.
+each judged; empty tables give no rows, or no hits.  A very long text is
+searched whole.  Other columns pass through; an added column takes the place of one with its name.
 """
 
 from __future__ import annotations

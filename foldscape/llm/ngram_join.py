@@ -17,6 +17,7 @@ of the links, never pairs; the forests' components are the classes.
 Defined results: a text of one to n-1 words has one n-gram of all its words; a null or
 empty text, or one without words, is linked to nothing; repeated rows are copies of one
 another; where ids repeat or are null the class id is still the least id in the class.
+A very long text's n-grams all count.  Other columns are not read.
 """
 
 from __future__ import annotations

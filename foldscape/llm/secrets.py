@@ -14,7 +14,8 @@ wanted recall on them.  Without labelled findings of one's own, `generated_findi
 them from the formats of keys and of what is often taken for one, by a seed.
 
 Defined results: a null or empty text has no spans; repeated documents are each scanned;
-spans count code points, the end is exclusive.  Other columns pass through.
+spans count code points, the end is exclusive.  A very long
+text is scanned whole, in time in proportion to it and its findings.  Other columns pass through.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ where other links lead from one to the other.  RADIUS is the radius at which doc
 Defined results: null is the empty text, whose fingerprint is all zeros; equal texts have
 equal fingerprints; of repeated ids, the order is that of a hash of the text; a null id
 comes first; the only document is its own next; an empty table gives no rows.  A text
-without words is near nothing; copies are links; a class has the least id in it.
+without words is near nothing; a very long one has votes of all its terms; copies are links; a class has the least id in it.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ and ids, so that any document's place in the whole is base + offset.
 
 Defined results: a null or empty text is one end id; repeated ids are kept, in the
 order of a hash of their texts; a null id comes first; an empty table gives a manifest
-without shards.  Other columns are ignored.
+without shards.  A very long text is cut into units and put together whole.  Other columns are ignored.
 """
 
 from __future__ import annotations

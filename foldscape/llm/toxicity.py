@@ -28,7 +28,7 @@ all rows: each task scores its texts with the model from the shared folder.
 Defined results: a null or empty text, or one without words, has feature 0 and the score
 that belongs to it; where one class has no labelled row, every score is the share of toxic
 ones, and 0 if there is no labelled row; repeated documents are each scored; a document
-with several labels is toxic if any is 1.  Other columns pass through.
+with several labels is toxic if any is 1.  A very long text is scored by all of its words.  Other columns pass through.
 """
 
 from __future__ import annotations

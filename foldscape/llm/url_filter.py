@@ -10,7 +10,7 @@ a key that is found counts only if the stored string is the same.
 
 Defined results: a null URL or one without "://" has empty host and path and fits no
 rule; where no rule fits the verdict is the default.  Repeated rules: the last given
-counts.  Other columns pass through.
+counts.  A very long URL is judged whole.  Other columns pass through.
 """
 
 from __future__ import annotations
