@@ -130,7 +130,12 @@ def ranked(df: DataFrame, name: str, order: Sequence[str], keys: Sequence[str] =
     begin = counts.withColumn("_begin", F.coalesce(F.sum("_count").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("_part", *keys).orderBy(*order)
     placed = ranges.withColumn("_within", F.row_number().over(inside) - 1)
-    return placed.join(begin.drop("_count"), ["_part", *keys]).withColumn(name, (F.col("_within") + F.col("_begin")).cast("long")).drop("_part", "_begin", "_within")
+    ahead_of = begin.select(F.col("_part").alias("_in"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_begin")
+    same = F.col("_part") == F.col("_in")
+    for i, k in enumerate(keys):  # a null key is one like any other
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    found = placed.join(ahead_of, same).withColumn(name, (F.col("_within") + F.col("_begin")).cast("long"))
+    return found.drop("_part", "_begin", "_within", "_in", *[f"_key{i}" for i in range(len(keys))])
 
 
 def numbered(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
