@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import COMPLEMENTARY
@@ -13,18 +13,36 @@ def allowed_pairs(sequences: DataFrame, min_hairpin: int = 3, key: str = "seq_id
 
     Each place i makes its own row before the places j are tried: no join, no shuffle, and memory in proportion to one sequence.
     """
+    starts = _letters(sequences, min_hairpin, key, seq).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("letters") - min_hairpin - 2)))
+    return starts.select(key, "i", F.explode(_fits(F.col("i"), min_hairpin)).alias("j"))
+
+
+def indexed_pairs(sequences: DataFrame, min_hairpin: int = 3, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """`allowed_pairs` with pair_id, the numbers of `pair_index`: the pairs of each place i are counted first, so a pair's number is
+    that of its place's first one plus its own among them. No shuffle and no sort: memory stays in proportion to one sequence."""
+    places = _letters(sequences, min_hairpin, key, seq)
+    counts = F.transform(F.sequence(F.lit(0), F.size("letters") - min_hairpin - 2), lambda i: F.size(_fits(i, min_hairpin)))
+    ahead = F.aggregate("counts", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    starts = places.withColumn("counts", counts).select(key, "letters", F.posexplode(ahead).alias("i", "begin")).where(F.col("i") < F.size("letters") - min_hairpin - 1)
+    return starts.select(key, "i", "begin", F.posexplode(_fits(F.col("i"), min_hairpin)).alias("_at", "j")).select(key, "i", "j", (F.col("begin") + F.col("_at")).alias("pair_id"))
+
+
+def _letters(sequences: DataFrame, min_hairpin: int, key: str, seq: str) -> DataFrame:
+    """key and the letters of sequences that are long enough for a pair."""
     letters = F.filter(F.split(F.col(seq), ""), lambda x: x != "")
-    places = sequences.select(F.col(key), letters.alias("letters")).where(F.size("letters") > min_hairpin + 1)
-    starts = places.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("letters") - min_hairpin - 2)))
-    fits = F.filter(
-        F.sequence(F.col("i") + min_hairpin + 1, F.size("letters") - 1),
-        lambda j: F.concat(F.get("letters", F.col("i")), F.get("letters", j)).isin(*COMPLEMENTARY),
+    return sequences.select(F.col(key), letters.alias("letters")).where(F.size("letters") > min_hairpin + 1)
+
+
+def _fits(i: Column, min_hairpin: int) -> Column:
+    """The places that the letter at place i may pair with, ascending."""
+    return F.filter(
+        F.sequence(i + min_hairpin + 1, F.size("letters") - 1),
+        lambda j: F.concat(F.get("letters", i), F.get("letters", j)).isin(*COMPLEMENTARY),
     )
-    return starts.select(key, "i", F.explode(fits).alias("j"))
 
 
 def pair_index(pairs: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Adds pair_id: the place of a pair in its sequence's order by i, then j."""
+    """Adds pair_id: the place of a pair in its sequence's order by i, then j. For tables of pairs; `indexed_pairs` numbers those of sequences."""
     return pairs.withColumn("pair_id", F.row_number().over(Window.partitionBy(key).orderBy("i", "j")) - 1)
 
 

@@ -16,7 +16,7 @@ from ..operators.kinetics import basin_vectors, distance_tiles, pairwise_distanc
 from ..operators.modes import slow_modes
 from ..operators.neighbors import edges_within, neighbor_graph
 from ..operators.nulls import random_basins, with_samples
-from ..operators.pairs import allowed_pairs, pair_index
+from ..operators.pairs import indexed_pairs
 from ..operators.sampler import sample
 from ..operators.stats import mean_std, two_sided_p
 from ..operators.structures import KEYS, dedup_min_energy, distinct_capped, dotbracket_pairs, encode_pairs, energy_window, enough_states, node_index
@@ -35,7 +35,7 @@ def states_of(structures: DataFrame, sequences: DataFrame, p: Params, keys: Sequ
     has = "null_id" in sequences.columns
     seqs = sequences.select("seq_id", "seq", (F.col("null_id") if has else F.lit(-1)).cast("int").alias("null_id"))
     batch = seqs.withColumn("_key", F.struct(*pair_keys))
-    pairs = pair_index(allowed_pairs(batch, p.min_hairpin, "_key"), "_key").select("_key", "i", "j", "pair_id")
+    pairs = indexed_pairs(batch, p.min_hairpin, "_key")
     parsed = energy_window(structures, p.energy_window, keys, p.tolerance).withColumns({"pairs": dotbracket_pairs(F.col("structure")), "_key": F.struct(*pair_keys)})
     coded = encode_pairs(parsed, pairs, [*keys, "_key"], "_key").drop("_key")
     return enough_states(node_index(dedup_min_energy(coded, keys), keys), keys)
