@@ -43,10 +43,10 @@ def dotbracket_pairs(structure: Column, strict: bool = True) -> Column:
     """
     kind = "struct<open:array<int>,pairs:array<struct<i:int,j:int>>,bad:boolean>"
     start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<i:int,j:int>>").alias("pairs"), F.lit(False).alias("bad"))
-    chars = F.split(structure, "")
+    chars = F.transform(F.split(structure, ""), lambda c, k: F.struct(c.alias("c"), k.alias("k")))  # made once, not at each step
 
-    def step(acc, k):
-        c = F.get(chars, k)
+    def step(acc, x):
+        c, k = x["c"], x["k"]
         n = F.size(acc["open"])
         pushed = F.struct(F.concat(acc["open"], F.array(k)).alias("open"), acc["pairs"].alias("pairs"), acc["bad"].alias("bad"))
         pair = F.struct(F.get(acc["open"], n - 1).alias("i"), k.alias("j"))
@@ -54,8 +54,7 @@ def dotbracket_pairs(structure: Column, strict: bool = True) -> Column:
         broken = F.struct(acc["open"].alias("open"), acc["pairs"].alias("pairs"), F.lit(True).alias("bad"))
         return F.when(c == "(", pushed).when((c == ")") & (n > 0), popped).when(c == ")", broken).otherwise(acc).cast(kind)
 
-    size = F.length(structure)
-    done = F.aggregate(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), start.cast(kind), step)
+    done = F.aggregate(chars, start.cast(kind), step)
     sorted_pairs = F.array_sort(done["pairs"])
     wrong = F.raise_error(F.concat(F.lit("closing bracket without an opening one: "), structure)).cast("array<struct<i:int,j:int>>") if strict else F.lit(None)
     return F.when(done["bad"], wrong).otherwise(sorted_pairs)
@@ -64,12 +63,13 @@ def dotbracket_pairs(structure: Column, strict: bool = True) -> Column:
 def encode_pairs(structures: DataFrame, pairs: DataFrame, keys: Sequence[str] = KEYS, key: str = "seq_id") -> DataFrame:
     """Adds pair_ids, the sorted numbers of a structure's pairs among the allowed ones; other pairs are dropped.
 
-    structures: keys, ord, pairs (an array); pairs: key, i, j, pair_id.
+    structures: keys, ord, pairs (an array); pairs: key, i, j, pair_id.  Both joins are by sorting: rows that `explode` makes are far more
+    than the size of a written table of structures or sequences says, and a side that is taken for small would go whole through the driver.
     """
     each = structures.select(*keys, "ord", F.explode_outer("pairs").alias("p")).select(*keys, "ord", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-    found = each.join(pairs.select(key, "i", "j", "pair_id"), [key, "i", "j"], "left")
+    found = each.join(pairs.select(key, "i", "j", "pair_id").hint("merge"), [key, "i", "j"], "left")
     sets = found.groupBy(*keys, "ord").agg(F.array_sort(F.collect_list("pair_id")).alias("pair_ids"))
-    return structures.join(sets, [*keys, "ord"])
+    return structures.join(sets.hint("merge"), [*keys, "ord"])
 
 
 def dedup_min_energy(structures: DataFrame, keys: Sequence[str] = KEYS, by: str = "pair_ids") -> DataFrame:
@@ -84,6 +84,6 @@ def node_index(states: DataFrame, keys: Sequence[str] = KEYS, order: str = "ord"
 
 
 def enough_states(states: DataFrame, keys: Sequence[str] = KEYS, least: int = 2) -> DataFrame:
-    """Batches of at least so many states."""
+    """Batches of at least so many states; joined by sorting, as there may be as many batches as sequences."""
     counted = states.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    return join_batch(states, counted, list(keys)).drop("_n")
+    return join_batch(states, counted.hint("merge") if keys else counted, list(keys)).drop("_n")

@@ -134,7 +134,7 @@ def ranked(df: DataFrame, name: str, order: Sequence[str], keys: Sequence[str] =
     same = F.col("_part") == F.col("_in")
     for i, k in enumerate(keys):  # a null key is one like any other
         same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
-    found = placed.join(ahead_of, same).withColumn(name, (F.col("_within") + F.col("_begin")).cast("long"))
+    found = placed.join(ahead_of.hint("merge") if keys else F.broadcast(ahead_of), same).withColumn(name, (F.col("_within") + F.col("_begin")).cast("long"))  # keys may be as many as rows
     return found.drop("_part", "_begin", "_within", "_in", *[f"_key{i}" for i in range(len(keys))])
 
 
