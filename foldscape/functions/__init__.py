@@ -52,6 +52,18 @@ def sample_std(value: Column) -> Column:
     return F.when(F.count(value) > 1, F.stddev_samp(value)).when(F.count(value) == 1, F.lit(0.0))
 
 
+def whole_std(value: Column) -> Column:
+    """Sample standard deviation of whole numbers as a whole number, halves to the even one, 0 for a single value.
+
+    From exact sums, so that a spread of just k + 1/2 is one whatever the order of the rows is.
+    """
+    x = value.cast("decimal(18,0)")
+    n, total = F.count(value), F.sum(x)
+    squares = (F.sum(x * x) * n - total * total).cast("double")
+    spread = F.bround(F.sqrt(F.try_divide(squares, n.cast("double") * (n - 1)))).cast("long")
+    return F.when(n > 1, spread).when(n == 1, F.lit(0).cast("long"))
+
+
 def plus_minus(mean: Column, std: Column, digits: int = 2) -> Column:
     """'mean+/-std', or N/A where either is missing."""
     return F.when(mean.isNull() | std.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f+/-%.{digits}f", mean, std))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import half_even, sample_std
+from ..functions import half_even, sample_std, whole_std
 from ..operators import nulls
 from ..operators.basins import basin_weights, gradient_basins, top_basins
 from ..operators.components import connected_components, significant_components
@@ -191,7 +191,7 @@ def sequence_summary(sequences: DataFrame, runs: DataFrame) -> DataFrame:
     real = successful(runs)
     values = [*(f"weighted_{c}" for c in SCORES), "f_inter"]
     means = [c for v in values for c in (F.avg(v).alias(f"mean_{v.removeprefix('weighted_')}"), sample_std(F.col(v)).alias(f"std_{v.removeprefix('weighted_')}"))]
-    counts = [c for v, name in COUNTED.items() for c in (half_even(F.avg(v)).alias(name), half_even(sample_std(F.col(v))).alias(f"std_{name}"))]
+    counts = [c for v, name in COUNTED.items() for c in (half_even(F.avg(v)).alias(name), whole_std(F.col(v)).alias(f"std_{name}"))]
     others = [F.avg("n_significant_components").alias("n_significant_components"), F.min_by("n_processed_components", "run_id").alias("n_processed_components"), half_even(F.avg("total_triplets")).alias("total_triplets")]
     each = real.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_runs"), *means, *counts, *others)
     return sequences.select("seq_id", F.substring("seq", 1, 50).alias("seq"), "description", F.length("seq").alias("length")).join(each, "seq_id")

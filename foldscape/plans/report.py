@@ -10,7 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import half_even, plus_minus, sample_std
+from ..functions import half_even, plus_minus, sample_std, whole_std
 from ..params import Params
 from ..storage import numbered as number_rows
 from .analysis import COUNTED, SCORES
@@ -45,7 +45,7 @@ def _std(c: str) -> Column:
 
 def ensemble(summary: DataFrame, null: DataFrame | None = None) -> DataFrame:
     """One row over all sequences: means of the sequences' means, their spread (0 for a single one), counts and their spread as whole numbers."""
-    counts = [c for v in COUNTED.values() for c in (half_even(F.avg(v)).alias(v), half_even(sample_std(F.col(v))).alias(f"std_{v}"))]
+    counts = [c for v in COUNTED.values() for c in (half_even(F.avg(v)).alias(v), whole_std(F.col(v)).alias(f"std_{v}"))]
     base = summary.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("length"), *[f(c) for c in (*SCORES, "f_inter") for f in (_mean, _std)], *counts)
     if null is None:
         return base
@@ -69,7 +69,7 @@ def main_table(summary: DataFrame, average: bool = False) -> DataFrame:
     rows = numbered(summary)
     if average:
         total = F.grouping_id() > 0
-        counts = [c for v in COUNTED.values() for c in (half_even(F.avg(v)).alias(v), F.when(total, half_even(sample_std(F.col(v)))).otherwise(F.max(f"std_{v}")).alias(f"std_{v}"))]
+        counts = [c for v in COUNTED.values() for c in (half_even(F.avg(v)).alias(v), F.when(total, whole_std(F.col(v))).otherwise(F.max(f"std_{v}")).alias(f"std_{v}"))]
         scores = [c for v in (*SCORES, "f_inter") for c in (_mean(v), F.when(total, sample_std(F.col(f"mean_{v}"))).otherwise(F.max(f"std_{v}")).alias(f"std_{v}"))]
         of_one = [F.col("number"), F.col("description")]
         both = rows.groupingSets([of_one, []], *of_one).agg(total.alias("_total"), F.count(F.lit(1)).alias("_n"), F.round(F.avg("length")).cast("int").alias("length"), *counts, *scores)
