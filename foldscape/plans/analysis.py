@@ -12,7 +12,7 @@ from ..functions import half_even, sample_std, whole_std
 from ..operators import nulls
 from ..operators.basins import basin_weights, gradient_basins, top_basins
 from ..operators.components import connected_components, significant_components
-from ..operators.kinetics import basin_vectors, distance_tiles, pairwise_distances, project_arrays, spectral_gap_filter, weighted_coordinates
+from ..operators.kinetics import basin_vectors, pairwise_distances, project_arrays, spectral_gap_filter, weighted_coordinates
 from ..operators.modes import slow_modes
 from ..operators.neighbors import edges_within, neighbor_graph
 from ..operators.nulls import random_basins, with_samples
@@ -20,7 +20,7 @@ from ..operators.pairs import indexed_pairs
 from ..operators.sampler import sample
 from ..operators.stats import mean_std, two_sided_p
 from ..operators.structures import KEYS, dedup_min_energy, distinct_capped, dotbracket_pairs, encode_pairs, energy_window, enough_states, node_index
-from ..operators.triplets import between_share, score_tiles, shares, weighted_score
+from ..operators.triplets import between_share, score_points, shares, weighted_score
 from ..params import Params
 from ..storage import kept
 
@@ -106,7 +106,7 @@ def analyze_graph(nodes: DataFrame, edges: DataFrame, members: DataFrame, p: Par
     n_nontrivial, n_trivial, n_non, num_triplets, u_nt, u_tr, u_non, status and, where it failed, reason."""
     on = [*keys, "comp_id"]
     found = component_spectra(nodes, edges, members, p, keys, samples, main_only)
-    counts = score_tiles(kept(distance_tiles(found.points, keys), "tiles"), p, keys)
+    counts = score_points(found.points, p, keys)
     spectrum = F.transform(F.array_sort(F.collect_list(F.struct("rank", "eigenvalue"))), lambda x: x["eigenvalue"])
     values = found.modes.groupBy(*on).agg(spectrum.alias("eigenvalues"), F.max("num_noise").cast("int").alias("num_noise_modes"), F.count_if("physical").cast("int").alias("num_phys_modes"))
     shared = on if samples is None else [c for c in on if c != "null_id"]
