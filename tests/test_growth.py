@@ -41,3 +41,55 @@ def test_spreads_of_a_half(spark):
     got = spark.createDataFrame(rows, "half double, k int, x int").repartition(7).groupBy("half", "k").agg(whole_std(F.col("x")).alias("s")).collect()
     assert len(got) == 181 and all(r.s == round(r.half) for r in got)
     assert spark.range(0).agg(whole_std(F.col("id")).alias("s")).first().s is None
+
+
+@pytest.mark.parametrize(("block", "strip", "thirds"), [(256, 256, 512), (9, 4, 3), (50, 3, 7), (5, 2, 64)])
+def test_triangles_by_ranks(spark, monkeypatch, block, strip, thirds):
+    """Counts against all triangles one at a time, with equal sides, sides at the very limits, copies of points, and missing pairs."""
+    for name, v in {"BLOCK": block, "STRIP": strip, "THIRDS": thirds, "LISTED": block}.items():
+        monkeypatch.setattr(triplets, name, v)
+    p = Params(min_basin_size=2)
+    rng = np.random.RandomState(8)
+    cells = np.array([0.0, 1e-9, 1.0, 0.9, 1.05, np.nextafter(1.05, 2), np.nextafter(0.9, 0), 2.0, 2.1, np.nan, np.inf, 1.9])
+    table = [(g, 2 * a + g, 2 * b + g, None if k == 3 else float(d)) for g in (0, 1) for a, b in combinations(range(21), 2) for k, d in [(rng.randint(60), rng.choice(cells))] if k]
+    known = {(g, a, b): math.nan if d is None else d for g, a, b, d in table}
+    want, rows = {}, []
+    for g in (0, 1):
+        for i, j, k in combinations([2 * a + g for a in range(21)], 3):
+            sides = [known.get((g, *e)) for e in ((i, j), (i, k), (j, k))]
+            if None not in sides:
+                want[g] = want.get(g, 0) + triplets.label_counts(*map(np.array, sides), p)
+                rows.append((g, i, j, k, *map(str, sides)))
+    t = spark.createDataFrame(table, "comp_id int, a long, b long, d double")
+    got = triplets.score_tiles(triplets.tiles_of(t, []), p, []).collect()
+    assert {r.comp_id: [r.n_nontrivial, r.n_trivial, r.n_non] for r in got} == {g: n.tolist() for g, n in want.items()}
+    found = triplets.triplets(t, []).collect()
+    assert sorted((*r[:4], *(str(math.nan if x is None else x) for x in r[4:])) for r in found) == sorted(rows)
+    nulls = {(g, a, b) for g, a, b, d in table if d is None}
+    assert {(r.comp_id, r.i, r.k) for r in found if r.d_ik is None} <= nulls and any(r.d_ik is None for r in found)
+    points = [(int(k % 2), k, [float(x) for x in rng.randint(0, 3, 2)]) for k in range(40)]
+    t = spark.createDataFrame(points, "comp_id int, id long, vector array<double>")
+    tiles = triplets.score_tiles(kinetics.distance_tiles(t, []), p, []).collect()
+    assert sorted(triplets.score_points(t, p, []).collect()) == sorted(tiles)
+    labels = triplets.classify_triplets(triplets.triplets(kinetics.pairwise_distances(t, []), []), p).groupBy("comp_id", "label").count().collect()
+    counts = {(r.comp_id, x): r[f"n_{x.removesuffix('_ultrametric')}"] for r in tiles for x in ("nontrivial", "trivial", "non_ultrametric")}
+    assert {(r.comp_id, r.label): r["count"] for r in labels} == {k: v for k, v in counts.items() if v}
+
+
+def test_triplets_are_not_shuffled(spark, sf):
+    """Joins on shared points send all rows of two sides, some third of the triplets' own number to each other, through a shuffle."""
+    for name in ("triplet_enumeration", "triangle_classify"):
+        assert "SortMergeJoin" not in plan(queries.QUERIES[name](spark, sf)).split("FlatMapGroupsInArrow")[0]
+    assert "InArrow" not in plan(queries.QUERIES["f_inter"](spark, sf))
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kinetics, "SIDE", 6)
+    monkeypatch.setattr(kinetics, "ROWS", 7)
+    rng = np.random.RandomState(3)
+    points = [(g, int(k), [float(x) for x in rng.rand(3)]) for g, n in ((0, 40), (1, 2), (2, 1)) for k in rng.choice(1000, n, replace=False)] + [(0, 5000, None)]
+    t = spark.createDataFrame(points, "comp_id int, id long, vector array<double>")
+    got = {(r.comp_id, r.a, r.b): r.d for r in kinetics.pairwise_distances(t, []).collect()}
+    want = {(g, a, b): math.dist(x, y) for g, a, x in points for h, b, y in points if g == h and a < b and x and y}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    assert len(triplets.dealt_points(t, ["comp_id"], kinetics.SIDE).select("comp_id", "own").distinct().where("comp_id = 0").collect()) == 7
