@@ -242,6 +242,26 @@ def test_slow_modes_are_the_dense_solution(spark, monkeypatch, block, coarse):
     assert np.allclose(apart(a), apart(b), rtol=1e-5)
 
 
+def test_slow_modes_of_many_blocks_need_no_coarse_matrix(spark, monkeypatch):
+    """A long path with some chords: what a task holds stays as wide as a few blocks' borders, and the modes are the dense solution's."""
+    from foldscape.operators import nested
+
+    monkeypatch.setattr(modes, "BLOCK", 64)
+    monkeypatch.setattr(modes, "COARSE", 24)
+    monkeypatch.setattr(modes._Solver, "coarse", None)
+    made, condensed = [], nested.Nested.condensed
+    monkeypatch.setattr(nested.Nested, "condensed", lambda self, *a: made.append(self) or condensed(self, *a))
+    n = 400
+    energy = (0.3 * np.random.RandomState(1).standard_normal(n)).tolist()
+    edges = [(k, k + 1) for k in range(n - 1)] + [(k, k + 3) for k in range(0, n - 3, 40)]
+    got, vectors = solved(spark, energy, edges, 4)
+    want = np.linalg.eigvalsh(-dense(energy, edges))[:4]
+    assert got[0] == 0 and np.allclose(-got[1:], want[1:], rtol=1e-8)
+    assert np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-9)
+    widths = [sum(np.frombuffer(r.widths, "<i4")) for level in made[0].levels for r in level.select("widths").collect()]
+    assert len(made[0].levels) > 1 and max(widths) <= 60
+
+
 def test_slow_modes_of_deep_wells(spark, monkeypatch):
     """Two wells of a path, far below the hill between them: a mode that is some ten orders slower than the rest keeps its digits."""
     monkeypatch.setattr(modes, "BLOCK", 16)
