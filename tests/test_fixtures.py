@@ -70,6 +70,18 @@ def test_allowed_pairs_and_conflicts(spark):
     assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"shared": 18, "crossing": 9}
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_crossings_are_counted_without_being_listed(spark, block):
+    rng = np.random.RandomState(5)
+    seqs = [(k, "".join(rng.choice(list("ACGUN"), n))) for k, n in enumerate([3, 4, 5, 9, 17, 40, 90])] + [(99, "A" * 20), (None, "ACGUACGUACGU")]
+    p = pairs.indexed_pairs(spark.createDataFrame(seqs, "seq_id int, seq string")).cache()
+    named = p.where("seq_id is not null")
+    assert rows(named, "seq_id", "i", "j", "pair_id") == rows(pairs.pair_index(named.drop("pair_id")), "seq_id", "i", "j", "pair_id")
+    want = pairs.crossing_conflicts(p).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pair_a").alias("sum_a"), F.sum("pair_b").alias("sum_b"))
+    got = rows(pairs.crossing_counts(p, block=block), "seq_id", "n", "sum_a", "sum_b")
+    assert len(got) >= 3 and got == rows(want, "seq_id", "n", "sum_a", "sum_b")
+
+
 STRUCTURES = ["(((...)))", "((.....))", ".((...)).", ".........", "(.......)", "..(...)..", "(.(...).)"]
 SETS = [[2, 4, 6], [2, 4], [4, 6], [], [2], [6], [2, 6]]
 EDGES = [(0, 1), (0, 2), (0, 6), (1, 2), (1, 4), (1, 6), (2, 5), (2, 6), (3, 4), (3, 5), (4, 5), (4, 6), (5, 6)]
