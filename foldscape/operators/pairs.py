@@ -103,11 +103,21 @@ def _crossing(i: np.ndarray, j: np.ndarray, n: np.ndarray, s: np.ndarray) -> tup
 def _crossing_small(group: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray, groups: int) -> np.ndarray:
     """The same (a row for each of the groups) for many short sequences at once, each with a table of its places."""
     w = int(j.max()) + 1
-    before = np.zeros((2, groups, w + 1, w + 1), dtype=np.int64)
-    np.add.at(before[0], (group, i + 1, j), 1)
-    np.add.at(before[1], (group, i + 1, j), s)
-    before = np.cumsum(np.cumsum(before[..., ::-1], axis=3)[..., ::-1], axis=2)
-    count, total = before[:, group, j, j + 1] - before[:, group, i + 1, j + 1]
+    table = np.zeros((w + 1, 2, groups, w), dtype=np.int64)  # of what begins before a place and ends at another or before it
+    at = (group * w + j) + (i + 1) * (2 * groups * w)
+    flat = table.ravel()
+    np.add.at(flat, at, 1)
+    np.add.at(flat, at + groups * w, s)
+    np.cumsum(table, axis=3, out=table)
+    for x in range(1, w + 1):
+        table[x] += table[x - 1]
+    flat = table.ravel()
+
+    def between(k: int, end: np.ndarray) -> np.ndarray:
+        spot = (k * groups + group) * w + end
+        return flat[j * (2 * groups * w) + spot] - flat[(i + 1) * (2 * groups * w) + spot]
+
+    count, total = (between(k, w - 1) - between(k, j) for k in range(2))
     out = np.zeros((groups, 3), dtype=np.int64)
     for k, v in enumerate((count, count * s, total)):
         np.add.at(out[:, k], group, v)
