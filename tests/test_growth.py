@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldscape import queries
 from foldscape.functions import whole_std
-from foldscape.operators import kinetics, pairs, triplets
+from foldscape.operators import kinetics, pairs, sweep, triplets
 from foldscape.params import Params
 
 
@@ -93,3 +93,59 @@ def test_pairs_of_blocks(spark, monkeypatch):
     want = {(g, a, b): math.dist(x, y) for g, a, x in points for h, b, y in points if g == h and a < b and x and y}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
     assert len(triplets.dealt_points(t, ["comp_id"], kinetics.SIDE).select("comp_id", "own").distinct().where("comp_id = 0").collect()) == 7
+
+
+@pytest.mark.parametrize(("batch", "together", "looked_at"), [(512, 64, 32), (7, 2, 10**9), (7, 2, 12), (16, 3, 0)])
+def test_triangles_by_length(monkeypatch, batch, together, looked_at):
+    """Counts of edges in batches against all triangles one at a time: copies, ties, sides at the very limits, and edges left to ranks."""
+    for name, v in {"BATCH": batch, "TOGETHER": together, "LOOKED_AT": looked_at}.items():
+        monkeypatch.setattr(sweep, name, v)
+    p = Params(min_basin_size=2)
+    rng = np.random.RandomState(4)
+    lattice = rng.randint(0, 4, (60, 3)) * 1.0
+    cloud = rng.standard_normal((60, 8))
+    odd = np.concatenate([cloud[:20], cloud[:20], 1e6 * cloud[:10], [[np.nan] * 8, [np.inf] * 8]])
+    grid = np.round(rng.rand(60, 1) * 40) / 20
+    for points in (lattice, cloud, odd, grid, np.zeros((30, 2)), np.exp(9 * rng.standard_normal((60, 2)))):
+        parts = np.sort(rng.randint(0, 3, len(points)))
+        d = triplets.distances_between(points, points)
+        d = np.where(np.triu(np.ones(d.shape, dtype=bool)), d, d.T)
+        side = lambda a, b, d=d, parts=parts: (d[np.ix_(parts == a, parts == b)], (~np.eye(len(d), dtype=bool))[np.ix_(parts == a, parts == b)].astype(np.uint8))
+        for three in ((0, 1, 2), (0, 0, 1), (0, 1, 1), (2, 2, 2)):
+            found = [t for t in combinations(range(len(points)), 3) if sorted(parts[list(t)]) == list(three)]
+            i, j, k = np.array(found).T
+            assert triplets._triangles(three, side, p).tolist() == triplets.label_counts(d[i, j], d[i, k], d[j, k], p).tolist()
+
+
+def test_lengths_in_order():
+    """The bits that places take from numbers don't change their order, and equal numbers are in order of their places."""
+    rng = np.random.RandomState(2)
+    d = 1 + rng.randint(0, 50, (300, 70)) * 2.0**-50
+    d[3, 5], d[9, 9], d[0, 1], d[7, 7] = np.nan, np.inf, -0.0, 0.0
+    values, rows, columns = sweep.ordered(d, False)
+    want = sorted((x, i, j) for (i, j), x in np.ndenumerate(d) if x < np.inf)
+    assert list(zip(values, rows, columns, strict=True)) == want
+    assert len(sweep.ordered(np.ones((5, 5)), True)[0]) == 10
+
+
+def test_scores_store_no_distances_and_rank_no_edges(spark, sf, monkeypatch):
+    """A table of distances grows with the square of the points; ranks of each edge took three times as long as sets by length."""
+    wrote = []
+    monkeypatch.setattr(queries, "kept", lambda df, name: wrote.append(name) or df)
+    assert queries.kernel_scores(spark, sf).count() == queries.ultrametricity_score(spark, sf).count() and not wrote
+    monkeypatch.setattr(triplets, "_edges", None)
+    monkeypatch.setattr(sweep, "BATCH", 64)
+    cloud = np.random.RandomState(6).standard_normal((300, 8))
+    d = triplets.distances_between(cloud, cloud)
+    np.fill_diagonal(d, 0)
+    got = triplets._triangles((0, 0, 0), lambda a, b: (d, 1 - np.eye(300, dtype=np.uint8)), Params())
+    assert got.sum() == math.comb(300, 3) and got.min() > 0
+
+
+def test_near_points_keep_their_digits():
+    rng = np.random.RandomState(1)
+    a = 1000 + rng.rand(20, 5)
+    b = np.concatenate([a, a + 1e-9])
+    want = np.array([[math.dist(x, y) for y in b] for x in a])
+    got = triplets.distances_between(a, b)
+    assert np.allclose(got, want, rtol=1e-12, atol=0) and (got[np.arange(20), np.arange(20)] == 0).all()
