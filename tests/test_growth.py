@@ -149,3 +149,24 @@ def test_near_points_keep_their_digits():
     want = np.array([[math.dist(x, y) for y in b] for x in a])
     got = triplets.distances_between(a, b)
     assert np.allclose(got, want, rtol=1e-12, atol=0) and (got[np.arange(20), np.arange(20)] == 0).all()
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_triplets_leave_their_task_as_they_are_wanted(spark, sf, monkeypatch, block):
+    """Labels and rounded sums are made of arrays where the rows are, not row by row behind them."""
+    monkeypatch.setattr(triplets, "LISTED", block)
+    p = Params()
+    rng = np.random.RandomState(3)
+    cells = [0.0, 1.0, 1.02, 0.8, 2.5, math.nan, math.inf, None, 1.000004, 2.4999949]
+    table = [(g, a, b, cells[rng.randint(len(cells))]) for g in (1, 2) for a, b in combinations(rng.permutation(40)[:25].tolist(), 2) if rng.rand() < 0.95]
+    t = spark.createDataFrame([(g, min(a, b), max(a, b), d) for g, a, b, d in table], "comp_id int, a long, b long, d double")
+    want = triplets.classify_triplets(triplets.triplets(t, []), p).collect()
+    found = triplets.triplets(t, [], made=triplets.labels(p)).collect()
+    assert sorted(found) == sorted((*r[:4], r.label) for r in want) and len({r.label for r in want}) == 3
+    assert all(r.i < r.j < r.k for r in want) and len({r[:4] for r in want}) == len(want)
+    sums = {tuple(r[:4]): r.around for r in triplets.triplets(t, [], made=triplets.perimeters(5)).collect()}
+    for r in want:
+        total = sum(math.nan if x is None else x for x in r[4:7])
+        assert str(sums[tuple(r[:4])]) == str(round(total, 5)), r
+    plans = [plan(queries.QUERIES[x](spark, sf)) for x in ("triplet_enumeration", "triangle_classify")]
+    assert not any("CASE WHEN" in x.split("FlatMapGroupsInArrow")[0] or "round(" in x.split("FlatMapGroupsInArrow")[0] for x in plans)
