@@ -170,3 +170,21 @@ def test_triplets_leave_their_task_as_they_are_wanted(spark, sf, monkeypatch, bl
         assert str(sums[tuple(r[:4])]) == str(round(total, 5)), r
     plans = [plan(queries.QUERIES[x](spark, sf)) for x in ("triplet_enumeration", "triangle_classify")]
     assert not any("CASE WHEN" in x.split("FlatMapGroupsInArrow")[0] or "round(" in x.split("FlatMapGroupsInArrow")[0] for x in plans)
+
+
+def test_tables_of_slow_modes_are_not_all_kept(spark, monkeypatch):
+    """Of the rounds' tables one is left, and what the modes are made of has no other vectors."""
+    from foldscape.operators import modes
+
+    monkeypatch.setattr(modes, "BLOCK", 16)
+    monkeypatch.setattr(modes, "COARSE", 12)
+    there, kept, dropped = [], modes.kept, modes.dropped
+    monkeypatch.setattr(modes, "kept", lambda df, name: there.append((name, x := kept(df, name))) or x)
+    monkeypatch.setattr(modes, "dropped", lambda df: there.remove(next(t for t in there if t[1] is df)) or dropped(df))
+    n = 60
+    nodes = spark.createDataFrame([(0, k, 0.0) for k in range(n)], "comp_id int, node_id long, energy double")
+    edges = spark.createDataFrame([(0, k, k + 1) for k in range(n - 1)], "comp_id int, src long, dst long")
+    values = modes.slow_modes(nodes, edges, 3, 1.0, keys=[])[0].first().eigenvalues
+    assert np.allclose(values[1:], [2 * math.cos(math.pi * k / n) - 2 for k in (1, 2)], rtol=1e-8)
+    assert sum(name == "state" for name, _ in there) == 1
+    assert all(r.ad is None and r.aw is None for name, x in there if name == "done" for r in x.collect())
